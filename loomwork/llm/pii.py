@@ -199,3 +199,7 @@ def spans_text(spans: Column) -> Column:
     """``kind:start:end`` of spans, comma-joined in their order."""
     one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
     return F.array_join(one, ",")
+
+
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
