@@ -38,26 +38,34 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, "(?s)\\\\(.)", "$1")
 
 
-def _steps(nodes: DataFrame) -> list[DataFrame]:
-    """Tables of jumps (tree, node, up, total, depth) over 1, 2, 4, ... nodes; the last reaches every root.
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
 
-    total and depth sum what lies between node, itself included, and up.
+def _steps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Jumps over 1, 2, 4, ... nodes as tables (tree, node, up), and (tree, node, total)
+    of all nodes that reach a root; total sums the scores of their paths.
+
+    Nodes that have reached their root leave the rounds, so that the rounds which
+    only the longest paths need touch only these.
     """
     parents = nodes.select(F.col("tree").alias("t"), F.col("node").alias("up"))
     found = nodes.join(parents, nodes["tree"].eqNullSafe(parents["t"]) & (nodes["parent"] == parents["up"]), "left")
-    now = cut(found.select("tree", "node", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "jumps")
-    out, reach, count = [now], 1, None
-    while not now.where("up is not null").isEmpty():
-        count = now.count() if count is None else count
-        if reach > count:  # only cycles go on for longer than there are nodes
-            break
-        far = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
-        joined = now.join(far, now["tree"].eqNullSafe(far["t"]) & (now["up"] == far["n"]), "left")
-        none = F.lit(0)
-        now = cut(joined.select("tree", "node", F.col("u").alias("up"), (F.col("total") + F.coalesce("more", none)).alias("total"), (F.col("depth") + F.coalesce("deeper", none)).alias("depth")), "jumps")
-        out.append(now)
+    first = cut(found.select("tree", "node", "up", F.col("score").alias("total")), "jumps")
+    now, done = first.where("up is not null"), [first.where("up is null")]
+    jumps, reach, count = [], 1, first.count()
+    while not now.isEmpty() and reach <= count:  # only cycles go on for longer than there are nodes
+        jumps.append(now)
+        far = _union([now, *done]).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("total").alias("more"))
+        joined = now.join(far, now["tree"].eqNullSafe(far["t"]) & (now["up"] == far["n"]))
+        state = cut(joined.select("tree", "node", F.col("u").alias("up"), (F.col("total") + F.col("more")).alias("total")), "jumps")
+        done.append(state.where("up is null"))
+        now = state.where("up is not null")
         reach *= 2
-    return out
+    return jumps, _union(done).select("tree", "node", "total")
 
 
 def format_trees(df: DataFrame, tree: str, node: str, parent: str, role: str, text: str, score: str | None = None, top: int = 1) -> DataFrame:
@@ -69,19 +77,20 @@ def format_trees(df: DataFrame, tree: str, node: str, parent: str, role: str, te
     ).where(F.col("node").isNotNull())
     one = Window.partitionBy("tree", "node").orderBy("parent", "role", "text")
     rows = cut(rows.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k"), "nodes")
-    steps = _steps(rows.select("tree", "node", "parent", "score"))
-    used = steps[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
-    ends = steps[-1].where("up is null")
-    leaves = ends.join(used, ends["tree"].eqNullSafe(used["t"]) & (ends["node"] == used["u"]), "left_anti")
+    jumps, ends = _steps(rows.select("tree", "node", "parent", "score"))
+    leaves = ends
+    if jumps:
+        used = jumps[0].select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
+        leaves = ends.join(used, ends["tree"].eqNullSafe(used["t"]) & (ends["node"] == used["u"]), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    path = chosen.select("tree", F.col("node").alias("leaf"), "rank", F.col("total").alias("path_score"), "node", F.lit(0).cast("long").alias("back"))
-    for k, jump in enumerate(steps):
-        far = jump.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        path = path.unionByName(
-            path.join(far, path["tree"].eqNullSafe(far["t"]) & (path["node"] == far["n"])).select("tree", "leaf", "rank", "path_score", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back"))
-        )
-        path = cut(path, "paths") if k % 4 == 3 else path
+    path = [cut(chosen.select("tree", F.col("node").alias("leaf"), "rank", F.col("total").alias("path_score"), "node", F.lit(0).cast("long").alias("back")), "paths")]
+    for k, jump in enumerate(jumps):  # after each round all nodes within 2^(k+1) of the leaf are found
+        now = _union(path)
+        far = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        met = now.join(far, now["tree"].eqNullSafe(far["t"]) & (now["node"] == far["n"]))
+        path.append(cut(met.select("tree", "leaf", "rank", "path_score", F.col("up").alias("node"), (F.col("back") + (1 << k)).alias("back")), "paths"))
+    path = _union(path)
     said = rows.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     turns = path.join(said, path["tree"].eqNullSafe(said["t"]) & (path["node"] == said["n"])).select(
         "tree", "leaf", "rank", "path_score", "back", "role",
