@@ -107,3 +107,41 @@ def advisories(matches: DataFrame, query_id: str, top: int = 10) -> DataFrame:
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), F.desc("coverage"), "doc_id")
     level = F.when(F.col("similarity") >= 0.5, "HIGH").when(F.col("similarity") >= 0.1, "MEDIUM").otherwise("LOW")
     return matches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).withColumn("priority", level)
+
+
+def pack_lines(text: str, size: int) -> list[tuple[int, int]]:
+    """Spans of whole lines that fit ``size`` together; a longer line is cut into windows.
+
+    The line feed between two spans belongs to neither.
+    """
+    spans: list[tuple[int, int]] = []
+    begin = 0
+    room = False  # whether the last span may grow
+    for line in text.split("\n"):
+        end = begin + len(line)
+        if len(line) > size:
+            spans += [(a, min(a + size, end)) for a in range(begin, end, size)]
+            room = False
+        elif room and end - spans[-1][0] <= size:
+            spans[-1] = (spans[-1][0], end)
+        else:
+            spans.append((begin, end))
+            room = True
+        begin = end + 1
+    return [s for s in spans if s[0] < s[1]] or [(0, len(text))]
+
+
+def line_chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK) -> DataFrame:
+    """``chunks`` along lines: (chunk_id, parent, chunk_index, char_start, char_end, text)."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    @F.arrow_udf(T.ArrayType(T.StructType().add("a", "integer").add("b", "integer")))
+    def spans(texts: pa.Array) -> pa.Array:
+        found = [[{"a": a, "b": b} for a, b in pack_lines(t or "", size)] for t in texts.to_pylist()]
+        return pa.array(found, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+
+    rows = df.select(F.col(id_col).cast("string").alias("parent"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("s", spans("t"))
+    rows = rows.select("parent", "t", F.size("s").alias("n"), F.posexplode_outer("s").alias("chunk_index", "x"))
+    name = F.when(F.col("n") == 1, F.col("parent")).otherwise(F.concat("parent", F.lit("#chunk_"), F.col("chunk_index").cast("string")))
+    return rows.select(name.alias("chunk_id"), "parent", "chunk_index", F.col("x.a").alias("char_start"), F.col("x.b").alias("char_end"), F.substring(F.col("t"), F.col("x.a") + 1, F.col("x.b") - F.col("x.a")).alias("text"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import script as sc
-from loomwork.operators import correction, fusion, morphology, rules, snapshot, syntax, synthetic, tagging
+from loomwork.operators import correction, corpus, fusion, morphology, rules, snapshot, spelling, syntax, synthetic, tagging
 from loomwork.plans.catalog import register
-from loomwork.plans.common import documents, script_documents, table
+from loomwork.plans.common import LATIN, SCRIPT, SQUEEZED_SQL, documents, script_documents, table
+from loomwork.plans.statistics import COLLOCATIONS_SQL, SYL, _ngram_sql
 from loomwork.plans.textual import DOCS, FINAL_SQL, SENTENCE_SQL, WORDS, words
 
 
@@ -308,3 +309,79 @@ def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.char_length("text").cast("long").alias("n"), F.char_length(shorter).cast("long").alias("m"))
 
 
+
+
+LEX2_SQL = f"{DOCS}, {WORDS}, lex AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[^{sc.TSHEGS}{sc.SHADS}\\t\\n\\f\\r ]+')) AS word FROM docs WHERE doc_id % 2 = 0))"
+
+
+@register(
+    "known_words",
+    f"WITH {LEX2_SQL} SELECT word, word IN (SELECT word FROM lex) OR (regexp_matches(word, '[རས]$') AND substr(word, 1, length(word) - 1) IN (SELECT word FROM lex)) AS known FROM words",
+)
+def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words against the lexicon of the documents with even numbers."""
+    lexicon = script_documents(spark, sf_dir).where("doc_id % 2 = 0").select(F.explode(sc.syllables(F.col("text"))).alias("word")).distinct()
+    return spelling.known(words(spark, sf_dir), lexicon).select("word", "known")
+
+
+#: Two function words of the fixture, as particles.
+PARTICLES = tuple(w.translate(str.maketrans(LATIN, SCRIPT)) for w in ("of", "the"))
+PARTICLE_LIST = ", ".join(f"'{p}'" for p in PARTICLES)
+
+
+def _counts(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return corpus.ngrams(corpus.with_syllables(script_documents(spark, sf_dir)), n)
+
+
+@register(
+    "vowel_variants",
+    f"""WITH {SYL}, u AS (SELECT * FROM {_ngram_sql(1)}), k AS (SELECT ngram AS word, unnest(range(1, length(ngram) + 1)) AS k FROM u),
+    v AS (SELECT DISTINCT word, substr(word, 1, (k - 1)::INT) || c || substr(word, (k + 1)::INT) AS variant FROM (SELECT word, k, unnest(['ི', 'ེ', 'ོ', 'ུ']) AS c FROM k WHERE substr(word, k::INT, 1) IN ('ི', 'ེ', 'ོ', 'ུ')) WHERE c <> substr(word, k::INT, 1)),
+    f AS (SELECT v.word, variant, u.n FROM v JOIN u ON u.ngram = variant), r AS (SELECT *, coalesce(lead(n) OVER w, 0) AS nx, row_number() OVER w AS rk FROM f WINDOW w AS (PARTITION BY word ORDER BY n DESC, variant))
+    SELECT r.word, r.variant, r.n FROM r JOIN u ON u.ngram = r.word WHERE rk = 1 AND r.n >= 5 AND r.n >= 20 * u.n AND r.n >= 10 * nx""",
+)
+def vowel_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _counts(spark, sf_dir, 1)
+    return spelling.dominant_variants(u.select(F.col("ngram").alias("word")), u)
+
+
+@register(
+    "omitted_particles",
+    f"""WITH {SYL}, half AS (SELECT * FROM syl WHERE doc_id % 2 = 0), b AS (SELECT * FROM {_ngram_sql(2).replace('FROM syl', 'FROM half')}), t AS (SELECT * FROM {_ngram_sql(3).replace('FROM syl', 'FROM half')}),
+    w AS (SELECT doc_id, unnest(s) AS word, unnest(range(0, len(s))) AS pos FROM syl), p AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM w),
+    x AS (SELECT doc_id, pos, word, r, unnest([{PARTICLE_LIST}]) AS particle FROM p WHERE r IS NOT NULL AND word NOT IN ({PARTICLE_LIST}) AND r NOT IN ({PARTICLE_LIST}) AND word || ' ' || r NOT IN (SELECT ngram FROM b))
+    SELECT doc_id, pos, word, particle FROM x WHERE word || ' ' || particle IN (SELECT ngram FROM b WHERE n >= 2) AND particle || ' ' || r IN (SELECT ngram FROM b WHERE n >= 2) AND word || ' ' || particle || ' ' || r IN (SELECT ngram FROM t)""",
+)
+def omitted_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against the n-grams of those with even numbers."""
+    rows = corpus.with_syllables(script_documents(spark, sf_dir)).select("doc_id", F.posexplode("syllables").alias("pos", "word"))
+    rows = rows.withColumn("right", F.lead("word").over(Window.partitionBy("doc_id").orderBy("pos")))
+    half = corpus.with_syllables(script_documents(spark, sf_dir).where("doc_id % 2 = 0"))
+    found = spelling.omitted_particles(rows, corpus.ngrams(half, 2), corpus.ngrams(half, 3), list(PARTICLES))
+    return found.select("doc_id", "pos", "word", "particle")
+
+
+@register("spelling_verdicts")
+def spelling_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = script_documents(spark, sf_dir)
+    u = _counts(spark, sf_dir, 1)
+    lexicon = u.where("n >= 3").select(F.col("ngram").alias("word"))
+    rare = u.where("n < 3").select(F.col("ngram").alias("word"))
+    near = correction.same_start(rare, lexicon, 1).withColumn("confidence", F.lit(0.85))
+    best = near.groupBy("query").agg(F.min(F.struct("distance", "word", "confidence")).alias("b")).select("query", "b.word", "b.confidence")
+    found = spelling.verdicts(rules.tokens(docs), lexicon, _counts(spark, sf_dir, 2).where("n >= 2"), best)
+    return found.select("doc_id", "pos", "word", "verdict", "proposal")
+
+
+@register(
+    "collocation_scores",
+    f"""WITH t AS ({COLLOCATIONS_SQL}), w AS (SELECT doc_id, unnest(s) AS w1, unnest(range(0, len(s))) AS pos FROM (SELECT doc_id, list_filter(string_split({SQUEEZED_SQL}, ' '), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL AND text <> '')),
+    p AS (SELECT DISTINCT w1, w2 FROM (SELECT w1, lead(w1) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM w) WHERE w2 IS NOT NULL)
+    SELECT p.w1, p.w2, CASE WHEN coalesce(a.pmi, b.pmi) IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, coalesce(a.pmi, b.pmi) / 5)) END AS score
+    FROM p LEFT JOIN t a ON a.w1 = p.w1 AND a.w2 = p.w2 LEFT JOIN t b ON b.w2 = p.w1 AND b.w1 = p.w2""",
+)
+def collocation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rows = docs.select("doc_id", F.posexplode(F.filter(F.split(sc.squeeze_space(F.col("text")), " "), lambda w: w != "")).alias("pos", "w1"))
+    pairs = rows.withColumn("w2", F.lead("w1").over(Window.partitionBy("doc_id").orderBy("pos"))).where("w2 is not null").select("w1", "w2").distinct()
+    return spelling.collocation_scores(pairs, corpus.collocations(docs))

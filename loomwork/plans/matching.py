@@ -136,3 +136,9 @@ def index_add_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = table(spark, sf_dir, "labels").select("doc_id", F.lit(0).cast("long").alias("hash"))
     far = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000000000).alias("doc_id"), F.lit(1).cast("long").alias("hash"))
     return fp.add_missing(fp.add_missing(index, more, "doc_id"), far, "doc_id")
+
+
+@register("line_chunks")
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fp.line_chunks(documents(spark, sf_dir), "doc_id", "text", 1000)
+    return out.select("chunk_id", "parent", "chunk_index", "char_start", "char_end", F.md5("text").alias("text_md5"))

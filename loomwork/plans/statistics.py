@@ -97,15 +97,15 @@ def suspicious_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("alone") - F.col("pll") > 2.5).alias("suspicious"))
 
 
-@register(
-    "collocations",
-    f"""WITH w AS (SELECT list_filter(string_split({SQUEEZED_SQL}, ' '), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL AND text <> ''),
+COLLOCATIONS_SQL = f"""WITH w AS (SELECT list_filter(string_split({SQUEEZED_SQL}, ' '), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL AND text <> ''),
     syl AS (SELECT s FROM w), u AS (SELECT * FROM {_ngram_sql(1)}),
     b AS (SELECT split_part(ngram, ' ', 1) AS w1, split_part(ngram, ' ', 2) AS w2, n FROM {_ngram_sql(2)}),
     p AS (SELECT * FROM b WHERE length(w1) > 1 AND length(w2) > 1 AND w1 <> w2), t AS (SELECT sum(n) AS total FROM p)
     SELECT w1, w2, p.n, round(log2(p.n / (a.n * c.n / total)), 2) AS pmi, round((p.n - (a.n * c.n / total)) / sqrt(p.n), 2) AS t
-    FROM p JOIN u a ON a.ngram = w1 JOIN u c ON c.ngram = w2, t WHERE p.n >= 10 ORDER BY pmi DESC, t DESC, w1, w2 LIMIT 1500""",
-)
+    FROM p JOIN u a ON a.ngram = w1 JOIN u c ON c.ngram = w2, t WHERE p.n >= 10 ORDER BY pmi DESC, t DESC, w1, w2 LIMIT 1500"""
+
+
+@register("collocations", COLLOCATIONS_SQL)
 def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.collocations(documents(spark, sf_dir))
 

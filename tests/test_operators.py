@@ -237,3 +237,24 @@ def test_streaming_index_is_resumable(spark, tmp_path):
     found = spark.read.parquet(index)
     assert {r["doc_id"] for r in found.select("doc_id").distinct().collect()} == {1, 2, 3}
     assert found.where("doc_id < 3").count() == n
+
+
+def test_line_chunks(spark):
+    assert fingerprints.pack_lines("", 4) == [(0, 0)]
+    assert fingerprints.pack_lines("ab\ncd\nefghijkl\nm", 5) == [(0, 5), (6, 11), (11, 14), (15, 16)]
+    rows = fingerprints.line_chunks(spark.createDataFrame([(1, "ab\ncd"), (2, "abcdef"), (3, None)], "doc_id long, text string"), "doc_id", "text", 5).collect()
+    assert [(r["chunk_id"], r["text"]) for r in rows] == [("1", "ab\ncd"), ("2#chunk_0", "abcde"), ("2#chunk_1", "f"), ("3", "")]
+
+
+def test_word_tables(spark):
+    from loomwork.operators import spelling
+
+    words = rules.tokens(spark.createDataFrame([(1, "ཀ་ཁ་ག་ང")], "doc_id long, text string"))
+    table = spark.createDataFrame([("ཀ་ཁ", "X"), ("ཀ་ཁ་ག", "Y")], "wrong string, right string")
+    assert [(r["char_start"], r["char_end"], r["replacement"]) for r in spelling.compounds(words, table).collect()] == [(0, 5, "Y")]
+    found = spelling.by_neighbours(words, [("ཁ", "ག", None, "no"), ("ཁ", "ཀ", "ག", "yes"), ("ང", None, None, "end")])
+    assert sorted(r["replacement"] for r in found.collect()) == ["end", "yes"]
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("x", "y")], "w1 string, w2 string")
+    known = spark.createDataFrame([("a", "b", 2.5)], "w1 string, w2 string, pmi double")
+    assert {(r["w1"], r["score"]) for r in spelling.collocation_scores(pairs, known).collect()} == {("a", 0.5), ("b", 0.5), ("x", 0.5)}
+    assert [r["verdict"] for r in spelling.verdicts(words, spark.createDataFrame([("ཀ",)], "word string"), spark.createDataFrame([], "ngram string"), spark.createDataFrame([], "query string, word string, confidence double")).collect()] == ["skipped"] * 4
