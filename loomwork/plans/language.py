@@ -13,6 +13,12 @@ from loomwork.plans.statistics import COLLOCATIONS_SQL, SYL, _ngram_sql
 from loomwork.plans.textual import DOCS, FINAL_SQL, SENTENCE_SQL, WORDS, words
 
 
+def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents labelled good: a corpus of its own."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return script_documents(spark, sf_dir).join(good, "doc_id", "left_semi")
+
+
 def _list_sql(groups: dict[str, str]) -> str:
     entries = morphology.by_surface(groups)
     return "CASE word " + " ".join(f"WHEN '{k}' THEN '{'+'.join(v)}'" for k, v in entries.items()) + " END"
@@ -123,8 +129,8 @@ def tag_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with words, tags, trees, names and graphs: distinct ones are worked on once."""
     model = tagging.train(_tagged(spark, sf_dir), ["doc_id", "sent_idx"])
-    model["emissions"] = model["emissions"].orderBy(F.desc("n"), "surface").limit(50_000)
-    entries = _tagged(spark, sf_dir).where("tag = 'n.prop'").groupBy("surface").count().where("count >= 3").orderBy(F.desc("count"), "surface").limit(5_000)
+    model["emissions"] = model["emissions"].where("n >= 3")  # a lexicon of what recurs; the rest is tagged by context
+    entries = _tagged(spark, sf_dir).where("tag = 'n.prop'").groupBy("surface").count().where("count >= 10")
     gazetteer = entries.select(F.array("surface").alias("syllables"), F.lit("plain").alias("tier"))
     rows = snapshot.sentence_rows(script_documents(spark, sf_dir)).select("doc_id", "sent_idx", "hash", sc.syllables(F.col("sentence")).alias("words"))
     once = rows.select("hash", "words").dropDuplicates(["hash"])
@@ -263,14 +269,16 @@ def panel_of_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "incremental_reuse",
-    f"""WITH {DOCS}, o AS (SELECT DISTINCT unnest({SENTENCE_SQL}) AS s FROM docs), changed AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ཀ་ཁ། ' || text ELSE text END AS text FROM docs),
+    f"""WITH {DOCS}, o AS (SELECT DISTINCT unnest({SENTENCE_SQL}) AS s FROM docs), changed AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 'ཀ་ཁ། ' || text ELSE text END AS text FROM docs),
     n AS (SELECT doc_id, unnest({SENTENCE_SQL}) AS s FROM changed) SELECT doc_id, count(*) AS sentences, count(*) FILTER (WHERE s IN (SELECT s FROM o)) AS reused FROM n GROUP BY 1""",
 )
 def incremental_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = script_documents(spark, sf_dir)
     stage = lambda rows: rows.select("hash", F.size(sc.syllables(F.col("sentence"))).alias("tokens"))
     known = snapshot.analyze(snapshot.sentence_rows(docs), stage)
-    changed = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("ཀ་ཁ། "), "text")).otherwise(F.col("text")))
+    good = good_documents(spark, sf_dir).select("doc_id", F.lit(True).alias("good"))
+    edited = F.when(F.col("good"), F.concat(F.lit("ཀ་ཁ། "), "text")).otherwise(F.col("text"))
+    changed = docs.join(good, "doc_id", "left").select("doc_id", edited.alias("text"))
     rows = snapshot.sentence_rows(changed)
     whole, new = snapshot.reanalyze(rows, known, stage)
     marked = whole.join(new.select("hash", F.lit(1).alias("fresh")), "hash", "left")
@@ -311,7 +319,7 @@ def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-LEX2_SQL = f"{DOCS}, {WORDS}, lex AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[^{sc.TSHEGS}{sc.SHADS}\\t\\n\\f\\r ]+')) AS word FROM docs WHERE doc_id % 2 = 0))"
+LEX2_SQL = f"{DOCS}, {WORDS}, lex AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[^{sc.TSHEGS}{sc.SHADS}\\t\\n\\f\\r ]+')) AS word FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)))"
 
 
 @register(
@@ -319,8 +327,8 @@ LEX2_SQL = f"{DOCS}, {WORDS}, lex AS (SELECT DISTINCT word FROM (SELECT unnest(r
     f"WITH {LEX2_SQL} SELECT word, word IN (SELECT word FROM lex) OR (regexp_matches(word, '[རས]$') AND substr(word, 1, length(word) - 1) IN (SELECT word FROM lex)) AS known FROM words",
 )
 def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words against the lexicon of the documents with even numbers."""
-    lexicon = script_documents(spark, sf_dir).where("doc_id % 2 = 0").select(F.explode(sc.syllables(F.col("text"))).alias("word")).distinct()
+    """All words against the lexicon of the documents labelled good."""
+    lexicon = good_documents(spark, sf_dir).select(F.explode(sc.syllables(F.col("text"))).alias("word")).distinct()
     return spelling.known(words(spark, sf_dir), lexicon).select("word", "known")
 
 
@@ -347,16 +355,16 @@ def vowel_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "omitted_particles",
-    f"""WITH {SYL}, half AS (SELECT * FROM syl WHERE doc_id % 2 = 0), b AS (SELECT * FROM {_ngram_sql(2).replace('FROM syl', 'FROM half')}), t AS (SELECT * FROM {_ngram_sql(3).replace('FROM syl', 'FROM half')}),
+    f"""WITH {SYL}, half AS (SELECT * FROM syl WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)), b AS (SELECT * FROM {_ngram_sql(2).replace('FROM syl', 'FROM half')}), t AS (SELECT * FROM {_ngram_sql(3).replace('FROM syl', 'FROM half')}),
     w AS (SELECT doc_id, unnest(s) AS word, unnest(range(0, len(s))) AS pos FROM syl), p AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM w),
     x AS (SELECT doc_id, pos, word, r, unnest([{PARTICLE_LIST}]) AS particle FROM p WHERE r IS NOT NULL AND word NOT IN ({PARTICLE_LIST}) AND r NOT IN ({PARTICLE_LIST}) AND word || ' ' || r NOT IN (SELECT ngram FROM b))
     SELECT doc_id, pos, word, particle FROM x WHERE word || ' ' || particle IN (SELECT ngram FROM b WHERE n >= 2) AND particle || ' ' || r IN (SELECT ngram FROM b WHERE n >= 2) AND word || ' ' || particle || ' ' || r IN (SELECT ngram FROM t)""",
 )
 def omitted_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against the n-grams of those with even numbers."""
+    """All documents against the n-grams of those labelled good."""
     rows = corpus.with_syllables(script_documents(spark, sf_dir)).select("doc_id", F.posexplode("syllables").alias("pos", "word"))
     rows = rows.withColumn("right", F.lead("word").over(Window.partitionBy("doc_id").orderBy("pos")))
-    half = corpus.with_syllables(script_documents(spark, sf_dir).where("doc_id % 2 = 0"))
+    half = corpus.with_syllables(good_documents(spark, sf_dir))
     found = spelling.omitted_particles(rows, corpus.ngrams(half, 2), corpus.ngrams(half, 3), list(PARTICLES))
     return found.select("doc_id", "pos", "word", "particle")
 
