@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,19 +58,22 @@ def conflicts(a_start: int, a_end: int, b_start: int, b_end: int) -> bool:
     return a_start < b_end and b_start < a_end
 
 
-def _choose(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("position")
+def chosen(starts: list[int], ends: list[int]) -> list[bool]:
+    """Greedy choice in rank order: whether each edit is clear of all that were taken before it."""
     taken: list[tuple[int, int]] = []
     keep = []
-    for start, end in zip(group["char_start"], group["char_end"], strict=True):
+    for start, end in zip(starts, ends, strict=True):
         at = bisect_left(taken, (start, end))
-        near = taken[max(0, at - 2) : at + 2]
-        free = not any(conflicts(start, end, s, e) for s, e in near)
+        free = not any(conflicts(start, end, a, b) for a, b in taken[max(0, at - 2) : at + 2])
         if free:
             taken.insert(at, (start, end))
         keep.append(free)
-    group["rejection"] = [None if k else "SUPERSEDED" for k in keep]
-    return group
+    return keep
+
+
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _chosen(starts: pa.Array, ends: pa.Array) -> pa.Array:
+    return pa.array([chosen(a, b) for a, b in zip(starts.to_pylist(), ends.to_pylist(), strict=True)], pa.list_(pa.bool_()))
 
 
 def resolved(suggestions: DataFrame) -> DataFrame:
@@ -78,10 +81,11 @@ def resolved(suggestions: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(*rank_order())
     rows = suggestions.where("rejection is null").withColumn("position", F.row_number().over(order))
     edits = clustered(rows.where("replacement is not null"))
-    schema = T.StructType([*edits.schema.fields])
-    schema["rejection"].nullable = True
-    chosen = edits.groupBy("doc_id", "cluster").applyInPandas(_choose, schema).drop("cluster")
-    return chosen.unionByName(rows.where("replacement is null"))
+    names = [c for c in rows.columns if c not in ("position", "rejection")]
+    islands = edits.groupBy("doc_id", "cluster").agg(F.sort_array(F.collect_list(F.struct("position", *names))).alias("e"))
+    judged = islands.select("e", _chosen(F.col("e.char_start"), F.col("e.char_end")).alias("kept"))
+    told = judged.select(F.explode_outer(F.arrays_zip("e", "kept")).alias("z")).select("z.e.*", F.when(~F.col("z.kept"), "SUPERSEDED").alias("rejection"))
+    return told.select(*rows.columns).unionByName(rows.where("replacement is null"))
 
 
 def merged(edits: DataFrame) -> DataFrame:
