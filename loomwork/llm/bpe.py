@@ -93,6 +93,13 @@ class WordBpe:
         self.merged = np.array([vocab[x + y] for x, y in merges], dtype=np.int32)
         self.first_ids = np.array([vocab[c] for c in self.alphabet], dtype=np.int32)
         self.final_ids = np.array([vocab[c + self.suffix] for c in self.alphabet], dtype=np.int32)
+        # ranks of pairs of single bytes, as a table: most of what is ever looked up
+        size = 1 << 9
+        single = np.full(max(size, int(max(self.first_ids.max(), self.final_ids.max())) + 1), -1, dtype=np.int64)
+        single[self.first_ids], single[self.final_ids] = np.arange(256), np.arange(256, 512)
+        symbols = np.concatenate([self.first_ids, self.final_ids])
+        self.single = single
+        self.first_ranks = self._ranks(np.repeat(symbols, size), np.tile(symbols, size))
         self.words: dict[str, bytes] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -110,7 +117,8 @@ class WordBpe:
         ids = np.concatenate([ids, np.full((len(ids), 1), -1, np.int32)], axis=1)
         done = ids.copy()
         rows, columns = np.arange(len(ids)), np.arange(ids.shape[1] - 1)
-        ranks = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
+        codes = np.where(ids >= 0, self.single[np.maximum(ids, 0)], 0)
+        ranks = np.where(ids[:, 1:] >= 0, self.first_ranks[codes[:, :-1] * 512 + codes[:, 1:]], FAR)
         while len(rows):
             at = ranks.argmin(axis=1)
             best = ranks[np.arange(len(rows)), at]
@@ -199,17 +207,20 @@ class WordBpe:
         out = []
         for k in range(0, len(texts), TEXTS_AT_ONCE):
             lists = [self.pre_tokens(t) for t in texts[k : k + TEXTS_AT_ONCE]]
-            new = set().union(*lists).difference(self.words)
+            coded = [list(map(self.words.get, words)) for words in lists]
+            holes = [[i for i, c in enumerate(codes) if c is None] for codes in coded]
+            new = {words[i] for words, at in zip(lists, holes, strict=True) for i in at}
+            special = {w: np.array([self.special[w[1:]]], dtype="<i4").tobytes() for w in new if w[0] == "\n"}  # no pre-token has a line feed
             if len(self.words) + len(new) > MEMO_WORDS:
                 self.words.clear()
-                new = set().union(*lists)
-            for w in [w for w in new if w[0] == "\n"]:  # no pre-token has a line feed: a special token
-                self.words[w] = np.array([self.special[w[1:]]], dtype="<i4").tobytes()
-                new.discard(w)
-            if new:
-                words = list(new)
-                self.words.update(zip(words, self.encode_words(words), strict=True))
-            out += [b"".join(map(self.words.__getitem__, words)) for words in lists]
+            self.words.update(special)
+            missing = [w for w in new if w not in special]
+            if missing:
+                self.words.update(zip(missing, self.encode_words(missing), strict=True))
+            for words, codes, at in zip(lists, coded, holes, strict=True):
+                for i in at:
+                    codes[i] = self.words[words[i]]
+                out.append(b"".join(codes))
         return out
 
     def decode_tokens(self, ids: np.ndarray) -> str:
