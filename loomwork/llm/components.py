@@ -1,19 +1,68 @@
 """Connected components of an undirected link table, by alternating stars.
 
-Each round points every node's larger neighbours, then its smaller ones, at the
-least node seen (large star, small star) until no link changes: a logarithmic
-number of rounds, with a table in the shared folder between them and nothing on
-the driver but a count and a checksum. Minima are aggregated before the shuffle;
-joins on a hub's key are ordinary joins that adaptive execution may split.
+Each round first contracts what a task reads, ``AT_ONCE`` links at a time, to
+stars of its own by union-find, without a shuffle. Then every node's larger
+neighbours, and after that its smaller ones, are pointed at the least node seen
+(large star, small star). This goes on until no link changes: a few rounds, with a
+table in the shared folder between them and nothing on the driver but a count and
+a checksum. Minima are aggregated before the shuffle; joins on a hub's key are
+ordinary joins that adaptive execution may split.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.session import prepare
 from loomwork.shared import cut, drop_table
 
+#: Links that a task contracts together: bounds its memory.
+AT_ONCE = 400_000
+
+
+def stars(us: list[int], vs: list[int]) -> tuple[list[int], list[int]]:
+    """The same components as (node, least node), by union-find with path halving."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            z = up.get(y, y)
+            up[x] = z
+            x = z
+        return x
+
+    for u, v in zip(us, vs, strict=True):
+        a, b = find(u), find(v)
+        if a < b:
+            up[b] = a
+        elif b < a:
+            up[a] = b
+    nodes = list(up)
+    roots = [find(x) for x in nodes]
+    kept = [k for k, (x, r) in enumerate(zip(nodes, roots, strict=True)) if x != r]
+    return [nodes[k] for k in kept], [roots[k] for k in kept]
+
+
+def _contract(batches):
+    us: list[int] = []
+    vs: list[int] = []
+
+    def told():
+        a, b = stars(us, vs)
+        us.clear()
+        vs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
+
+    for batch in batches:
+        us += batch.column(0).to_pylist()
+        vs += batch.column(1).to_pylist()
+        if len(us) >= AT_ONCE:
+            yield told()
+    if us:
+        yield told()
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """``links``: (u, v) with u > v. Large: larger neighbours go to the least of all; small: the rest do."""
@@ -28,11 +77,12 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for every node that has a link; root is the least node of its component.
+    """(node, root) for every node (a long) that has a link; root is the least node of its component.
 
     Null ends and links of a node to itself are ignored; an empty table gives an
     empty one.
     """
+    prepare(links.sparkSession)
     now = cut(
         links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
         "links",
@@ -43,7 +93,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if mark == state or not mark[0]:
             break
         state = mark
-        after = cut(_star(_star(now, True), False), "links")
+        contracted = now.mapInArrow(_contract, "u long, v long")
+        after = cut(_star(_star(contracted, True), False), "links")
         drop_table(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -4,8 +4,8 @@ Copies that keep 0.8 of their five-word shingles differ in more bits than two of
 shingle SimHash, so this stage asks the same Golay keys of several fingerprints:
 ``PRINTS`` SimHashes of a text's distinct words, long words weighing more, which
 move little when a text is edited and are near random for other texts. Within one
-key every text is paired with the least text only, never all with all: the number
-of candidates is linear in the keys. Candidates are verified by the exact Jaccard
+key every text is paired with the least and the greatest text only, never all with
+all: the number of candidates is linear in the keys. Candidates are verified by the exact Jaccard
 similarity of their five-word shingle sets, and what is linked becomes one group.
 
 Defined results: texts are compared lower-cased (A-Z); null is the empty text;
@@ -33,7 +33,7 @@ SIMILARITY = 0.8
 
 
 def word_prints(text: str | None) -> list[int]:
-    """``PRINTS`` SimHashes of the distinct words, each weighing the square of its length less three."""
+    """``PRINTS`` SimHashes of the distinct words, each weighing the third power of its length less three."""
     import xxhash
 
     words = set((text or "").encode("utf-8").translate(LOWER).split())
@@ -41,7 +41,7 @@ def word_prints(text: str | None) -> list[int]:
         return [0] * PRINTS
     data = b"".join([xxhash.xxh3_128_digest(w, seed) for w in words for seed in range(PRINTS // 2)])
     bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(len(words), -1), axis=1)
-    weight = np.array([max(1, len(w) - 3) ** 2 for w in words], dtype=np.float64)
+    weight = np.array([max(1, len(w) - 3) ** 3 for w in words], dtype=np.float64)
     return np.packbits(weight @ bits * 2 > weight.sum()).view(">i8").tolist()
 
 
@@ -53,7 +53,7 @@ def _prints(texts: pa.Array) -> pa.Array:
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _entries(prints: pa.Array) -> pa.Array:
     flat = prints.values.to_numpy(zero_copy_only=False).astype(np.int64)[prints.offsets[0].as_py() : prints.offsets[-1].as_py()]
-    entered = keys(flat)[1].reshape(-1, PRINTS, 36)
+    entered = keys(flat)[1].reshape(-1, PRINTS, 18)
     has = entered >= 0
     marked = entered + (np.arange(PRINTS, dtype=np.int64) << 44)[None, :, None]
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has.sum(axis=(1, 2)))]), pa.int32()), pa.array(marked[has]))
@@ -96,9 +96,12 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     hashed = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
     marked = cut(hashed.select("id", "node", _prints("text").alias("prints")), "prints")
     nodes = cut(marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("least"), F.first("prints").alias("prints")), "nodes")
-    entries = nodes.select("node", F.explode(_entries("prints")).alias("key"))
-    met = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
-    pairs = cut(entries.join(met, "key").where("node <> first").select("node", "first").distinct(), "pairs")
+    # dealt out by key once: the minima and the join with them read the same shuffle
+    entries = nodes.select("node", F.explode(_entries("prints")).alias("key")).repartition("key")
+    met = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    other = F.explode(F.array("first", "last")).alias("other")
+    ends = entries.join(met, "key").select("node", other).where("node <> other")
+    pairs = cut(ends.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("first")).distinct(), "pairs")
     wanted = pairs.select("node").union(pairs.select("first")).distinct()
     texts = cut(hashed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     left, right = texts.select("node", F.col("text").alias("a")), texts.select(F.col("node").alias("first"), F.col("text").alias("b"))

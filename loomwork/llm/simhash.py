@@ -1,10 +1,11 @@
 """SimHash near-duplicates, linked by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits. Where two
-fingerprints differ in at most two bits, some segment agrees exactly (pigeonhole)
-and of the other two one differs in at most one bit. So for every ordered pair of
-segments a key is made of the first one's bits and a Golay codeword index of the
-second one, seen as a word of 23 bits. The binary Golay code (23, 12, 7) is
+A 64-bit fingerprint is cut into three segments of 22, 21 and 21 bits, in a ring.
+Where two fingerprints differ in at most two bits, some segment agrees exactly and
+the next one in the ring differs in at most one bit (pigeonhole: with both errors
+in one segment, the two behind it agree; with errors in two, the third agrees and
+its next has one). So three keys are made, each of a segment's bits and a Golay
+codeword index of the next one, seen as a word of 23 bits. The binary Golay code (23, 12, 7) is
 perfect: each word has one codeword within 3 bits. A fingerprint asks with that
 one and is entered under all codewords within 4 bits (one, or six where the
 nearest is 3 away); a word that differs in one bit is then met for certain.
@@ -102,8 +103,8 @@ _GOLAY: list[np.ndarray] = []
 
 
 def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The key each fingerprint asks with per pair of segments (n, 6), and those it
-    is entered under (n, 6, 6; -1 where there is none)."""
+    """The key each fingerprint asks with per pair of segments (n, 3), and those it
+    is entered under (n, 3, 6; -1 where there is none)."""
     if not _GOLAY:
         _GOLAY.extend(_tables())
     upper, patterns = _GOLAY
@@ -112,7 +113,7 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for word in raw:
         error = patterns[upper[word >> 11] ^ (word & 2047)]
         near.append(np.where(error >= 0, (word[:, None] ^ error) >> 11, -1))
-    pairs = [(i, j) for i in range(3) for j in range(3) if i != j]
+    pairs = [(i, (i + 1) % 3) for i in range(3)]
     stored = [np.where(near[j] >= 0, (p << 40) | (raw[i][:, None] << 12) | near[j], -1) for p, (i, j) in enumerate(pairs)]
     entered = np.stack(stored, axis=1)
     return entered[:, :, 0], entered
@@ -125,7 +126,7 @@ def _keys(prints: pa.Array) -> pa.Array:
     has = flat >= 0
     return pa.StructArray.from_arrays(
         [
-            pa.ListArray.from_arrays(pa.array(np.arange(0, ask.size + 1, 6), pa.int32()), pa.array(ask.ravel())),
+            pa.ListArray.from_arrays(pa.array(np.arange(0, ask.size + 1, ask.shape[1]), pa.int32()), pa.array(ask.ravel())),
             pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has.sum(axis=1))]), pa.int32()), pa.array(flat[has])),
         ],
         ["ask", "entered"],
