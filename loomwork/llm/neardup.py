@@ -1,12 +1,22 @@
-"""Near copies of whole texts: several SimHashes, Golay keys, exact similarity.
+"""Near copies of whole texts: an exact join of five-word shingle sets, and groups of it.
 
-Copies that keep 0.8 of their five-word shingles differ in more bits than two of a
-shingle SimHash, so this stage asks the same Golay keys of several fingerprints:
-``PRINTS`` SimHashes of a text's distinct words, long words weighing more, which
-move little when a text is edited and are near random for other texts. Within one
-key every text is paired with the least and the greatest text only, never all with
-all: the number of candidates is linear in the keys. Candidates are verified by the exact Jaccard
-similarity of their five-word shingle sets, and what is linked becomes one group.
+Two sets of Jaccard similarity t or more share a shingle among the first
+n - ceil(t n) + 1 of each, in any order common to all texts (prefix filter). So a
+text is entered under these shingles only, and no pair at or above t is missed,
+whatever its words look like: a shingle counts as one, however long its words are.
+The order puts shingles first that a sample does not show to be common, and the
+common ones last, by their number; the sample decides the order, never a result.
+An entry carries the shingle's rank and the set's size: a pair is a candidate where
+what is left behind both ranks can reach t (position filter; it holds at the first
+common shingle of every pair at or above t). Candidates are verified by the exact
+Jaccard similarity, and what is linked becomes one group.
+
+Up to ``CROWD`` texts under a key are paired in full. A crowded key is settled in
+two steps without losing a link: its texts are first compared with the ``HUBS``
+texts that have least in front of the shared shingle (an original has less of its
+own than its edited copies), and the links found are joined to groups. Then all
+pairs of the key that lie in different groups and pass the filter are verified; a
+pair within one group can change nothing any more.
 
 Defined results: texts are compared lower-cased (A-Z); null is the empty text;
 equal texts are always one group; fewer than five words make one shingle of what
@@ -16,47 +26,172 @@ null ids first. All columns are kept. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.llm.components import components
-from loomwork.llm.simhash import LOWER, keys
+from loomwork.llm.simhash import LOWER
 from loomwork.session import prepare
 from loomwork.shared import cut
 
-PRINTS = 6
 WORDS = 5
 SIMILARITY = 0.8
+#: Texts under one key beyond which hubs come before the pairs.
+CROWD = 32
+HUBS = 3
+#: Texts that the order of shingles is learnt from, sightings that make a shingle
+#: common, and how many common ones are told to the tasks.
+SAMPLE = 8_000
+COMMON = 4
+MOST_COMMON = 100_000
+#: Entries and pairs that a task holds at a time, beyond the entries of one key.
+AT_ONCE = 1 << 16
+EPS = 1e-9
 
 
-def word_prints(text: str | None) -> list[int]:
-    """``PRINTS`` SimHashes of the distinct words, each weighing the third power of its length less three."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
     import xxhash
 
-    words = set((text or "").encode("utf-8").translate(LOWER).split())
-    if not words:
-        return [0] * PRINTS
-    data = b"".join([xxhash.xxh3_128_digest(w, seed) for w in words for seed in range(PRINTS // 2)])
-    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8).reshape(len(words), -1), axis=1)
-    weight = np.array([max(1, len(w) - 3) ** 3 for w in words], dtype=np.float64)
-    return np.packbits(weight @ bits * 2 > weight.sum()).view(">i8").tolist()
+    parts = (text or "").encode("utf-8").translate(LOWER).split()
+    joined = b" ".join(parts)
+    digest = xxhash.xxh64_digest
+    if len(parts) <= words:
+        hashes = digest(joined)
+    else:
+        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+        begins = [0, *(ends[:-words] + 1).tolist()]
+        hashes = b"".join([digest(joined[a:b]) for a, b in zip(begins, ends[words - 1 :].tolist(), strict=True)])
+    return np.unique(np.frombuffer(hashes, dtype=np.int64))
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set in the order of all: those not in ``common``, then those in it as listed there."""
+    n = len(hashes)
+    taken = n - math.ceil(similarity * n - EPS) + 1
+    listed, rank = common
+    if not len(listed):
+        return hashes[:taken]
+    at = np.minimum(np.searchsorted(listed, hashes), len(listed) - 1)
+    late = np.where(listed[at] == hashes, rank[at], -1)
+    return hashes[np.argsort(late, kind="stable")[:taken]]
+
+
+def _told(common: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    listed = np.array(common, dtype=np.int64)
+    rank = np.argsort(listed)
+    return listed[rank], rank
+
+
+def _hashes_column(text: Column, words: int) -> Column:
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_hashes(t, words) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return run(text)
+
+
+def _entries_column(spark, text: Column, common: list[int], similarity: float, words: int) -> Column:
+    """(size of the set, its prefix)."""
+    shared = spark.sparkContext.broadcast(_told(common))  # bounded by MOST_COMMON
+
+    @F.arrow_udf(T.StructType().add("size", "integer").add("keys", T.ArrayType(T.LongType())))
+    def run(texts: pa.Array) -> pa.Array:
+        found = [shingle_hashes(t, words) for t in texts.to_pylist()]
+        keys = pa.array([prefix(h, shared.value, similarity) for h in found], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array([len(h) for h in found], pa.int32()), keys], ["size", "keys"])
+
+    return run(text)
+
 
+def common_shingles(hashed: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> list[int]:
+    """Shingles seen ``COMMON`` times or more in about ``sample`` texts, the most frequent last."""
+    total = hashed.count()
+    drawn = hashed.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < math.ceil(min(1.0, sample / max(1, total)) * 1_000_000))
+    seen = drawn.select(F.explode_outer(_hashes_column(F.col("text"), words)).alias("key")).groupBy("key").count()
+    most = seen.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()
+    return [r["key"] for r in reversed(most)]
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _prints(texts: pa.Array) -> pa.Array:
-    return pa.array([word_prints(t) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
+def reaches(size_a, at_a, size_b, at_b, similarity: float):
+    """Whether two sets can have ``similarity`` if the shingles at these ranks are their first common ones."""
+    need = similarity / (1 + similarity) * (size_a + size_b) - EPS
+    return np.minimum(size_a - at_a, size_b - at_b) >= need
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def _entries(prints: pa.Array) -> pa.Array:
-    flat = prints.values.to_numpy(zero_copy_only=False).astype(np.int64)[prints.offsets[0].as_py() : prints.offsets[-1].as_py()]
-    entered = keys(flat)[1].reshape(-1, PRINTS, 18)
-    has = entered >= 0
-    marked = entered + (np.arange(PRINTS, dtype=np.int64) << 44)[None, :, None]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has.sum(axis=(1, 2)))]), pa.int32()), pa.array(marked[has]))
+
+def _runs(batches):
+    """Columns of whole keys, from batches sorted by key (the first column)."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows >= AT_ONCE:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            last = int(np.searchsorted(whole[0], whole[0][-1]))  # the last key may go on
+            if last:
+                yield [c[:last] for c in whole]
+            held, rows = [[c[last:] for c in whole]], len(whole[0]) - last
+    if rows:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return starts, np.diff(np.concatenate([starts, [len(key)]]))
+
+
+def _pairs(batches, similarity: float, crowd: int):
+    """Candidates (a, b) of small keys and of the hubs of crowded ones; the entries of the latter with their key."""
+    names = ["a", "b", "key", "size", "at"]
+    for key, node, size, at in _runs(batches):
+        starts, lengths = _bounds(key)
+        small = np.repeat(lengths <= crowd, lengths)
+        k, n, s, p = key[small], node[small], size[small], at[small]
+        found = []
+        for d in range(1, min(crowd, len(k))):
+            same = np.flatnonzero(k[d:] == k[:-d])
+            if not len(same):
+                break
+            same = same[reaches(s[same], p[same], s[same + d], p[same + d], similarity)]
+            found.append((n[same], n[same + d]))
+        for a, z in zip(starts[lengths > crowd], (starts + lengths)[lengths > crowd], strict=True):
+            n, s, p = node[a:z], size[a:z], at[a:z]
+            for hub in np.lexsort((n, -s, p))[:HUBS]:
+                ok = reaches(s, p, s[hub], p[hub], similarity) & (n != n[hub])
+                found.append((n[ok], np.full(int(ok.sum()), n[hub])))
+        if found:
+            left, right = (np.concatenate(c) for c in zip(*found, strict=True))
+            pairs = np.unique(np.stack([np.maximum(left, right), np.minimum(left, right)]), axis=1)
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            thin = none.cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, thin, thin], names)
+        if not small.all():
+            rest = ~small
+            none = pa.nulls(int(rest.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(node[rest]), none, *(pa.array(c[rest]) for c in (key, size, at))], names)
+
+
+def _across(batches, similarity: float):
+    """Candidates of crowded keys that lie in different groups."""
+    for key, node, size, at, root in _runs(batches):
+        for a, length in zip(*_bounds(key), strict=True):
+            z = a + length
+            rows = max(1, AT_ONCE * 8 // length)
+            for low in range(a, z, rows):
+                x, y = slice(low, min(low + rows, z)), slice(low, z)
+                ok = reaches(size[x, None], at[x, None], size[None, y], at[None, y], similarity) & (root[x, None] != root[None, y])
+                i, j = np.nonzero(ok)
+                u, v = node[x][i], node[y][j]
+                if len(u):
+                    pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
 def shingles(text: str, words: int = WORDS) -> set[tuple[bytes, ...]]:
@@ -89,24 +224,44 @@ def similarity_column(a: Column, b: Column, words: int = WORDS) -> Column:
     return run(a, b)
 
 
+def _verified(hashed: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The ``pairs`` (a table; a, b) of texts at or above ``similarity``."""
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    texts = cut(hashed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(left, "a").join(right, "b").where(similarity_column(F.col("x"), F.col("y"), words) >= similarity).select("a", "b")
+
+
+def near_links(hashed: DataFrame, entries: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, crowd: int = CROWD) -> DataFrame:
+    """(node, root) for every text with a near copy, from ``entries`` (key, node, size, at)."""
+    met = entries.repartition("key").withColumn("met", F.count("*").over(Window.partitionBy("key"))).where("met > 1").drop("met")
+    schema = "a long, b long, key long, size int, at int"
+    found = cut(met.sortWithinPartitions("key").mapInArrow(partial(_pairs, similarity=similarity, crowd=crowd), schema), "found")
+    pairs = cut(found.where("b is not null").select("a", "b").distinct(), "pairs")
+    roots = components(_verified(hashed, pairs, similarity, words), "a", "b")
+    crowded = found.where("b is null").select("key", F.col("a").alias("node"), "size", "at")
+    if crowded.isEmpty():
+        return roots
+    grouped = crowded.join(roots, "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root"))
+    here = Window.partitionBy("key")
+    apart = grouped.repartition("key").withColumn("apart", F.min("root").over(here) < F.max("root").over(here)).where("apart").drop("apart")
+    across = apart.sortWithinPartitions("key").mapInArrow(partial(_across, similarity=similarity), "a long, b long")
+    more = cut(across.distinct(), "across")
+    if more.isEmpty():
+        return roots
+    return components(_verified(hashed, more, similarity, words).unionByName(roots.toDF("a", "b")), "a", "b")
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """(node, root, keeper_node, keeper_id, copies) for every distinct text; node is its 64-bit hash."""
-    prepare(df.sparkSession)
+    spark = prepare(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hashed = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    marked = cut(hashed.select("id", "node", _prints("text").alias("prints")), "prints")
-    nodes = cut(marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("least"), F.first("prints").alias("prints")), "nodes")
-    # dealt out by key once: the minima and the join with them read the same shuffle
-    entries = nodes.select("node", F.explode(_entries("prints")).alias("key")).repartition("key")
-    met = entries.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    other = F.explode(F.array("first", "last")).alias("other")
-    ends = entries.join(met, "key").select("node", other).where("node <> other")
-    pairs = cut(ends.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("first")).distinct(), "pairs")
-    wanted = pairs.select("node").union(pairs.select("first")).distinct()
-    texts = cut(hashed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    left, right = texts.select("node", F.col("text").alias("a")), texts.select(F.col("node").alias("first"), F.col("text").alias("b"))
-    alike = pairs.join(left, "node").join(right, "first").where(similarity_column(F.col("a"), F.col("b"), words) >= similarity).select("node", "first")
-    roots = components(alike, "node", "first").select(F.col("node").alias("n"), "root")
+    entered = _entries_column(spark, F.col("text"), common_shingles(hashed, words), similarity, words)
+    marked = cut(hashed.select("id", "node", entered.alias("entered")), "prefixes")
+    nodes = cut(marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("least"), F.first("entered").alias("entered")), "nodes")
+    entries = nodes.select("node", F.col("entered.size").alias("size"), F.posexplode("entered.keys").alias("at", "key")).select("key", "node", "size", "at")
+    roots = near_links(hashed, entries, similarity, words).select(F.col("node").alias("n"), "root")
     rooted = nodes.join(roots, nodes["node"] == roots["n"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("keeper"), F.count("*").alias("texts"))
     return cut(rooted.join(keepers, "root").select("node", "root", F.col("keeper.node").alias("keeper_node"), F.col("keeper.least.id").alias("keeper_id"), "texts"), "groups")

@@ -306,3 +306,48 @@ def test_pipeline_stages(spark, docs, tmp_path):
     whole = plain
     whole.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def prose(rng, length):
+    return ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(length)]
+
+
+def edited(rng, words, changes):
+    out = list(words)
+    for k in rng.sample(range(len(out)), changes):
+        out[k] = "".join(rng.choice("klmnopqrst") for _ in range(6))
+    return out
+
+
+def least_of_groups(rows):
+    """doc_ids that stay, by comparing all texts with all."""
+    up = {i: i for i, _ in rows}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    sets = [(i, neardup.shingles(t)) for i, t in rows]
+    for (i, s), (j, t) in itertools.combinations(sets, 2):
+        if len(s & t) >= 0.8 * len(s | t):
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+    return {i for i in up if root(i) == i}
+
+
+def kept_ids(spark, rows):
+    return {r["doc_id"] for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_near_copies_of_crowded_keys(spark):
+    rng = random.Random(11)
+    texts = []
+    for length, copies, changes in ((200, 50, 4), (180, 50, 4), (150, 60, 3)):  # copies of one text, often alike by their original only
+        base = prose(rng, length)
+        texts += [base, *(edited(rng, base, changes) for _ in range(copies))]
+    passage = prose(rng, 60)
+    texts += [passage + prose(rng, 8 + k % 12) for k in range(60)]  # a common passage, other words behind it
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert kept_ids(spark, rows) == least_of_groups(rows)
