@@ -351,3 +351,21 @@ def test_near_copies_of_crowded_keys(spark):
     rng.shuffle(texts)
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     assert kept_ids(spark, rows) == least_of_groups(rows)
+
+
+def test_near_copies_and_long_tokens(spark):
+    rng = random.Random(12)
+    url = "https://example.org/a/rather/long/path/of/some/article/that/all/share"
+    rows = []
+    for k in range(60):
+        base = prose(rng, rng.randrange(100, 200))
+        at = rng.randrange(len(base))
+        for _ in range(2):  # the same but for one long token
+            token = f"https://example.org/{rng.getrandbits(80):020x}"
+            rows.append((len(rows), " ".join([*base[:at], token, *base[at:]])))
+        base = prose(rng, rng.randrange(100, 200))
+        for changes in (0, 1):  # all of these share one long token
+            rows.append((len(rows), " ".join([url, *edited(rng, base, changes)])))
+    want = least_of_groups(rows)
+    assert len(want) == 120
+    assert kept_ids(spark, rows) == want
