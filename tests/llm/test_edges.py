@@ -369,3 +369,21 @@ def test_near_copies_and_long_tokens(spark):
     want = least_of_groups(rows)
     assert len(want) == 120
     assert kept_ids(spark, rows) == want
+
+
+def test_all_pairs_at_the_bound_are_found(spark):
+    rng = random.Random(13)
+    rows, alike = [], 0
+    for k in range(240):
+        base = prose(rng, rng.choice((3, 9, 40, 100, 200, 400)))
+        copy = edited(rng, base, round(len(base) * (k % 6) / 200))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    for k in range(30):  # of five shingles four, and of 405 just 0.8 are common
+        base = prose(rng, (9, 365)[k % 2])
+        rows += [(480 + 2 * k, " ".join(base[:-1])), (481 + 2 * k, " ".join(base + prose(rng, 40) if k % 2 else base))]
+    for k in range(0, len(rows), 2):
+        alike += jaccard(rows[k][1], rows[k + 1][1]) >= 0.8
+    kept = kept_ids(spark, rows)
+    assert alike > 150
+    for k in range(0, len(rows), 2):
+        assert (rows[k + 1][0] not in kept) == (jaccard(rows[k][1], rows[k + 1][1]) >= 0.8)
