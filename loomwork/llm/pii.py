@@ -1,8 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, context scores them.
 
 Every kind has a pattern, a validator and a prior score. A proposal whose
-validator fails is dropped; nothing is retried inside it. Words of the kind's
-context within ``CONTEXT`` characters before a span raise its score. Base kinds
+validator fails is dropped; only an IBAN is looked for again inside it, and behind
+the end that its checksum confirms. Words of the kind's context within ``CONTEXT``
+characters before or behind a span raise its score. Base kinds
 (email, ip, card, phone) keep every confirmed span whatever its score, so that
 they never depend on context; added kinds (iban, ssn) need ``THRESHOLD``.
 
@@ -47,7 +48,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*").finditer
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){13,}").finditer
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}").finditer
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}").search
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}").finditer
 DIGIT = re.compile(r"[0-9]").search
 
@@ -108,13 +109,16 @@ def phones(text: str):
 
 
 def ibans(text: str):
-    for m in IBAN(text):
+    at = 0
+    while m := IBAN(text, at):
         start, end = m.span()
+        at = start + 1
         if start and text[start - 1].isalnum():
             continue
         while end - start >= 15:  # at most 45 characters: words behind it may have joined
             if (end == len(text) or not text[end].isalnum()) and text[end - 1] != " " and mod97(text[start:end].replace(" ", "")):
                 yield start, end
+                at = end
                 break
             end -= 1
 
@@ -141,7 +145,8 @@ def find(text: str | None) -> list[tuple[int, int, int, float]]:
     out = []
     for kind in kinds:
         for start, end in FINDERS[kind](text):
-            score = min(1.0, PRIOR[kind] + CONTEXT_GAIN * bool(NEAR[kind](text[max(0, start - CONTEXT) : start])))
+            near = NEAR[kind](text[max(0, start - CONTEXT) : start]) or NEAR[kind](text[end : end + CONTEXT])
+            score = min(1.0, PRIOR[kind] + CONTEXT_GAIN * bool(near))
             if kind in BASE or score >= THRESHOLD:
                 out.append((start, KINDS.index(kind), end, score))
     return sorted(out)

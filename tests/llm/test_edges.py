@@ -387,3 +387,14 @@ def test_all_pairs_at_the_bound_are_found(spark):
     assert alike > 150
     for k in range(0, len(rows), 2):
         assert (rows[k + 1][0] not in kept) == (jaccard(rows[k][1], rows[k + 1][1]) >= 0.8)
+
+
+def test_ibans_side_by_side_and_context_behind():
+    def of(text):
+        return [(kind, text[start:end]) for start, kind, end, _ in pii.find(text) if pii.KINDS[kind] in ("iban", "ssn")]
+
+    iban, ssn = pii.KINDS.index("iban"), pii.KINDS.index("ssn")
+    assert of("GB82WEST12345698765432 DE89370400440532013000") == [(iban, "GB82WEST12345698765432"), (iban, "DE89370400440532013000")]
+    assert of("REF AB12 DE89 3704 0044 0532 0130 00") == [(iban, "DE89 3704 0044 0532 0130 00")]
+    assert of("123-45-6789 is the ssn") == [(ssn, "123-45-6789")]
+    assert of("123-45-6789 is a number") == []
