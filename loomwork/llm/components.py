@@ -93,8 +93,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if mark == state or not mark[0]:
             break
         state = mark
-        contracted = now.mapInArrow(_contract, "u long, v long")
+        contracted = cut(now.mapInArrow(_contract, "u long, v long"), "contracted")  # read several times below
         after = cut(_star(_star(contracted, True), False), "links")
+        drop_table(contracted)
         drop_table(now)
         now = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -8,8 +8,14 @@ grey image as an NPY file's bytes; its difference hash compares neighbours.
 ``store_netpbm`` puts any binary column into a lossless grey Netpbm image of 64
 columns, padded with bytes 0 to a positive multiple of 64; that needs no Python.
 
+Samples are scaled to the whole range of 8 bits, or of 16 where the maximum is
+above 255. A bitmap or palette of greys alone gives a grey image.
+
+``store_bmp`` does the same with an 8-bit grey BMP.
+
 Defined results: null media give null in every output; bytes that are no whole
-image of a supported format give null pixels, tile and hash and an error text.
+image of a supported format, whatever sizes and samples they claim, give null
+pixels, tile and hash and an error text; so do samples above the maximum.
 Equal bytes give equal results. Existing columns with an output's name are
 replaced, others kept.
 """
@@ -47,6 +53,17 @@ def _fields(data: bytes, at: int, n: int) -> tuple[list[int], int]:
     return out, at
 
 
+def _plain(body: bytes, kind: int, n: int, most: int) -> np.ndarray:
+    """The first ``n`` samples written as text; bitmaps need no space between digits."""
+    body = re.sub(rb"#[^\n]*", b"", body)
+    words = re.findall(rb"[01]" if kind == 1 else rb"[0-9]+", body)[:n] if kind != 1 or not re.search(rb"[^01\s]", body) else []
+    if len(words) < n or re.search(rb"[^0-9\s]", body):
+        raise ValueError("samples end early or are no numbers")
+    if max(map(len, words)) > 5 and any(len(w.lstrip(b"0")) > 5 for w in words):
+        raise ValueError("sample above the maximum")
+    return np.array([int(w) for w in words], dtype=np.int64)
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
     """P1 to P6: bitmaps (1 is black: 0 here), grey maps and colour maps, plain or raw."""
     kind = data[1] - 48
@@ -58,21 +75,28 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     n = width * height * channels
     if n <= 0 or not 0 < most < 65536:
         raise ValueError("empty image")
+    # the least bytes that so many samples take, before any memory is asked for
+    row = (width + 7) // 8
+    least = n if kind <= 3 else row * height if kind == 4 else n * (1 + (most > 255))
+    if least > len(data) - at:
+        raise ValueError("samples end early")
     if kind <= 3:
-        body = re.sub(rb"#[^\n]*", b"", data[at:])
-        values = np.array(list(re.sub(rb"\s", b"", body)) if kind == 1 else body.split(), dtype=np.int64)
-        values = values - 48 if kind == 1 else values
+        values = _plain(data[at:], kind, n, most)
     elif kind == 4:
-        row = (width + 7) // 8
         packed = np.frombuffer(data, np.uint8, row * height, at + 1).reshape(height, row)
-        values = np.unpackbits(packed, axis=1)[:, :width].ravel().astype(np.int64)
+        values = np.unpackbits(packed, axis=1)[:, :width].ravel()
     else:
         values = np.frombuffer(data, np.uint8 if most < 256 else ">u2", n, at + 1)
-    if len(values) < n:
-        raise ValueError("samples end early")
-    values = values[:n]
     if kind in (1, 4):
-        values = 255 * (1 - values)
+        values = 255 * (1 - values.astype(np.int64))
+    else:
+        full = 255 if most < 256 else 65535
+        if most < full:
+            if int(values.max()) > most:
+                raise ValueError("sample above the maximum")
+            values = (values.astype(np.int64) * full + most // 2) // most
+        elif kind <= 3 and int(values.max()) > most:
+            raise ValueError("sample above the maximum")
     shape = (height, width, 3) if channels == 3 else (height, width)
     return values.astype(np.uint8 if most < 256 else np.uint16, copy=False).reshape(shape)
 
@@ -86,11 +110,17 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packing or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height:
         raise ValueError("this kind of BMP is not supported")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
+    if at + rows * stride > len(data):
+        raise ValueError("samples end early")
     body = np.frombuffer(data, np.uint8, rows * stride, at).reshape(rows, stride)
     if bits >= 24:
         image = body[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1]
     else:
+        if used > 1 << bits:
+            raise ValueError("the palette is too large")
         colours = np.frombuffer(data, np.uint8, 4 * (used or 1 << bits), 14 + size).reshape(-1, 4)[:, 2::-1]
+        if (colours == colours[:, :1]).all():
+            colours = np.ascontiguousarray(colours[:, 0])
         if bits == 1:
             index = np.unpackbits(body, axis=1)[:, :width]
         elif bits == 4:
@@ -172,7 +202,7 @@ def _images(media: pa.Array) -> pa.Array:
                 image = decode(data.to_pybytes())
                 plain = grey(image)
                 row = [*image.shape[:2], image.shape[2] if image.ndim == 3 else 1, image.tobytes(), npy_tile(plain), difference_hash(plain), None]
-            except (ValueError, IndexError) as e:
+            except (ValueError, IndexError, OverflowError) as e:
                 row[6] = f"{e}"
         for c, x in zip(columns, row, strict=True):
             c.append(x)
@@ -195,6 +225,31 @@ def netpbm(payload: Column) -> Column:
     return F.concat(header, payload, F.repeat(F.lit("\0"), rows * COLUMNS - n).cast("binary"))
 
 
+def _little(n: Column) -> Column:
+    """A number of four bytes, the least first, in hex."""
+    digits = F.lpad(F.hex(n.cast("long")), 8, "0")
+    return F.concat(*(F.substring(digits, k, 2) for k in (7, 5, 3, 1)))
+
+
+def bmp(payload: Column) -> Column:
+    """An 8-bit grey BMP, rows from the top, that holds the payload, padded likewise."""
+    n = F.octet_length(payload)
+    rows = F.greatest(F.lit(1), F.ceil(n / COLUMNS).cast("int"))
+    start = 14 + 40 + 4 * 256
+    fixed = lambda *numbers: "".join(x.to_bytes(size, "little").hex() for x, size in numbers)
+    head = F.concat(
+        F.lit(b"BM".hex()), _little(rows * COLUMNS + start), F.lit(fixed((0, 4), (start, 4), (40, 4), (COLUMNS, 4))), _little(F.lit(1 << 32) - rows),
+        F.lit(fixed((1, 2), (8, 2), (0, 4))), _little(rows * COLUMNS), F.lit(fixed((0, 4), (0, 4), (256, 4), (0, 4))),
+        F.lit("".join(bytes([k, k, k, 0]).hex() for k in range(256))),
+    )
+    return F.concat(F.unhex(head), payload, F.repeat(F.lit("\0"), rows * COLUMNS - n).cast("binary"))
+
+
+def store_bmp(df: DataFrame, payload_col: str, out: str = "media") -> DataFrame:
+    """Add the payload (null: empty) stored losslessly as a BMP image."""
+    return df.withColumn(out, bmp(F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))))
+
+
 def store_netpbm(df: DataFrame, payload_col: str, out: str = "media") -> DataFrame:
     """Add the payload (null: empty) stored losslessly as a Netpbm image."""
     return df.withColumn(out, netpbm(F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))))

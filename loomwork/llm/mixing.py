@@ -10,16 +10,21 @@ or 1: both totals stay as they were. What each block leaves over meets in
 further, much smaller rounds, and the last two units of a source are landed by
 the least error in words.
 
-Blocks are cut by a hash of the row within each source, so that a source with
+Rows of equal id, source, size and content are one unit of n rows: together they are
+taken floor(n p) times more for certain, and only the fraction that is left flies,
+as one copy of one row. So repeated rows, ids and null ids come as near the target
+as others do.
+
+Blocks are cut by a hash of the unit within each source, so that a source with
 any share of the rows is many tasks; a block holds about ``BLOCK`` units and no
-text. Random numbers come from the block's own rows: reruns agree, whatever the
+text. Random numbers come from the block's own units: reruns agree, whatever the
 partitioning.
 
-Defined results: a null or empty text has size 0 and takes part in the count of
-documents alone; sources go by code point with null last; a source without words
-has target 0 and takes nothing; rows with equal id, source and size are one unit
-and fare alike. The sources' totals (a row per source, not per document) are
-gathered on the driver.
+Defined results: ids may be of any type that casts to a string and back; a null or
+empty text has size 0 and takes part in the count of documents alone; sources go by
+code point with null last; a source without words has target 0 and takes nothing; of
+n equal rows the first ones, in any order, are taken once more than the rest. The
+sources' totals (a row per source, not per document) are gathered on the driver.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ CAP = 3
 BLOCK = 4096
 #: Sources up to which their table is broadcast (below 1 MB); more are joined.
 BROADCAST_SOURCES = 10_000
+#: Copies of one row that a task writes before another takes over.
+PIECE = 4096
 CLOSE = 1e-9
 
 
@@ -106,19 +113,18 @@ def land(p: list[float], n: list[int], words: list[float], open_units: list[int]
         p[k] = float(best[2] >> j & 1)
 
 
-UNITS = T.StructType().add("id", "long").add("source", "string").add("size", "long").add("n", "long").add("p", "double").add("blocks", "long")
+UNITS = T.StructType().add("id", "string").add("source", "string").add("size", "long").add("row", "long").add("n", "long").add("base", "long").add("p", "double").add("blocks", "long")
 
 
 def _balance(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values(["id", "size"], kind="stable", na_position="first")
+    group = group.sort_values(["row", "id", "size"], kind="stable", na_position="first")
     p = group["p"].tolist()
-    n = group["n"].tolist()
-    words = [float(a * b) for a, b in zip(n, group["size"].tolist(), strict=True)]
+    words = [float(a) for a in group["size"].tolist()]
     first = group.iloc[0]
     order = list(range(len(p)))
-    rng = random.Random(f"{first['source']}|{first['id']}|{len(p)}|{first['blocks']}")
+    rng = random.Random(f"{first['source']}|{first['row']}|{len(p)}|{first['blocks']}")
     rng.shuffle(order)
-    q, m, w = [p[k] for k in order], [n[k] for k in order], [words[k] for k in order]
+    q, m, w = [p[k] for k in order], [1] * len(p), [words[k] for k in order]
     rest = flight(q, m, w, rng)
     if first["blocks"] == 1 and rest:
         land(q, m, w, rest)
@@ -128,13 +134,24 @@ def _balance(group: pd.DataFrame) -> pd.DataFrame:
     return group[UNITS.names]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    plain = lambda f: F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else F.col(f.name)
+    return F.xxhash64(*(plain(f) for f in df.schema.fields))
+
+
 def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """(id, source, size, n, source_size, target, copies) for each distinct (id, source, size);
-    n is the number of rows that share it."""
+    """(id, source, size, row, n, source_size, target, base, copies) for each unit.
+
+    ``n`` rows make the unit, ``row`` is the hash of their columns; each is taken
+    ``base`` times and ``copies`` is the number of times they are taken together.
+    """
     spark = prepare(df.sparkSession)
     units = cut(
-        df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
-        .groupBy("id", "source", "size")
+        df.select(
+            F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), row_hash(df).alias("row")
+        )
+        .groupBy("id", "source", "size", "row")
         .agg(F.count("*").alias("n")),
         "units",
     )
@@ -146,16 +163,21 @@ def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
         base = min(math.floor(ratio + CLOSE), math.floor(cap))
         share = ratio - base if ratio - base > CLOSE else 0.0
         plan.append((r["source"], r["words"], target, base, share, max(1, math.ceil(r["units"] / BLOCK))))
-    schema = T.StructType().add("of", "string").add("source_size", "long").add("target", "double").add("base", "long").add("share", "double").add("blocks", "long")
+    schema = T.StructType().add("of", "string").add("source_size", "long").add("target", "double").add("each", "long").add("share", "double").add("blocks", "long")
     sources = spark.createDataFrame(plan, schema)
     sources = F.broadcast(sources) if len(plan) <= BROADCAST_SOURCES else sources
-    started = units.join(sources, units["source"].eqNullSafe(sources["of"])).select("id", "source", "size", "n", F.col("share").alias("p"), "blocks")
+    extra = F.col("n") * F.col("share")
+    sure = F.floor(extra + CLOSE)
+    part = F.when(extra - sure > CLOSE, extra - sure).otherwise(0.0)
+    started = units.join(sources, units["source"].eqNullSafe(sources["of"])).select(
+        "id", "source", "size", "row", "n", (F.col("n") * F.col("each") + sure).cast("long").alias("base"), part.alias("p"), "blocks"
+    )
     between = (F.col("p") > 0) & (F.col("p") < 1)
     done = [started.where(~between)]
     level = started.where(between)
     most = max((r[5] for r in plan), default=1)
     while True:
-        block = F.pmod(F.xxhash64("id", "size"), F.col("blocks")).alias("block")
+        block = F.pmod(F.xxhash64("row", "size"), F.col("blocks")).alias("block")
         level = cut(level.groupBy("source", "blocks", block).applyInPandas(_balance, UNITS), "balanced")
         done.append(level.where(~between))
         if most == 1:
@@ -167,26 +189,43 @@ def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
     for d in done[1:]:
         decided = decided.unionByName(d)
     return decided.join(sources, decided["source"].eqNullSafe(sources["of"])).select(
-        "id", "source", "size", "n", "source_size", "target", (F.col("base") + F.col("p").cast("long")).alias("copies")
+        F.col("id").cast(df.schema[id_col].dataType).alias("id"), "source", "size", "row", "n", "source_size", "target", F.col("each").alias("base"), (F.col("base") + F.col("p").cast("long")).alias("copies")
     )
 
 
 def per_row(decided: DataFrame) -> DataFrame:
-    """One row per input row: equal rows are told out again, many at a time."""
+    """One row per input row, ``copies`` being its own: equal rows are told out again, many at a time."""
     step = 65536
     parts = decided.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))))
-    each = F.least(F.lit(step).cast("long"), F.col("n") - F.col("part") * step)
-    return parts.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), each))).drop("part", "row", "n")
+    begin = F.col("part") * step
+    each = parts.withColumn("k", F.explode(F.sequence(begin + 1, F.least(begin + step, F.col("n")))))
+    more = (F.col("k") <= F.col("copies") - F.col("n") * F.col("base")).cast("long")
+    return each.withColumn("copies", F.col("base") + more).drop("part", "row", "n", "k", "base")
+
+
+def _told_out(rows: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    every = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return every.select(*(F.col(n).alias(c) for n, c in zip(names, columns, strict=True)))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """The mix itself: every row of ``df`` as many times as it is taken."""
-    decided = decide(df, id_col, source_col, text_col, weights, cap).where("copies > 0").select(
-        F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")
-    )
-    same = (
-        df[id_col].cast("long").eqNullSafe(F.col("__id"))
-        & df[source_col].cast("string").eqNullSafe(F.col("__source"))
-        & (word_count(df[text_col].cast("string")) == F.col("__size"))
+    """The mix itself: every row of ``df`` as many times as it is taken.
+
+    Rows that come once meet their number in a join. Equal rows are brought down to
+    one before they are moved, and dealt out again in pieces of ``PIECE`` copies.
+    """
+    decided = decide(df, id_col, source_col, text_col, weights, cap).where("copies > 0")
+    told = decided.select(F.col("id").cast("string").alias("__id"), F.col("source").alias("__source"), F.col("row").alias("__of"), F.col("n").alias("__n"), F.col("copies").alias("__copies"))
+    names = [f"__c{k}" for k in range(len(df.columns))]
+    rows = df.select(
+        row_hash(df).alias("__row"), F.col(id_col).cast("string").alias("__i"), F.col(source_col).cast("string").alias("__s"), *(F.col(c).alias(n) for c, n in zip(df.columns, names, strict=True))
     )
-    return df.join(decided, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[df[c] for c in df.columns])
+    same = rows["__row"].eqNullSafe(F.col("__of")) & rows["__i"].eqNullSafe(F.col("__id")) & rows["__s"].eqNullSafe(F.col("__source"))
+    several = told.where("__n > 1")
+    single = rows.join(told.where("__n = 1"), same).select("__copies", *names)
+    if several.isEmpty():  # one pass over the rows where all differ
+        return _told_out(single, names, df.columns)
+    one = rows.join(several, same).groupBy("__of", "__id", "__source", "__copies").agg(F.first(F.struct(*names)).alias("r"))
+    pieces = one.select("r.*", "__of", "__copies", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__copies") - 1) / PIECE))).alias("__piece"))
+    pieces = pieces.repartition("__of", "__piece").withColumn("__copies", F.least(F.lit(PIECE).cast("long"), F.col("__copies") - F.col("__piece") * PIECE))
+    return _told_out(single.unionByName(pieces.select("__copies", *names)), names, df.columns)

@@ -2,17 +2,23 @@
 
 For each language a tree of byte contexts of up to three bytes is counted on a
 bounded sample of labelled texts. A byte's probability in a context is its share
-with one escape per distinct follower (method C); an unseen byte pays the escape
-and is predicted in the context shorter by one, down to no context and at last to
-256 equal bytes. The statistics are frozen, so a text's exact code length is a sum
-of table entries; the language with the shortest code wins.
-
-The table has a row per kept context with the whole distribution of every
-language; contexts that the sample shows too seldom fall back to their suffix.
-Texts are lower-cased first. Bounds, all parameters: ``TRAIN_DOCS`` sampled texts
-per language, ``MAX_LANGUAGES`` languages (the most frequent), ``MAX_GRAMS`` counts
-per language and ``MAX_CONTEXTS`` rows. Scoring reads whole texts in pieces of
-``PIECE`` bytes.
+with one escape per distinct follower (method C). The escape's share goes to the
+bytes not seen in the context, in proportion to their probability in the context
+shorter by one: seen bytes are excluded there, so that all 256 probabilities of a
+context sum to 1. Below no context are 256 equal bytes. The statistics are frozen,
+so a text's exact code length is a sum of table entries; the language with the
+shortest code wins.
+
+All contexts of the sample are kept, of all languages, in one sparse table: an entry
+for each byte seen in a context by any language, with the code length in every
+language, and an escape for each context. A bit set per context finds an entry by
+rank; what is missing escapes to the suffix.
+
+Only the sample is bounded: about ``TRAIN_DOCS`` whole rows of each language, chosen
+by a hash of the id, and no more than about ``CELLS`` / languages ** 2 bytes of each,
+but always one row. That bounds the table by ``CELLS`` numbers for each order of
+contexts. More than ``MOST_LANGUAGES`` languages are refused with an error. Scoring
+reads whole texts in pieces of ``PIECE`` bytes. Texts are lower-cased first.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 so is everything when nothing was learnt. Equal code lengths go to the language
@@ -32,9 +38,8 @@ from pyspark.sql import types as T
 from loomwork.session import prepare
 
 TRAIN_DOCS = 1500
-MAX_LANGUAGES = 256
-MAX_GRAMS = 150_000
-MAX_CONTEXTS = 12_000
+CELLS = 64 << 20
+MOST_LANGUAGES = 4096
 PIECE = 1 << 20
 UNKNOWN = "und"
 START = b"\n\n\n"
@@ -51,59 +56,98 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 class Ppm:
-    """Code lengths in bits of every byte in every kept context, for each language."""
+    """Code lengths in bits of every byte in every context of the sample, for each language."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], max_contexts: int = MAX_CONTEXTS):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         """counts: language -> (packed four-byte strings, their numbers)."""
         self.languages = sorted(counts)
-        shares = [np.asarray(counts[k][0], dtype=np.uint32) for k in self.languages]
+        grams_of = [np.asarray(counts[k][0], dtype=np.uint32) for k in self.languages]
         numbers = [np.asarray(counts[k][1], dtype=np.float64) for k in self.languages]
-        seen = np.unique(np.concatenate([np.concatenate([g >> s & 255 for s in (0, 8, 16, 24)]) for g in shares])) if shares else np.array([], np.uint32)
+        used = np.unique(np.concatenate([np.concatenate([g >> s & 255 for s in (0, 8, 16, 24)]) for g in grams_of])) if grams_of else np.array([], np.uint32)
         self.symbols = np.zeros(256, dtype=np.int64)  # 0: bytes that the sample lacks
-        self.symbols[seen.astype(int)] = np.arange(1, len(seen) + 1)
-        size = self.size = len(seen) + 1
-        coded = [[self.symbols[g >> s & 255] for s in (24, 16, 8, 0)] for g in shares]
-        # contexts of three and two bytes, most frequent first, as far as they fit
-        whole = [np.zeros(size**k) for k in (3, 2)]
-        for (a, b, c, _), n in zip(coded, numbers, strict=True):
-            whole[0] += np.bincount((a * size + b) * size + c, n, size**3)
-            whole[1] += np.bincount(b * size + c, n, size**2)
-        kept = []
-        for w, most in zip(whole, (max_contexts, max_contexts // 2), strict=True):
-            some = np.flatnonzero(w)
-            kept.append(np.sort(some[np.argsort(-w[some], kind="stable")[:most]]))
-        threes, twos = kept
-        self.nodes = np.broadcast_to(1 + np.arange(size), (size, size, size)).copy().reshape(size * size, size)
-        self.nodes = self.nodes.reshape(size, size * size)
-        self.nodes[:, twos] = 1 + size + np.arange(len(twos))
-        self.nodes = self.nodes.ravel()
-        self.nodes[threes] = 1 + size + len(twos) + np.arange(len(threes))
-        rows = 1 + size + len(twos) + len(threes)
-        self.nodes = self.nodes.astype(np.uint16 if rows < 65536 else np.int32)
-        self.bits = np.zeros((rows * size, max(1, len(self.languages))), dtype=np.float32)
-        for k, ((a, b, c, s), n) in enumerate(zip(coded, numbers, strict=True)):
-            zero = self._mixed(np.bincount(s, n, size).reshape(1, size), np.full((1, size), 1 / 256))
-            one = self._mixed(np.bincount(c * size + s, n, size**2).reshape(size, size), zero)
-            two = self._mixed(self._table(b * size + c, s, n, twos), one[twos % size])
-            short = np.broadcast_to(1 + np.arange(size), (size, size)).ravel().copy()
-            short[twos] = 1 + size + np.arange(len(twos))
-            shorter = np.concatenate([zero, one, two])[short[threes % size**2]]
-            three = self._mixed(self._table((a * size + b) * size + c, s, n, threes), shorter)
-            self.bits[:, k] = -np.log2(np.concatenate([zero, one, two, three])).ravel()
-
-    def _table(self, contexts: np.ndarray, s: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(wanted):
-            return np.zeros((0, self.size))
-        at = np.minimum(np.searchsorted(wanted, contexts), len(wanted) - 1)
-        ok = wanted[at] == contexts
-        return np.bincount(at[ok] * self.size + s[ok], n[ok], len(wanted) * self.size).reshape(-1, self.size)
-
-    def _mixed(self, c: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Shares of a context's followers; the rest pay the escape and the shorter context's share."""
-        total, kinds = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mixed = np.where(c > 0, c / (total + kinds), kinds / (total + kinds) * shorter)
-        return np.where(total > 0, mixed, shorter)
+        self.symbols[used.astype(int)] = np.arange(1, len(used) + 1)
+        size = self.size = len(used) + 1
+        coded = [[self.symbols[g >> s & 255] for s in (24, 16, 8, 0)] for g in grams_of]
+        n_languages = max(1, len(self.languages))
+        # the tables of all orders, one after the other; row 0 is the empty context
+        self.words = (size + 63) // 64
+        masks, before, bits, escapes, suffix = [], [], [], [], []
+        shorter_keys, shorter_rows, shorter = None, None, None
+        self.nodes = np.zeros(size**3, dtype=np.int32)
+        first_row, first_entry = 0, 0
+        for order in range(4):
+            keyed = []  # context and follower of each gram, as one number
+            for a, b, c, s in coded:
+                context = (0, c, b * size + c, (a * size + b) * size + c)[order]
+                keyed.append(context * size + s)
+            keys = np.unique(np.concatenate(keyed)) if keyed else np.zeros(0, np.int64)
+            contexts, row_of = np.unique(keys // size, return_inverse=True)
+            place = None if order == 0 else np.searchsorted(shorter_keys, keys % size**order)
+            p = np.empty((len(keys), n_languages))
+            escape = np.ones((len(contexts), n_languages))
+            for k, (key, n) in enumerate(zip(keyed, numbers, strict=True)):
+                count = np.bincount(np.searchsorted(keys, key), n, len(keys))
+                below = np.full(len(keys), 1 / 256) if order == 0 else shorter[place, k]
+                total = np.bincount(row_of, count, len(contexts))
+                kinds = np.bincount(row_of, count > 0, len(contexts))
+                left = np.maximum(1 - np.bincount(row_of, below * (count > 0), len(contexts)), 1e-12)
+                escape[:, k] = np.where(total > 0, kinds / np.maximum(total + kinds, 1) / left, 1.0)
+                p[:, k] = np.where(count > 0, count / np.maximum(total + kinds, 1)[row_of], escape[row_of, k] * below)
+            mask = np.zeros((len(contexts), self.words), dtype=np.uint64)
+            follower = keys % size
+            np.bitwise_or.at(mask, (row_of, follower >> 6), np.uint64(1) << (follower & 63).astype(np.uint64))
+            counted = np.bitwise_count(mask).astype(np.int64).ravel()
+            before.append(first_entry + np.cumsum(counted) - counted)
+            masks.append(mask.ravel())
+            bits.append(-np.log2(p))
+            escapes.append(-np.log2(escape))
+            rows = first_row + np.arange(len(contexts))
+            if order == 0:
+                suffix.append(np.full(len(contexts), -1))
+            else:
+                at = np.searchsorted(shorter_rows, contexts % size ** (order - 1)) if order > 1 else np.zeros(len(contexts), np.int64)
+                suffix.append(first_row - len(shorter_rows) + at)
+            if order == 1:  # every context starts from its longest suffix in the sample
+                self.nodes.reshape(-1, size)[:, contexts] = rows
+            elif order == 2:
+                self.nodes.reshape(size, -1)[:, contexts] = rows
+            elif order == 3:
+                self.nodes[contexts] = rows
+            shorter_keys, shorter_rows, shorter = keys, contexts, p
+            first_row += len(contexts)
+            first_entry += len(keys)
+        self.masks, self.before = np.concatenate(masks), np.concatenate(before)
+        self.bits, self.escapes = np.concatenate(bits).astype(np.float32), np.concatenate(escapes).astype(np.float32)
+        self.suffix = np.concatenate(suffix).astype(np.int32)
+
+    def lengths(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """(bytes, languages): bits of each symbol behind its context of three."""
+        row = self.nodes[context].astype(np.int64)
+        word, bit = symbol >> 6, (symbol & 63).astype(np.uint64)
+        slot = row * self.words + word
+        mask = self.masks[slot]
+        hit = (mask >> bit & np.uint64(1)).astype(bool)
+        below = np.bitwise_count(mask & ((np.uint64(1) << bit) - np.uint64(1)))
+        out = self.bits[np.where(hit, self.before[slot] + below, 0)]
+        open_ones = np.flatnonzero(~hit)
+        if len(open_ones):
+            r, s = row[open_ones], symbol[open_ones]
+            sums = np.zeros((len(open_ones), out.shape[1]), dtype=np.float32)
+            live = np.arange(len(open_ones))
+            while len(live):
+                sums[live] += self.escapes[r[live]]
+                r[live] = self.suffix[r[live]]
+                ended = r[live] < 0
+                sums[live[ended]] += 8.0  # one of 256 equal bytes
+                live = live[~ended]
+                at = r[live] * self.words + (s[live] >> 6)
+                bit = (s[live] & 63).astype(np.uint64)
+                found = (self.masks[at] >> bit & np.uint64(1)).astype(bool)
+                below = np.bitwise_count(self.masks[at] & ((np.uint64(1) << bit) - np.uint64(1)))
+                sums[live[found]] += self.bits[self.before[at][found] + below[found]]
+                live = live[~found]
+            out[open_ones] = sums
+        return out
 
     def code_lengths(self, texts: list[str | None]) -> np.ndarray:
         """(texts, languages): bits of each whole text."""
@@ -115,7 +159,7 @@ class Ppm:
         for low in range(3, len(x), PIECE):
             high = min(low + PIECE, len(x))
             context = (x[low - 3 : high - 3] * self.size + x[low - 2 : high - 2]) * self.size + x[low - 1 : high - 1]
-            bits = self.bits[self.nodes[context].astype(np.int64) * self.size + x[low:high]]
+            bits = self.lengths(context, x[low:high])
             first, last = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high - 1, "right")
             for k in range(first, last + 1):
                 a, b = max(starts[k] + 3, low), min(ends[k], high)
@@ -123,13 +167,16 @@ class Ppm:
                     total[k] += bits[a - low : b - low].sum(axis=0, dtype=np.float64)
         return total
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, posterior probability, and bits a byte of the shortest code of each text."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         bits = np.round(self.code_lengths(texts), 3)
         best = bits.argmin(axis=1) if len(texts) else np.zeros(0, int)
-        worse = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000.0)
-        return [self.languages[k] for k in best], np.round(1 / np.exp2(-worse).sum(axis=1), 6)
+        least = bits.min(axis=1, keepdims=True) if len(texts) else bits
+        worse = np.minimum(bits - least, 1000.0)
+        sizes = np.array([max(1, len(prepared(t)) - len(START)) for t in texts])
+        return [self.languages[k] for k in best], np.round(1 / np.exp2(-worse).sum(axis=1), 6), np.round(least[:, 0] / sizes, 6) if len(texts) else np.zeros(0)
 
 
 def _count_grams(batches):
@@ -144,37 +191,48 @@ def _count_grams(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int = TRAIN_DOCS) -> Ppm:
-    """Count contexts on a sample of about ``train_docs`` rows of each language, chosen by a hash of the id."""
+def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int = TRAIN_DOCS, cells: int = CELLS) -> Ppm:
+    """Count contexts on a sample of the rows of each language (see above), chosen by a hash of the id."""
     prepare(labelled.sparkSession)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    found = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000))
+    found = (
+        rows.groupBy(F.col(lang_col).alias("lang"))
+        .agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes"), F.min(draw).alias("first"))
+        .limit(MOST_LANGUAGES + 1)
+        .collect()
+    )
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not found:
         return Ppm({})
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_000))
-    chosen = F.lit(False)
-    for r in found:
-        chosen = chosen | ((F.col(lang_col) == r["lang"]) & (draw < int(min(1.0, train_docs / r["count"]) * 1_000_000)))
+    most = cells / len(found) ** 2
+    share = {r["lang"]: max(r["first"], int(min(1.0, train_docs / r["n"], most / max(1, r["bytes"])) * 1_000_000) - 1) for r in found}
+    limits = labelled.sparkSession.createDataFrame(sorted(share.items()), "__lang string, __share long")  # a row per language
     schema = T.StructType().add("lang", "string").add("gram", "long").add("n", "long")
-    counted = rows.where(chosen).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count_grams, schema)
-    totals = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    most = totals.orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS * len(found)).toArrow()
-    table = most.to_pandas()
+    drawn = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    chosen = drawn.join(F.broadcast(limits), F.col("lang") == F.col("__lang")).where("draw <= __share").select("lang", "text")
+    counted = chosen.mapInArrow(_count_grams, schema)
+    table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()  # bounded by the sample
     return Ppm({lang: (g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in table.groupby("lang")})
 
 
-def identify(df: DataFrame, model: Ppm, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Add the predicted language of each whole text and the prediction's probability."""
+def identify(df: DataFrame, model: Ppm, text_col: str = "text", lang: str = "lang_pred", score: str = "score", bits: str | None = None) -> DataFrame:
+    """Add the predicted language of each whole text and the prediction's probability; with
+    ``bits`` also the bits a byte of its code (null where the language is unknown)."""
     spark = prepare(df.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS and MAX_LANGUAGES
+    shared = spark.sparkContext.broadcast(model)  # bounded by the sample
 
-    @F.arrow_udf(T.StructType().add("lang", "string").add("score", "double"))
+    @F.arrow_udf(T.StructType().add("lang", "string").add("score", "double").add("bits", "double"))
     def predict(texts: pa.Array) -> pa.Array:
-        names, scores = shared.value.predict(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        names, scores, lengths = shared.value.predict(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(lengths, pa.float64())], ["lang", "score", "bits"])
 
     text: Column = F.col(text_col)
     known = text.isNotNull() & text.rlike("\\p{L}")
     found = df.withColumn("__found", predict(text)).withColumn("__known", F.coalesce(known, F.lit(False)))
-    out = found.withColumn(lang, F.when(F.col("__known"), F.col("__found.lang")).otherwise(UNKNOWN))
-    return out.withColumn(score, F.when(F.col("__known") & (F.col(lang) != UNKNOWN), F.col("__found.score")).otherwise(0.0)).drop("__found", "__known")
+    sure = F.col("__known") & (F.col("__found.lang") != UNKNOWN)
+    out = found.withColumn(lang, F.when(sure, F.col("__found.lang")).otherwise(UNKNOWN)).withColumn(score, F.when(sure, F.col("__found.score")).otherwise(0.0))
+    if bits:
+        out = out.withColumn(bits, F.when(sure, F.col("__found.bits")))
+    return out.drop("__found", "__known")

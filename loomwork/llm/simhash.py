@@ -62,7 +62,11 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         ends = np.cumsum([len(p) + 1 for p in parts]) - 1
         begins = [0, *(ends[:-words] + 1).tolist()]
         hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(begins, ends[words - 1 :].tolist(), strict=True)])
-    rows = np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8))
+
+
+def majority(rows: np.ndarray) -> int:
+    """The bits that more than half of the hashes (rows of eight bytes) have, as a signed integer."""
     if len(rows) < 512:
         counts = np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
     else:

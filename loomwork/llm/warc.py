@@ -6,15 +6,19 @@ earlier. Their validators are then checked (entity tags by weak comparison, else
 the modification date), and the headers that a 304 may carry replace the
 response's.
 
-The join is two-fold so that a URL with any share of the records is many tasks:
-inside blocks of ``BLOCK`` seconds per URL a window finds the last response, and
-over the blocks, one row each, another window carries the last response of all
-earlier blocks. Payloads take no part; only headers are joined to the result.
+Which response a revisit refers to depends on its URL and time alone, so records are
+first reduced to one event for each URL and second; that bounds what any window
+sees, whatever share of the records a URL has. Inside blocks of ``BLOCK`` seconds
+per URL a window finds the last response, and over the blocks, one row each,
+another window carries the last response of all earlier blocks. Payloads take no
+part; headers are joined to the result by URL and time.
 
 Defined results: null URLs are one URL of their own; null times sort first and
-have no earlier response; responses at the same time count by the larger record
-id; a response at the very time of the revisit is not earlier. Records of other
-kinds, and responses whose status is not 200, are ignored. Repeated rows are kept.
+have no earlier response; of responses of one URL at one time that with the larger
+record id counts (null ids are the least), of those with equal ids the one with the
+greater headers, then payload; a response at the very time of the revisit is not
+earlier. Records of other kinds, and responses whose status is not 200, are ignored.
+Every revisit row gives one result row, repeated rows and repeated or null ids too.
 Extra columns are left out. An empty table gives an empty one.
 """
 
@@ -60,33 +64,38 @@ def resolve_revisits(records: DataFrame, block: int = BLOCK) -> DataFrame:
     Result, one row per revisit: record_id, url (canonical), at, response_id,
     outcome (resolved, unchecked, changed, unseen), headers (merged), payload_sha256.
     """
-    rows = records.select(
-        "record_id", F.col("kind"), canonical_url(F.col("url")).alias("url"), "at", "status", "headers", "payload_sha256",
-        F.floor(F.col("at") / block).alias("block"),
-    )
+    rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), F.col("at").cast("long").alias("at"), "status", "headers", "payload_sha256")
     responses = rows.where("kind = 'response' and status = 200 and at is not null")
     revisits = rows.where("kind = 'revisit'")
-    slim = ("record_id", "url", "at", "block")
-    seen = F.struct("at", "record_id")
-    events = responses.select(*slim, seen.alias("seen"), F.lit(1).alias("late")).unionByName(
-        revisits.select(*slim, F.lit(None).cast("struct<at:bigint,record_id:string>").alias("seen"), F.lit(0).alias("late"))
-    )  # at the same time revisits come first: that response is not earlier
-    inside = Window.partitionBy("url", "block").orderBy("at", "late", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = events.groupBy("url", "block").agg(F.max("seen").alias("most"))
+    told = F.struct("record_id", F.array_sort(F.map_entries("headers")).alias("entries"), "payload_sha256")
+    answers = responses.groupBy("url", "at").agg(F.max(told).alias("best"))
+    events = (
+        responses.select("url", "at", F.lit(True).alias("full"), F.lit(False).alias("asks"))
+        .unionByName(revisits.select("url", "at", F.lit(False).alias("full"), F.lit(True).alias("asks")))
+        .groupBy("url", "at", F.floor(F.col("at") / block).alias("block"))
+        .agg(F.max("full").alias("full"), F.max("asks").alias("asks"))
+    )
+    seen = F.when(F.col("full"), F.col("at"))
+    inside = Window.partitionBy("url", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = events.groupBy("url", "block").agg(F.max(seen).alias("most"))
     over = Window.partitionBy("url").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.withColumn("carried", F.last("most", ignorenulls=True).over(over)).select(F.col("url").alias("u"), F.col("block").alias("b"), "carried")
-    asked = events.withColumn("near", F.last("seen", ignorenulls=True).over(inside)).where("late = 0")
+    asked = events.withColumn("near", F.last(seen, ignorenulls=True).over(inside)).where("asks")
     matched = asked.join(carried, asked["url"].eqNullSafe(carried["u"]) & asked["block"].eqNullSafe(carried["b"]), "left").select(
-        "record_id", F.coalesce("near", "carried")["record_id"].alias("response_id")
+        F.col("url").alias("u"), F.col("at").alias("t"), F.coalesce("near", "carried").alias("answered")
+    )
+    found = revisits.join(matched, revisits["url"].eqNullSafe(matched["u"]) & revisits["at"].eqNullSafe(matched["t"]), "left").select(
+        "record_id", "url", "at", "answered", F.col("headers").alias("own")
+    )
+    theirs = answers.select(
+        F.col("url").alias("u"), F.col("at").alias("t"), F.col("best.record_id").alias("response_id"), F.map_from_entries("best.entries").alias("theirs"), F.col("best.payload_sha256").alias("payload_sha256")
     )
-    found = revisits.join(matched.distinct(), "record_id", "left").select("record_id", "url", "at", "response_id", F.col("headers").alias("own"))
-    theirs = responses.select(F.col("record_id").alias("response_id"), F.col("headers").alias("theirs"), "payload_sha256")
-    joined = found.join(theirs, "response_id", "left")
+    joined = found.join(theirs, found["url"].eqNullSafe(theirs["u"]) & (found["answered"] == theirs["t"]), "left")
     own, other = F.col("own"), F.col("theirs")
     tags = own["etag"].isNotNull() & other["etag"].isNotNull()
     dates = own["last-modified"].isNotNull() & other["last-modified"].isNotNull()
     outcome = (
-        F.when(F.col("response_id").isNull(), "unseen")
+        F.when(F.col("answered").isNull(), "unseen")
         .when(tags, F.when(_weak(own["etag"]) == _weak(other["etag"]), "resolved").otherwise("changed"))
         .when(dates, F.when(own["last-modified"] == other["last-modified"], "resolved").otherwise("changed"))
         .otherwise("unchecked")

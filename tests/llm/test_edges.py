@@ -63,46 +63,49 @@ def test_rules(spark, docs):
     assert sum(a == b for a, (_, b, _) in zip(said, rows, strict=True)) >= 0.97 * len(rows)
 
 
-def brute_bits(text, counts, alphabet):
-    """Code length by the definition, over contexts of three bytes down to none."""
-    data, total = ppm.prepared(text), 0.0
-    stats = [Counter() for _ in range(4)]
+def distribution(counts, context):
+    """Probabilities of all bytes behind a context, by the definition."""
+    shorter = distribution(counts, context[1:]) if context else [1 / 256] * 256
+    seen = [0] * 256
     for g, n in counts.items():
-        for k in range(4):
-            stats[k][g[3 - k :]] += n
-    for i in range(3, len(data)):
-        scale = 1.0
-        for k in (3, 2, 1, 0):
-            context = data[i - k : i]
-            follow = {x: n for x, n in stats[k].items() if x[:-1] == context}
-            n, d = sum(follow.values()), len(follow)
-            if n == 0:
-                continue
-            c = follow.get(context + data[i : i + 1], 0)
-            if c:
-                total -= math.log2(scale * c / (n + d))
-                break
-            scale *= d / (n + d)
-        else:
-            total -= math.log2(scale / 256)
-    return total
+        if g[3 - len(context) : 3] == context:
+            seen[g[3]] += n
+    total, kinds = sum(seen), sum(n > 0 for n in seen)
+    if not total:
+        return shorter
+    left = sum(p for p, n in zip(shorter, seen, strict=True) if not n)
+    return [n / (total + kinds) if n else kinds / (total + kinds) * p / left for p, n in zip(shorter, seen, strict=True)]
 
 
 def test_ppm_equals_the_definition(spark, docs):
     samples = {"xx": "the cat sat on the mat", "yy": "le chat est sur le tapis"}
     counts = {k: Counter(ppm.prepared(t)[i : i + 4] for i in range(len(t))) for k, t in samples.items()}
     model = ppm.Ppm({k: (np.array([int.from_bytes(g, "big") for g in c]), np.array(list(c.values()))) for k, c in counts.items()})
-    texts = ["the mat", "le tapis", "zebra", "", "THE chat", "é"]
-    got = model.code_lengths(texts)
-    for t, row in zip(texts, got, strict=True):
-        assert row == pytest.approx([brute_bits(t, counts[k], None) for k in model.languages], rel=1e-4, abs=1e-3)
-    out = ppm.identify(docs, ppm.fit(docs, "doc_id", "text", "lang")).collect()
+    assert model.languages == ["xx", "yy"]
+    for text in ("the mat", "le tapis", "zebra", "", "THE chat", "é"):
+        data = ppm.prepared(text)
+        for language, bits in zip(model.languages, model.code_lengths([text])[0], strict=True):
+            spread = [distribution(counts[language], data[i - 3 : i]) for i in range(3, len(data))]
+            assert all(sum(p) == pytest.approx(1) for p in spread)
+            assert bits == pytest.approx(-sum(math.log2(p[data[i + 3]]) for i, p in enumerate(spread)), rel=1e-4, abs=1e-3)
+    out = ppm.identify(docs, ppm.fit(docs, "doc_id", "text", "lang"), bits="bits").collect()
     assert len(out) == len(TEXTS) + 3
-    assert all((r["lang_pred"] == "und") == (r["text"] in (None, "", " \n\t", "12 34", "!!!")) for r in out)
+    assert all((r["lang_pred"] == "und") == (r["text"] in (None, "", " \n\t", "12 34", "!!!")) == (r["bits"] is None) for r in out)
     nothing = ppm.identify(docs, ppm.fit(docs.limit(0), "doc_id", "text", "lang")).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
 
 
+def test_ppm_learns_rare_languages_among_many(spark):
+    rng = random.Random(8)
+    letters = [chr(0x400 + 12 * k + j) for k in range(40) for j in range(12)]
+    rows = [(i, "".join(rng.choice(letters[12 * k : 12 * k + 12]) for _ in range(60)), f"l{k:02d}") for k in range(40) for i in range(1 if k else 400)]
+    df = spark.createDataFrame([(100 * k + i, t, lang) for k, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = ppm.fit(df, "doc_id", "text", "lang", cells=200_000)
+    assert len(model.languages) == 40
+    out = ppm.identify(df, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.95 * len(out)
+
+
 def test_media_formats(spark, docs):
     pixels = np.arange(6, dtype=np.uint8).reshape(2, 3)
     assert (media.decode(b"P5 # note\n3 2\n255\n" + pixels.tobytes()) == pixels).all()
@@ -127,6 +130,21 @@ def test_media_formats(spark, docs):
     assert all(bytes(r["image"]["pixels"]).rstrip(b"\0") == (r["text"] or "").encode().rstrip(b"\0") for r in stored)
 
 
+def test_media_of_wrong_sizes_and_samples(spark, docs):
+    assert (media.decode(b"P2\n3 1\n15\n0 5 15\n") == [[0, 85, 255]]).all()
+    assert (media.decode(b"P5\n2 1\n1000\n" + (500).to_bytes(2, "big") + (1000).to_bytes(2, "big")) == [[32768, 65535]]).all()
+    huge = b"9" * 30
+    bmp = bytearray(b"BM" + bytes(52))
+    bmp[18:26], bmp[28] = b"\xff\xff\xff\x7f\xff\xff\xff\x7f", 24
+    wrong = [b"P2\n1 1\n15\n300", b"P2\n1 1\n255\n" + huge, b"P5\n" + huge + b" " + huge + b"\n255\nx", b"P4\n" + huge + b" 9\nx", b"P1\n" + huge + b" 1\n1",
+             b"P1\n2 1\n1 7", b"P2\n1 1\n255\nx", b"P5\n1 1\n15\n\xff", b"P3\n1 1\n255\n1 2", b"P5\n1 1\n70000\nx", bytes(bmp), b"P6", b"BM" + bytes(10)]
+    out = media.read_media(spark.createDataFrame([(x,) for x in wrong], "media binary")).collect()
+    assert all(r["image"]["error"] and r["image"]["pixels"] is None for r in out)
+    stored = media.read_media(media.store_bmp(docs.select("doc_id", "text", "media"), "text")).collect()
+    assert {r["image"]["channels"] for r in stored} == {1} and {r["image"]["width"] for r in stored} == {64}
+    assert all(bytes(r["image"]["pixels"]).rstrip(b"\0") == (r["text"] or "").encode().rstrip(b"\0") for r in stored)
+
+
 def test_token_file(spark, docs):
     rng = np.random.default_rng(1)
     sizes = np.array([0, 1, 4, 5, 0, 9])
@@ -212,6 +230,13 @@ def test_revisits(spark):
     }
     assert out["r3"]["headers"] == {"etag": 'W/"1"', "content-type": "text/html", "date": "9"} and out["r3"]["payload_sha256"] == "A"
     assert warc.resolve_revisits(df.limit(0)).collect() == []
+    twice = [("r", "revisit", "x.com/p", 9, 304, {}, None)] * 2 + [("r", "revisit", "y.com/q", 9, 304, {}, None), (None, "revisit", "y.com/q", 9, 304, {}, None)]
+    twice += [("a", "response", "x.com/p", 5, 200, {"date": "1"}, "A")] * 3 + [("a", "response", "x.com/p", 5, 200, {"date": "0"}, "Z"), (None, "response", "y.com/q", 4, 200, {}, "N")]
+    twice += [(None, "revisit", None, 9, 304, {}, None), ("n", "response", None, 1, 200, None, "U")]
+    out = warc.resolve_revisits(spark.createDataFrame(twice, df.schema)).collect()
+    assert Counter((r["record_id"], r["url"], r["response_id"], r["outcome"], r["payload_sha256"]) for r in out) == {
+        ("r", "x.com/p", "a", "unchecked", "A"): 2, ("r", "y.com/q", None, "unchecked", "N"): 1, (None, "y.com/q", None, "unchecked", "N"): 1, (None, None, "n", "unchecked", "U"): 1,
+    }
     block = spark.range(1).select(warc.headers_map(F.lit("ETag: x\r\nDate: 1\r\ndate: 2")).alias("h")).first()["h"]
     assert block == {"etag": "x", "date": "2"}
 
@@ -236,6 +261,41 @@ def test_mixing(spark, docs, monkeypatch):
     assert mix.count() == sum(r["c"] for r in sums)
 
 
+def test_mixing_of_repeated_rows_and_other_ids(spark):
+    rows = [("same", "a b c d e f g h i j", "s0", {"k": "v"})] * 1000 + [(None, "w " * 7, "s1", None)] * 600 + [(f"x{k}", "u v", "s1", {}) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, tags map<string,string>")
+    decided = mixing.decide(df)
+    sums = {r["source"]: r for r in decided.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()}
+    assert sorted(sums) == ["s0", "s1"] and all(abs(r["taken"] - r["target"]) <= 20 for r in sums.values())
+    each = mixing.per_row(decided).collect()
+    assert len(each) == len(rows) and Counter(r["id"] for r in each)["same"] == 1000
+    assert sum(r["size"] * r["copies"] for r in each) == sum(r["taken"] for r in sums.values())
+    assert max(r["copies"] for r in each) <= 3
+    mix = mixing.mixed(df)
+    assert mix.columns == df.columns
+    taken = {r["source"]: r["w"] for r in mix.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("w")).collect()}
+    assert taken == {k: r["taken"] for k, r in sums.items()}
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(150)] + [(5, 5), (7, None), (None, None), (900, 901), (901, 900)]
+    root = {}
+    for a, b in links:
+        if a is not None and b is not None and a != b:
+            root.setdefault(a, a), root.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            if a in root and b in root and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {r["node"]: r["root"] for r in components.components(df, "a", "b").collect()} == root
+    assert components.components(df.limit(0), "a", "b").collect() == []
+
+
 def test_pii(spark, docs):
     out = pii.detect(docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" my iban GB82 WEST 1234 5698 7654 32, a@b.co, 1.2.3.4, +1 (974) 555-3436 SSN 123-45-6789")))).collect()
     assert {tuple(s["kind"] for s in r["spans"]) for r in out} == {("iban", "email", "ip", "phone", "ssn")}
@@ -266,8 +326,13 @@ def test_reply_trees(spark):
     assert chat.format_trees(df.limit(0), "tree", "node", "parent", "role", "text").collect() == []
 
 
+def shingles(text, words=5):
+    parts = text.encode().lower().split()
+    return {tuple(parts[k : k + words]) for k in range(max(1, len(parts) - words + 1))}
+
+
 def jaccard(a, b):
-    x, y = neardup.shingles(a), neardup.shingles(b)
+    x, y = shingles(a), shingles(b)
     return len(x & y) / len(x | y)
 
 
@@ -328,7 +393,7 @@ def least_of_groups(rows):
             x = up[x]
         return x
 
-    sets = [(i, neardup.shingles(t)) for i, t in rows]
+    sets = [(i, shingles(t)) for i, t in rows]
     for (i, s), (j, t) in itertools.combinations(sets, 2):
         if len(s & t) >= 0.8 * len(s | t):
             a, b = sorted((root(i), root(j)))

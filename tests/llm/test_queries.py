@@ -83,14 +83,24 @@ def test_op3_held_out_accuracy(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in out.values())
 
 
+def as_bmp(payload):
+    start = 54 + 1024
+    head = b"BM" + (start + len(payload)).to_bytes(4, "little") + bytes(4) + start.to_bytes(4, "little") + (40).to_bytes(4, "little") + (64).to_bytes(4, "little")
+    head += (-(len(payload) // 64)).to_bytes(4, "little", signed=True) + b"\1\0\x08\0" + bytes(4) + len(payload).to_bytes(4, "little") + bytes(8) + (256).to_bytes(4, "little") + bytes(4)
+    return head + b"".join(bytes([k, k, k, 0]) for k in range(256)) + payload
+
+
 def test_op4_round_trip(spark, docs):
+    kinds = set()
     for r in run(spark, "op4_media"):
         text = next(d["text"] for d in docs if d["doc_id"] == r["doc_id"])
         raw = (text or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-        stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        kinds.add(zlib.crc32(raw) % 2)
+        stored = as_bmp(payload) if zlib.crc32(raw) % 2 else b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), sha(payload))
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-64:]), len(stored), sha(stored))
+    assert kinds == {0, 1}
 
 
 def test_op5_reads_back_all_ids(spark, docs, library):
