@@ -13,11 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a temporary folder of its own; on
+    a cluster there is no folder that all executors are known to share, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="loomwork-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomwork-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
