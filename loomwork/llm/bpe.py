@@ -10,8 +10,11 @@ end-of-word suffix. Pre-tokens met before are looked up in a bounded memo.
 Defined results: a null or empty text (or one of white space alone) has no ids;
 no ids decode to the empty string; null ids decode to the empty string. An id
 outside the vocabulary decodes to nothing, as in the library. Existing columns
-with the name of an output column are replaced, all others are kept. Equal
-texts get equal ids; nothing depends on row order or on partitions.
+with the name of an output column are replaced, all others are kept. Texts of any
+length are taken whole; long pre-tokens, those of white-space-free texts too, are
+cut at their boundaries like others, and a fragment of more than ``ARRAY_SYMBOLS``
+bytes is merged by the library's queue, in the same way, so that none costs its
+square. Equal texts get equal ids; nothing depends on row order or on partitions.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ from pyspark.sql import functions as F
 
 from loomwork.session import prepare
 
+#: The normalizer and pattern of pre-tokens that the short way below stands for; files with
+#: others go through the library's own normalizer and splitter (fixed values of the format).
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: White space below U+0250 other than the space (fixed values).
 WHITE = "\n\t\x0b\x0c\r\x85\xa0"
 #: Characters whose classes depend on the version of Unicode: texts with any go
@@ -83,6 +90,7 @@ class WordBpe:
         self.last = models.BPE(vocab, merges, end_of_word_suffix=self.suffix or None, cache_capacity=0)
         self.inner = models.BPE(vocab, merges, cache_capacity=0)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.short_way = split == PATTERN and (spec["normalizer"] or {}).get("normalizers") == NORMALIZERS
         self.splitter = pre_tokenizers.Split(Regex(split), "removed", invert=True)
         self.normalizer = Tokenizer.from_file(path).normalizer
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -185,7 +193,7 @@ class WordBpe:
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _plain_words(self, text: str) -> list[str]:
-        if text.isascii() or not ODD(text):
+        if self.short_way and (text.isascii() or not ODD(text)):
             text = unicodedata.normalize("NFC", text).lower()
             for c in WHITE:
                 if c in text:

@@ -3,13 +3,16 @@
 ``with_stats`` counts words, symbols, repeated lines and repeated windows of every
 whole text with built-in functions. ``learn`` fits a decision list by sequential
 covering: a rule grows from nothing by the threshold condition of largest
-information gain until it covers no good document of the grow set, is pruned
-from its end for the best precision on the prune set, and is kept if it is
-precise enough there; covered documents leave, and the next rule grows from the
-rest. ``verdict`` turns the list into one ordered Spark conditional expression.
+information gain, all midpoints between neighbouring values being tried, until it
+covers no good document of the grow set; it is pruned from its end for the best
+precision on the prune set, and kept if it is precise enough there and covers
+enough bad documents of the grow set; covered documents leave, and the next rule
+grows from the rest, as long as one is kept. ``verdict`` turns the list into one
+ordered Spark conditional expression.
 
 Only a bounded sample of labelled rows is gathered (``MAX_LABELLED``, chosen by a
-hash of the id), as numbers, never as texts.
+hash of the id), as numbers, never as texts. Rules and their conditions have no
+other bound.
 
 Defined results: a null or empty text has no words and all counts 0; ratios over
 nothing are 0. Windows are compared by 64-bit hashes. With no labels, or labels
@@ -26,14 +29,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows used for learning, conditions of a rule, rules of a list,
-#: thresholds tried per feature, least precision and cover of a kept rule.
+#: Labelled rows used for learning, least precision and cover of a kept rule.
 MAX_LABELLED = 6000
-MAX_CONDITIONS = 4
-MAX_RULES = 16
-THRESHOLDS = 32
 MIN_PRECISION = 0.97
-MIN_COVER = 8
+MIN_COVER = 4
 
 WINDOW = 8
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -85,7 +84,7 @@ def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
         out.withColumn("n_words", F.size("__words").cast("long"))
         .withColumn("word_chars", F.char_length(F.array_join("__words", "")).cast("long"))
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-        .withColumn("__kinds", F.size(F.array_distinct("__hashes")))
+        .withColumn("__again", F.size(F.filter("__hashes", lambda h, i: (i > 0) & (h == F.get("__hashes", i - 1)))))
         .withColumn("__n_lines", F.size("__lines"))
         .withColumn("__windows", F.when(F.size("__hashes") >= WINDOW, F.transform(at, window)).otherwise(none))
     )
@@ -96,9 +95,9 @@ def with_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.col("n_words").cast("double").alias("words"), ratio("word_chars", "n_words").alias("word_length"),
         ratio("n_symbols", "word_chars").alias("symbols"), ratio("n_dup_lines", "__n_lines").alias("repeated_lines"),
         ratio("n_repeat_words", "n_words").alias("repeated_words"), ratio("__upper", "word_chars").alias("upper"),
-        ratio("__marks", "word_chars").alias("marks"), ratio("__kinds", "n_words").alias("distinct_words"),
+        ratio("__marks", "word_chars").alias("marks"), ratio("__again", "n_words").alias("stutter"),
     )
-    return out.withColumn("features", features).drop("__words", "__lines", "__upper", "__marks", "__hashes", "__kinds", "__n_lines", "__windows", "__pairs")
+    return out.withColumn("features", features).drop("__words", "__lines", "__upper", "__marks", "__hashes", "__again", "__n_lines", "__windows", "__pairs")
 
 
 def base_failed() -> Column:
@@ -124,15 +123,6 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def _cuts(values: np.ndarray) -> np.ndarray:
-    """Midpoints between neighbours at quantiles: at most ``THRESHOLDS``."""
-    kinds = np.unique(values)
-    middles = (kinds[1:] + kinds[:-1]) / 2
-    if len(middles) <= THRESHOLDS:
-        return middles
-    return np.unique(middles[np.arange(THRESHOLDS) * (len(middles) - 1) // (THRESHOLDS - 1)])
-
-
 def covers(rule: Rule, values: dict[str, np.ndarray]) -> np.ndarray:
     out = np.ones(len(next(iter(values.values()))), dtype=bool)
     for c in rule:
@@ -140,28 +130,35 @@ def covers(rule: Rule, values: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
+def _best_condition(values: dict[str, np.ndarray], bad: np.ndarray) -> Condition | None:
+    """The condition of largest gain (bad left x bits won); of equal ones the first by feature, side and threshold."""
+    before = math.log2(bad.mean())
+    best, found = 1e-9, None
+    for f in sorted(values):
+        order = np.argsort(values[f], kind="stable")
+        x, y = values[f][order], bad[order]
+        step = np.flatnonzero(x[1:] > x[:-1])
+        if not len(step):
+            continue
+        p_below, n_below = np.cumsum(y)[step], np.cumsum(~y)[step]
+        for above in (True, False):
+            p, n = (y.sum() - p_below, (~y).sum() - n_below) if above else (p_below, n_below)
+            gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / (p + n)) - before), 0.0)
+            k = int(gain.argmax())
+            if gain[k] > best + 1e-12:
+                best, found = float(gain[k]), Condition(f, above, float((x[step[k]] + x[step[k] + 1]) / 2))
+    return found
+
+
 def _grow(values: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """The condition of largest gain (bad left x bits won), again and again."""
     rule: list[Condition] = []
     live = np.ones(len(bad), dtype=bool)
-    while (live & bad).any() and (live & ~bad).any() and len(rule) < MAX_CONDITIONS:
-        before = math.log2(bad[live].mean())
-        best = None
-        for f in sorted(values):
-            x, y = values[f][live], bad[live]
-            cuts = _cuts(x)
-            inside = x[None, :] >= cuts[:, None]
-            for above in (True, False):
-                p = ((inside == above) & y).sum(axis=1)
-                n = ((inside == above) & ~y).sum(axis=1)
-                for t, a, b in zip(cuts.tolist(), p.tolist(), n.tolist(), strict=True):
-                    gain = a * (math.log2(a / (a + b)) - before) if a else 0.0
-                    if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
-                        best = (gain, Condition(f, above, t))
+    while (live & bad).any() and (live & ~bad).any():
+        best = _best_condition({f: v[live] for f, v in values.items()}, bad[live])
         if best is None:
             break
-        rule.append(best[1])
-        live &= best[1].holds(values)
+        rule.append(best)
+        live &= best.holds(values)
     return tuple(rule)
 
 
@@ -183,13 +180,14 @@ def learn_list(rows: list[tuple[dict, bool, bool]]) -> list[Rule]:
     left = np.ones(len(rows), dtype=bool)
     part = lambda mask: ({f: v[mask] for f, v in values.items()}, bad[mask])
     out: list[Rule] = []
-    while len(out) < MAX_RULES and (left & ~side & bad).sum() >= MIN_COVER:
+    while (left & ~side & bad).sum() >= MIN_COVER:
         rule = _grow(*part(left & ~side))
         if not rule:
             break
         rule = _prune(rule, *part(left & side)) if (left & side).any() else rule
         hit = covers(rule, values) & left
-        if (hit & bad & ~side).sum() < MIN_COVER or (hit & bad).sum() < MIN_PRECISION * hit.sum():
+        judged = hit & side
+        if (hit & bad & ~side).sum() < MIN_COVER or not judged.any() or (judged & bad).sum() < MIN_PRECISION * judged.sum():
             break
         out.append(rule)
         left &= ~hit

@@ -12,7 +12,7 @@ ascending id order with (id, place, n_tokens, control, data) per document, and
 shuffle that puts documents in order carries coded bytes, never texts.
 
 Defined results: a null or empty text has only the end id; null document ids come
-first; rows with equal ids are ordered by their tokens; an empty table gives an
+first; rows with equal ids are ordered by their control bytes, then their data bytes; an empty table gives an
 empty file. Place grows with the order; a document's start is the number of ids of
 all documents before it.
 """

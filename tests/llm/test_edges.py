@@ -48,6 +48,23 @@ def test_fragments_at_forced_boundaries():
     assert encoder.encode_words(words) == whole
 
 
+def test_another_pattern_of_pre_tokens(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+    spec["normalizer"]["normalizers"].pop()
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    library = Tokenizer.from_file(path)
+    texts = ["Hello, it's 123!! abc123", "ÉCOLE 漢字... x"]
+    assert [np.frombuffer(c, "<i4").tolist() for c in bpe.WordBpe(path).encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_rules(spark, docs):
     out = rules.with_stats(docs).select("doc_id", "text", "n_words", "n_repeat_words", rules.base_failed().alias("b")).collect()
     assert len(out) == len(TEXTS) + 3
@@ -63,6 +80,64 @@ def test_rules(spark, docs):
     assert sum(a == b for a, (_, b, _) in zip(said, rows, strict=True)) >= 0.97 * len(rows)
 
 
+def naive_list(rows):
+    """Sequential covering by its definition, one candidate condition after the other."""
+
+    def holds(rule, f):
+        return all(f[name] >= cut if above else f[name] <= cut for name, above, cut in rule)
+
+    def count(rule, some):
+        hit = [bad for f, bad, _ in some if holds(rule, f)]
+        return sum(hit), len(hit) - sum(hit)
+
+    left, out = list(rows), []
+    while True:
+        grow, prune = [r for r in left if not r[2]], [r for r in left if r[2]]
+        if sum(r[1] for r in grow) < rules.MIN_COVER:
+            return out
+        rule = []
+        while all(count(rule, grow)):
+            p0, n0 = count(rule, grow)
+            best, found = 1e-9, None
+            live = [r for r in grow if holds(rule, r[0])]
+            for name in sorted(live[0][0]):
+                kinds = sorted({r[0][name] for r in live})
+                for above in (True, False):
+                    for cut in [(a + b) / 2 for a, b in itertools.pairwise(kinds)]:
+                        p, n = count([(name, above, cut)], live)
+                        gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
+                        if gain > best + 1e-12:
+                            best, found = gain, (name, above, cut)
+            if not found:
+                break
+            rule.append(found)
+        if not rule:
+            return out
+        worth = lambda k: (lambda p, n: ((p - n) / (p + n) if p + n else -1.0, k))(*count(rule[:k], prune))
+        rule = rule[: max(range(1, len(rule) + 1), key=worth)] if prune else rule
+        p, n = count(rule, prune)
+        if count(rule, grow)[0] < rules.MIN_COVER or not p + n or p < rules.MIN_PRECISION * (p + n):
+            return out
+        out.append(rule)
+        left = [r for r in left if not holds(rule, r[0])]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_learnt_list_equals_the_naive_one(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(160):
+        f = {"a": float(rng.randrange(12)), "b": round(rng.random(), 2), "c": float(rng.randrange(3))}
+        rows.append((f, (f["a"] >= 8 and f["b"] < 0.5) or (f["c"] == 2 and f["b"] > 0.8) or rng.random() < 0.02 * seed, k % 3 == 0))
+    learnt = rules.learn_list(rows)
+    assert [[(c.feature, c.above, c.threshold) for c in r] for r in learnt] == [[(n, a, pytest.approx(t)) for n, a, t in r] for r in naive_list(rows)]
+    if seed == 0:
+        assert len(learnt) > 1 and max(map(len, learnt)) > 1
+    df = spark.createDataFrame([(r[0],) for r in rows], "features struct<a:double,b:double,c:double>")
+    kept = [r["kept"] for r in df.select(rules.verdict(learnt).alias("kept")).collect()]
+    assert kept == [not any(all(c.holds({n: np.array([v]) for n, v in f.items()})[0] for c in r) for r in learnt) for f, _, _ in rows]
+
+
 def distribution(counts, context):
     """Probabilities of all bytes behind a context, by the definition."""
     shorter = distribution(counts, context[1:]) if context else [1 / 256] * 256
@@ -373,6 +448,49 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_pipeline_stages_equal_their_definitions(spark):
+    rng = random.Random(21)
+    words = ["the", "cat", "sat", "on", "a", "mat", "and", "some", "other", "dogs", "ran", "away", "from", "it"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(60)), None if k == 3 else "en", f"s{k % 3}", 7) for k in range(60)]
+    rows += [(100, rows[0][1], "en", "s0", 7), (101, rows[1][1] + " end", "en", "s1", 7), (102, None, "en", "s0", 0), (103, "123 456", "en", "s0", 7), (104, "mail a.b@c.org now and then", "en", None, 27)]
+    rows += [(105, "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(400)), None, "s0", 400), rows[5]]
+    noise = "".join(chr(c) for c in rng.sample(range(0x21, 0x17F), 300))
+    rows.append((106, noise, None, "s0", 300))  # neither is learnt from
+    df = spark.createDataFrame(rows, DOCS).withColumn("__row", F.lit("clash"))
+    stages = dict(corpus_pipeline.STAGES)
+
+    known = stages["language_id"](spark, df, "")
+    assert known.columns == df.columns
+    kept = {r["doc_id"]: r for r in known.collect()}
+    assert set(kept) == {r[0] for r in rows} - {102, 103, 105, 106} and known.count() == len(kept) + 1
+    assert kept[3]["lang"] == "en" and kept[4]["lang"] == "en"
+
+    one = stages["near_dedup"](spark, df, "")
+    unique = [(r[0], r[1] or "") for r in rows]
+    assert one.columns == df.columns
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(least_of_groups(list(dict.fromkeys(unique))))
+
+    hidden = {r["doc_id"]: (r["text"], r["n_chars"]) for r in stages["personal_data"](spark, df, "").collect()}
+    assert hidden == {r[0]: (pii.masked(r[1]), len("mail <EMAIL> now and then") if r[0] == 104 else r[4]) for r in rows}
+
+    size = lambda t: len((t or "").split())
+    mix = stages["source_mix"](spark, df, "")
+    names = ["s0", "s1", "s2", None]
+    wanted = mixing.targets([sum(size(r[1]) for r in rows if r[3] == n) for n in names])
+    taken = Counter()
+    for r in mix.collect():
+        taken[r["source"]] += size(r["text"])
+    assert mix.columns == df.columns and all(abs(taken[n] - w) <= 61 for n, w in zip(names, wanted, strict=True))
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    coded = stages["token_ids"](spark, df, "").collect()
+    assert Counter((r["doc_id"], tuple(r["ids"]), r["n_tokens"]) for r in coded) == Counter(
+        (r[0], tuple(ids), len(ids)) for r in rows for ids in [library.encode(r[1] or "", add_special_tokens=False).ids]
+    )
+
+
 def prose(rng, length):
     return ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(length)]
 
