@@ -40,7 +40,7 @@ WHITE = "\n\t\x0b\x0c\r\x85\xa0"
 #: through the library's own normalizer and splitter, so that results agree.
 ODD = re.compile("[^\x00-\u024f]").search
 #: Pre-tokens a worker remembers before it starts over: bounds its memory.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 400_000
 #: Texts encoded together, and the longest fragment for the array encoder.
 TEXTS_AT_ONCE = 256
 ARRAY_SYMBOLS = 64

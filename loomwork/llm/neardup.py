@@ -17,12 +17,18 @@ entry carries the shingle's rank and the set's size: a pair is a candidate where
 is left behind both ranks can reach t (position filter; it holds at the first common
 shingle of every pair at or above t).
 
+Before any text is moved, a candidate is tested by odd sketches: a bit set of about as
+many bits as the set has shingles, in which each shingle flips one. Two sketches
+differ in no more bits than the sets differ in shingles, so what they rule out cannot
+be similar, and nothing else is ruled out.
+
 Candidates are verified in two rounds, so that a group of m copies costs about m
 verifications and not their square. In the first, the texts under a key are compared
 with its hub, the text that has least in front of the shingle (an original has less
 of its own than its edited copies); large keys have several hubs. What is
-linked is joined to groups. In the second, all pairs of a key that lie in different groups
-and were not compared yet are verified; a pair within one group can change nothing.
+linked is joined to groups. In the second, all pairs of a key that lie in different groups,
+that short sketches do not rule out and that were not compared yet are verified; a pair
+within one group can change nothing.
 
 Defined results: texts are compared lower-cased (A-Z); null is the empty text;
 equal texts are always one group; fewer than five words make one shingle of what
@@ -61,8 +67,10 @@ MOST_COMMON = 100_000
 #: Entries and pairs that a task holds at a time, beyond the entries of one key;
 #: bytes of text hashed together; texts a task remembers having entered.
 AT_ONCE = 1 << 16
-BYTES_AT_ONCE = 1 << 19
+BYTES_AT_ONCE = 1 << 17
 REMEMBERED = 200_000
+#: Bits of the short sketches.
+SHORT = 512
 EPS = 1e-9
 
 #: The six ASCII white-space bytes; a random number for each byte; odd multipliers.
@@ -144,12 +152,26 @@ def shingle_hashes(texts: list[str | None], words: int = WORDS) -> list[np.ndarr
     return [np.unique(h.view(np.int64)) for h in shingle_batch(texts, words)]
 
 
-def simhashes(texts: list[str | None], words: int = WORDS) -> np.ndarray:
-    """SimHashes of the shingles, repeats included, as signed integers."""
-    out = np.zeros(len(texts), dtype=np.int64)
-    for k, h in enumerate(shingle_batch(texts, words)):
-        out[k] = simhash.majority(h.astype(">u8").view(np.uint8).reshape(-1, 8))
-    return out
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """Parity of the number of a set's hashes in each of 2^k >= n buckets, at least ``SHORT``, as bits."""
+    buckets = max(SHORT, 1 << (len(hashes) - 1).bit_length())
+    at = (hashes & np.int64(buckets - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=buckets) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """A sketch of fewer buckets: those of the upper half fall on those of the lower."""
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def may_be_similar(size_a: int, a: bytes, size_b: int, b: bytes, similarity: float) -> bool:
+    """False only if sets with these sketches cannot have the similarity."""
+    x, y = (np.frombuffer(s, dtype=np.uint64) for s in (a, b))
+    words = min(len(x), len(y))
+    differing = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+    return differing <= (1 - similarity) / (1 + similarity) * (size_a + size_b) + EPS
 
 
 def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -178,14 +200,34 @@ def _hashes_column(text: Column, words: int) -> Column:
     return run(text)
 
 
-def _simhash_column(text: Column, words: int) -> Column:
-    @F.arrow_udf("long")
+MARKS = T.StructType().add("fp", "long").add("size", "integer").add("sketch", "binary").add("short", "binary")
+
+
+def _marks_column(text: Column, words: int) -> Column:
+    """SimHash of the shingles (repeats included), number of distinct ones, and their odd sketches."""
+
+    @F.arrow_udf(MARKS)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(simhashes(texts.to_pylist(), words), pa.int64())
+        every = shingle_batch(texts.to_pylist(), words)
+        sets = [np.unique(h.view(np.int64)) for h in every]
+        prints = [simhash.majority(h.astype(">u8").view(np.uint8).reshape(-1, 8)) for h in every]
+        sketches = [odd_sketch(s) for s in sets]
+        short = [folded(np.frombuffer(s, dtype=np.uint64), SHORT // 64).tobytes() for s in sketches]
+        columns = [pa.array(prints, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sketches, pa.binary()), pa.array(short, pa.binary())]
+        return pa.StructArray.from_arrays(columns, MARKS.names)
 
     return run(text)
 
 
+def _possible_column(similarity: float, *columns: str) -> Column:
+    @F.arrow_udf(T.BooleanType())
+    def run(size_a: pa.Array, a: pa.Array, size_b: pa.Array, b: pa.Array) -> pa.Array:
+        rows = zip(size_a.to_pylist(), a.to_pylist(), size_b.to_pylist(), b.to_pylist(), strict=True)
+        return pa.array([may_be_similar(*r, similarity) for r in rows], pa.bool_())
+
+    return run(*map(F.col, columns))
+
+
 def _entries(batches, common, similarity: float, words: int):
     """(key, node, place) of each text's prefix; place holds the set's size and the rank. Texts just entered are left out."""
     entered: set[int] = set()
@@ -286,21 +328,24 @@ def _told_pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
 
 
 def _across(batches, similarity: float):
-    """Candidates (a, b) of each key that lie in different groups."""
-    for key, node, place, root in _runs(batches):
+    """Candidates (a, b) of each key that lie in different groups and whose short sketches allow it."""
+    share = (1 - similarity) / (1 + similarity)
+    for key, node, place, root, short in _runs(batches):
         size, at = place >> 32, place & 0xFFFFFFFF
+        sketch = np.frombuffer(b"".join(short), dtype=np.uint64).reshape(len(key), -1)
         starts, lengths = _bounds(key)
         mixed = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
         found, held = [], 0
         for a, length in zip(starts[mixed].tolist(), lengths[mixed].tolist(), strict=True):
             z = a + length
-            rows = max(1, AT_ONCE * 8 // length)
+            rows = max(1, AT_ONCE // length)
             for low in range(a, z, rows):
                 x, y = slice(low, min(low + rows, z)), slice(low, z)
                 ok = reaches(size[x, None], at[x, None], size[None, y], at[None, y], similarity) & (root[x, None] != root[None, y])
-                i, j = np.nonzero(ok)
-                found.append((node[x][i], node[y][j]))
-                held += len(i)
+                i, j = (k + low for k in np.nonzero(ok))
+                near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64) <= share * (size[i] + size[j]) + EPS
+                found.append((node[i[near]], node[j[near]]))
+                held += int(near.sum())
                 if held >= AT_ONCE:
                     yield _told_pairs(*(np.concatenate(c) for c in zip(*found, strict=True)))
                     found, held = [], 0
@@ -332,20 +377,25 @@ def similar_column(a: Column, b: Column, similarity: float, words: int = WORDS)
     return run(a, b)
 
 
-def _verified(hashed: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+def _verified(hashed: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
     """The ``pairs`` (a table; a, b) of texts at or above ``similarity``, as a table."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    one = nodes.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("x"))
+    two = nodes.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("y"))
+    possible = cut(pairs.join(one, "a").join(two, "b").where(_possible_column(similarity, "sa", "x", "sb", "y")).select("a", "b"), "possible")
+    # tables, so that their size is known: a small one is broadcast, and then no text is moved but those wanted
+    wanted = cut(possible.select("a").union(possible.select("b")).distinct().withColumnRenamed("a", "node"), "wanted")
     texts = cut(hashed.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    links = cut(pairs.join(left, "a").join(right, "b").where(similar_column(F.col("x"), F.col("y"), similarity, words)).select("a", "b"), "verified")
-    drop_table(texts)
+    links = cut(possible.join(left, "a").join(right, "b").where(similar_column(F.col("x"), F.col("y"), similarity, words)).select("a", "b"), "verified")
+    for spent in (possible, wanted, texts):
+        drop_table(spent)
     return links
 
 
-def near_links(hashed: DataFrame, entries: DataFrame, proposed: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+def near_links(hashed: DataFrame, nodes: DataFrame, entries: DataFrame, proposed: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """(node, root) for every text with a near copy.
 
-    ``entries`` is (key, node, place), ``proposed`` (a, b) are pairs found in another way.
+    ``nodes`` is (node, size, sketch, short), ``entries`` (key, node, place); ``proposed`` (a, b) are pairs found in another way.
     """
     dealt = entries.repartition("key").sortWithinPartitions("key", "node")
     met = cut(dealt.mapInArrow(_met, "key long, node long, place long, hub boolean"), "met")
@@ -353,16 +403,17 @@ def near_links(hashed: DataFrame, entries: DataFrame, proposed: DataFrame, simil
     stars = sorted_met.mapInArrow(partial(_pairs_with_hubs, similarity=similarity), "a long, b long")
     ordered = proposed.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = cut(stars.unionByName(ordered).distinct(), "pairs")
-    links = _verified(hashed, pairs, similarity, words)
+    links = _verified(hashed, nodes, pairs, similarity, words)
     roots = cut(components(links, "a", "b"), "roots")
-    grouped = met.join(roots, "node", "left").select("key", "node", "place", F.coalesce("root", "node").alias("root"))
+    named = nodes.select("node", "short").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "short")
+    grouped = met.select("key", "node", "place").join(named, "node").select("key", "node", "place", "root", "short")
     across = grouped.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_across, similarity=similarity), "a long, b long")
     more = cut(across.distinct().join(pairs, ["a", "b"], "left_anti"), "across")
     for spent in (met, pairs):
         drop_table(spent)
     if more.isEmpty():
         return roots
-    again = _verified(hashed, more, similarity, words)
+    again = _verified(hashed, nodes, more, similarity, words)
     return cut(components(again.unionByName(roots.toDF("a", "b")), "a", "b"), "roots")
 
 
@@ -372,10 +423,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     spark = prepare(df.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hashed = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    marked = cut(hashed.select("id", "node", _simhash_column(F.col("text"), words).alias("fp")), "marked")
-    counted = marked.groupBy("node", "fp", "id").agg(F.count("*").alias("n"))
+    marked = cut(hashed.select("id", "node", _marks_column(F.col("text"), words).alias("m")).select("id", "node", "m.*"), "marked")
+    counted = marked.groupBy("node", "id").agg(F.count("*").alias("n"), F.first(F.struct("fp", "size", "sketch", "short")).alias("m"))
     least = F.min(F.struct(F.col("id").isNotNull().alias("has"), "id", "n"))
-    nodes = cut(counted.groupBy("node").agg(F.first("fp").alias("fp"), least.alias("least")), "nodes")
+    nodes = cut(counted.groupBy("node").agg(F.first("m").alias("m"), least.alias("least")).select("node", "m.*", "least"), "nodes")
     # texts of one SimHash meet its least text, and the least texts of near SimHashes each other
     firsts = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")), "prints")
     near = simhash.near_links(firsts.select("fp")).toDF("x", "y")
@@ -384,7 +435,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     proposed = proposed.unionByName(nodes.join(firsts, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
     common = spark.sparkContext.broadcast(_told(common_shingles(hashed, words)))  # bounded by MOST_COMMON
     entries = hashed.select("node", "text").mapInArrow(partial(_entries, common=common, similarity=similarity, words=words), "key long, node long, place long")
-    roots = near_links(hashed, entries, proposed, similarity, words).select(F.col("node").alias("n"), "root")
+    roots = near_links(hashed, nodes, entries, proposed, similarity, words).select(F.col("node").alias("n"), "root")
     rooted = nodes.join(roots, nodes["node"] == roots["n"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("keeper"), F.count("*").alias("texts"))
     out = rooted.join(keepers, "root").select(
@@ -399,7 +450,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """``df`` with one row of each group of equal or similar texts."""
     groups = near_groups(df, id_col, text_col, similarity, words)
-    keep = groups.where("node = keeper_node").select(F.col("keeper_node").alias("__node"), F.col("keeper_id").alias("__id"), F.col("rows").alias("__rows"))
+    keep = cut(groups.where("node = keeper_node").select(F.col("keeper_node").alias("__node"), F.col("keeper_id").alias("__id"), F.col("rows").alias("__rows")), "keep")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     same = (F.xxhash64(text) == F.col("__node")) & df[id_col].eqNullSafe(F.col("__id"))
     columns = [df[c] for c in df.columns]

@@ -40,7 +40,7 @@ from loomwork.session import prepare
 TRAIN_DOCS = 1500
 CELLS = 64 << 20
 MOST_LANGUAGES = 4096
-PIECE = 1 << 20
+PIECE = 1 << 16
 UNKNOWN = "und"
 START = b"\n\n\n"
 
@@ -230,7 +230,8 @@ def identify(df: DataFrame, model: Ppm, text_col: str = "text", lang: str = "lan
 
     text: Column = F.col(text_col)
     known = text.isNotNull() & text.rlike("\\p{L}")
-    found = df.withColumn("__found", predict(text)).withColumn("__known", F.coalesce(known, F.lit(False)))
+    once = predict.asNondeterministic()  # a filter on the result must not be pushed below and run it again
+    found = df.withColumn("__found", once(text)).withColumn("__known", F.coalesce(known, F.lit(False)))
     sure = F.col("__known") & (F.col("__found.lang") != UNKNOWN)
     out = found.withColumn(lang, F.when(sure, F.col("__found.lang")).otherwise(UNKNOWN)).withColumn(score, F.when(sure, F.col("__found.score")).otherwise(0.0))
     if bits:

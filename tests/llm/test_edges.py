@@ -519,6 +519,20 @@ def least_of_groups(rows):
     return {i for i in up if root(i) == i}
 
 
+def test_odd_sketches_rule_out_only_what_differs():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        whole = np.unique(rng.integers(-(1 << 63), 1 << 63, int(rng.integers(1, 900))))
+        a, b = (whole[rng.random(len(whole)) < share] for share in rng.choice([0.5, 0.9, 0.97, 1.0], 2))
+        if not len(a) or not len(b):
+            continue
+        common = len(np.intersect1d(a, b))
+        possible = neardup.may_be_similar(len(a), neardup.odd_sketch(a), len(b), neardup.odd_sketch(b), 0.8)
+        assert possible or common / (len(a) + len(b) - common) < 0.8
+    a, b = (np.unique(rng.integers(-(1 << 63), 1 << 63, 500)) for _ in range(2))
+    assert not neardup.may_be_similar(500, neardup.odd_sketch(a), 500, neardup.odd_sketch(b), 0.8)
+
+
 def kept_ids(spark, rows):
     return {r["doc_id"] for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
