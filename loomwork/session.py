@@ -10,8 +10,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 #: Rows and bytes of one Arrow batch handed to Python: bounds a worker's memory
 #: whatever the length of the texts.
-ARROW_ROWS = 2000
-ARROW_BYTES = 4 << 20
+ARROW_ROWS = 1000
+ARROW_BYTES = 2 << 20
 
 
 def create(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
