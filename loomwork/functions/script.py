@@ -23,6 +23,8 @@ BLOCK = "ༀ-࿿"
 #: White space as Python's str.split has it.
 WHITE = "\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 VOWELS = "ིེོཻཽུ"
+#: Letters, vowel signs and subjoined letters (a pattern).
+LETTER = "[ཀ-ཬཱ-྅ྐ-ྼ]"
 #: Consonants that may close a syllable.
 FINALS = "གངདནབམའརལས"
 
@@ -72,6 +74,28 @@ def tidy(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, f" ([{TSHEG}{SHAD}])", "$1"), f"([{TSHEG}{SHAD}]) ", "$1")
 
 
+def tidied(text: Column) -> Column:
+    """(original, normalized, changed, changes): the text in composed form and tidy, with a record of the change."""
+    normal = tidy(unicode_form(text))
+    said = F.concat(F.lit("normalized from '"), text, F.lit("' to '"), normal, F.lit("'"))
+    changes = F.when(normal != text, F.array(said)).otherwise(F.array().cast("array<string>"))
+    return F.struct(text.alias("original"), normal.alias("normalized"), (normal != text).alias("changed"), changes.alias("changes"))
+
+
+def letter_count(text: Column) -> Column:
+    """Letters, vowel signs and subjoined letters; marks between syllables do not count."""
+    return F.regexp_count(text, F.lit(LETTER)).cast("long")
+
+
+def has_letter(text: Column) -> Column:
+    return text.rlike(LETTER)
+
+
+def only_script(text: Column) -> Column:
+    """Letters and marks of the script alone, and not nothing."""
+    return text.rlike("^[ཀ-ཬཱ-྅ྐ-ྼ་༌།༎༏]+$")
+
+
 def script_ratio(text: Column, script: Script = TIBETAN) -> Column:
     """Share of characters in the script's block; 0 for the empty text."""
     inside = F.char_length(F.regexp_replace(text, f"[^{script.block}]", ""))

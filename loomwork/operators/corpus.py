@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.script import TIBETAN, Script, shad_sentences, squeeze_space, syllables
@@ -77,31 +77,70 @@ def collocations(df: DataFrame, text_col: str = "text", least: int = 10, top: in
     return scored.orderBy(F.desc("pmi"), F.desc("t"), "w1", "w2").limit(top).select("w1", "w2", "n", "pmi", "t")
 
 
-def context_scores(rows: DataFrame, unigrams: DataFrame, bigrams: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, pos, word) with log-probabilities alone, after the left and before the right neighbour.
+def cleaned(counts: DataFrame) -> DataFrame:
+    """(ngram, n) with the marks taken off the words; spellings of one n-gram count together as their most frequent one."""
+    bare = F.array_join(F.transform(F.split("ngram", " "), lambda w: F.regexp_replace(w, "[་ །]+$", "")), " ")
+    return counts.groupBy(bare.alias("ngram")).agg(F.max("n").alias("n"))
 
-    ``pll`` is the mean over the neighbours there are; a word is suspicious if it
-    is much more likely alone than in its place.
-    """
-    order = Window.partitionBy(key).orderBy("pos")
-    sided = rows.withColumn("left", F.lag("word").over(order)).withColumn("right", F.lead("word").over(order))
-    totals = unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    u = unigrams.select(F.col("ngram").alias("__w"), F.col("n").alias("__n"))
-    b = bigrams.select(F.col("ngram").alias("__w"), F.col("n").alias("__n"))
 
-    def joined(df: DataFrame, expr: Column, table: DataFrame, name: str) -> DataFrame:
-        t = table.select(F.col("__w").alias(f"__{name}"), F.col("__n").alias(name))
-        return df.join(t, expr == F.col(f"__{name}"), "left").drop(f"__{name}")
+def _joined(df: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
+    t = table.select(F.col("ngram").alias(f"__{name}"), F.col("n").alias(name))
+    return df.join(t, key == F.col(f"__{name}"), "left").drop(f"__{name}")
+
 
-    out = joined(sided, F.col("word"), u, "n_word")
-    out = joined(out, F.col("left"), u, "n_left")
-    out = joined(out, F.concat_ws(" ", "left", "word"), b, "n_lw")
-    out = joined(out, F.concat_ws(" ", "word", "right"), b, "n_wr").join(totals)
+def context_plausibility(places: DataFrame, unigrams: DataFrame, bigrams: DataFrame, trigrams: DataFrame | None = None, alpha: float = ALPHA) -> DataFrame:
+    """Distinct (left2, left, word, right) with ``alone``, the word's log-probability, and ``pll``, the mean of those after the left, before the right, and after both left neighbours.
+
+    ``pll`` is 0 where there is no neighbour. Every combination is scored once, whatever
+    the number of places that have it.
+    """
+    rows = places
+    totals = unigrams.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    out = _joined(rows, F.col("word"), unigrams, "n_word")
+    out = _joined(out, F.col("left"), unigrams, "n_left")
+    out = _joined(out, F.concat("left", F.lit(" "), "word"), bigrams, "n_lw")
+    out = _joined(out, F.concat("word", F.lit(" "), "right"), bigrams, "n_wr").join(totals)
     none = F.lit(0)
-    alone = log_probability(F.col("n_word"), F.col("total"), F.col("kinds"))
-    after = F.when(F.col("left").isNotNull(), log_probability(F.col("n_lw"), F.coalesce("n_left", none), F.col("kinds")))
-    before = F.when(F.col("right").isNotNull(), log_probability(F.col("n_wr"), F.coalesce("n_word", none), F.col("kinds")))
-    there = after.isNotNull().cast("int") + before.isNotNull().cast("int")
-    zero = F.lit(0.0)
-    pll = F.when(there > 0, (F.coalesce(after, zero) + F.coalesce(before, zero)) / there)
-    return out.withColumns({"alone": alone, "pll": pll}).select(key, "pos", "word", "alone", "pll")
+    alone = log_probability(F.col("n_word"), F.col("total"), F.col("kinds"), alpha)
+    terms = [
+        F.when(F.col("left").isNotNull(), log_probability(F.col("n_lw"), F.coalesce("n_left", none), F.col("kinds"), alpha)),
+        F.when(F.col("right").isNotNull(), log_probability(F.col("n_wr"), F.coalesce("n_word", none), F.col("kinds"), alpha)),
+    ]
+    if trigrams is not None:
+        out = _joined(out, F.concat("left2", F.lit(" "), "left"), bigrams, "n_ll")
+        out = _joined(out, F.concat("left2", F.lit(" "), "left", F.lit(" "), "word"), trigrams, "n_llw")
+        terms.append(F.when(F.col("left2").isNotNull() & F.col("left").isNotNull(), log_probability(F.col("n_llw"), F.coalesce("n_ll", none), F.col("kinds"), alpha)))
+    there = sum((t.isNotNull().cast("int") for t in terms[1:]), terms[0].isNotNull().cast("int"))
+    total = sum((F.coalesce(t, F.lit(0.0)) for t in terms[1:]), F.coalesce(terms[0], F.lit(0.0)))
+    pll = F.when(there > 0, total / there).otherwise(F.lit(0.0))
+    return out.withColumns({"alone": alone, "pll": pll}).select(*places.columns, "alone", "pll")
+
+
+def places(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, pos, word, left2, left, right) of arrays ``syllables``: neighbours inside the row, without a shuffle."""
+    none = F.array(F.lit(None).cast("string"))
+    n = F.size("syllables")
+    before = lambda k: F.concat(*([none] * k), F.col("syllables"))
+    after = F.concat(F.slice("syllables", 2, F.greatest(n, F.lit(0))), none)
+    zipped = F.arrays_zip(F.col("syllables").alias("word"), before(2).alias("left2"), before(1).alias("left"), after.alias("right"))
+    out = rows.select(key, n.alias("__n"), F.posexplode_outer(zipped).alias("pos", "z")).where("pos < __n")
+    return out.select(key, "pos", "z.word", "z.left2", "z.left", "z.right")
+
+
+def conditional_score(count: Column, before: Column) -> Column:
+    """min(1, c / c(before)); 0 where either is missing."""
+    return F.when((count > 0) & (before > 0), F.least(F.lit(1.0), count / before)).otherwise(F.lit(0.0))
+
+
+def context_bonus(candidates: DataFrame, unigrams: DataFrame, bigrams: DataFrame, trigrams: DataFrame) -> DataFrame:
+    """Rows (left2, left, word, right) of one-syllable candidates with ``bonus``: 0.4 of their frequency's, 0.3 of each neighbour's and 0.4 of the left pair's score, at most 1."""
+    most = unigrams.agg(F.max("n").alias("most"))
+    out = _joined(candidates, F.col("word"), unigrams, "n_word")
+    out = _joined(out, F.col("left"), unigrams, "n_left")
+    out = _joined(out, F.concat("left", F.lit(" "), "word"), bigrams, "n_lw")
+    out = _joined(out, F.concat("word", F.lit(" "), "right"), bigrams, "n_wr")
+    out = _joined(out, F.concat("left2", F.lit(" "), "left"), bigrams, "n_ll")
+    out = _joined(out, F.concat("left2", F.lit(" "), "left", F.lit(" "), "word"), trigrams, "n_llw").join(most)
+    alone = F.when(F.col("n_word") > 0, frequency_score(F.col("n_word"), F.col("most"))).otherwise(F.lit(0.0))
+    score = 0.4 * alone + 0.3 * conditional_score(F.col("n_lw"), F.col("n_left")) + 0.3 * conditional_score(F.col("n_wr"), F.col("n_word")) + 0.4 * conditional_score(F.col("n_llw"), F.col("n_ll"))
+    return out.withColumn("bonus", F.least(F.lit(1.0), score)).select(*candidates.columns, "bonus")

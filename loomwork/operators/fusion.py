@@ -7,7 +7,7 @@ gaps-and-islands find first, so a document of any length is many small groups.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -52,40 +52,64 @@ def clustered(edits: DataFrame) -> DataFrame:
 
 
 def conflicts(a_start: int, a_end: int, b_start: int, b_end: int) -> bool:
-    """Overlap of half-open spans; insertions clash with insertions at the same place, and inside spans."""
+    """Overlap of half-open spans; an insertion clashes with one at the same place, and with a span that holds its place."""
     if a_start == a_end and b_start == b_end:
         return a_start == b_start
+    if a_start == a_end:
+        return b_start <= a_start < b_end
+    if b_start == b_end:
+        return a_start <= b_start < a_end
     return a_start < b_end and b_start < a_end
 
 
-def chosen(starts: list[int], ends: list[int]) -> list[bool]:
-    """Greedy choice in rank order: whether each edit is clear of all that were taken before it."""
-    taken: list[tuple[int, int]] = []
-    keep = []
-    for start, end in zip(starts, ends, strict=True):
-        at = bisect_left(taken, (start, end))
-        free = not any(conflicts(start, end, a, b) for a, b in taken[max(0, at - 2) : at + 2])
-        if free:
-            taken.insert(at, (start, end))
-        keep.append(free)
-    return keep
-
-
-@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def chosen(starts: list[int], ends: list[int]) -> list[int]:
+    """Greedy choice in rank order: for each edit -1 if it is clear of all that were taken before it, else the first of those it clashes with.
+
+    Taken spans clash with none of each other, so those that may clash with an edit are
+    the one that starts before it and those that start inside it.
+    """
+    taken: list[tuple[int, int, int]] = []
+    out = []
+    for k, (start, end) in enumerate(zip(starts, ends, strict=True)):
+        at = bisect_left(taken, (start, -1, -1))
+        near = taken[max(0, at - 1) : at]
+        while at < len(taken) and taken[at][0] <= end:
+            near.append(taken[at])
+            at += 1
+        clashes = [p for a, b, p in near if conflicts(start, end, a, b)]
+        if not clashes:
+            insort(taken, (start, end, k))
+        out.append(min(clashes, default=-1))
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _chosen(starts: pa.Array, ends: pa.Array) -> pa.Array:
-    return pa.array([chosen(a, b) for a, b in zip(starts.to_pylist(), ends.to_pylist(), strict=True)], pa.list_(pa.bool_()))
+    return pa.array([chosen(a, b) for a, b in zip(starts.to_pylist(), ends.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
 
 def resolved(suggestions: DataFrame) -> DataFrame:
-    """The valid findings with ``rejection`` SUPERSEDED where a better edit overlaps; advice never clashes."""
+    """The valid findings with ``rejection`` SUPERSEDED where a better edit overlaps, and ``superseded_by``, that edit's position; advice never clashes."""
     order = Window.partitionBy("doc_id").orderBy(*rank_order())
     rows = suggestions.where("rejection is null").withColumn("position", F.row_number().over(order))
     edits = clustered(rows.where("replacement is not null"))
     names = [c for c in rows.columns if c not in ("position", "rejection")]
     islands = edits.groupBy("doc_id", "cluster").agg(F.sort_array(F.collect_list(F.struct("position", *names))).alias("e"))
-    judged = islands.select("e", _chosen(F.col("e.char_start"), F.col("e.char_end")).alias("kept"))
-    told = judged.select(F.explode_outer(F.arrays_zip("e", "kept")).alias("z")).select("z.e.*", F.when(~F.col("z.kept"), "SUPERSEDED").alias("rejection"))
-    return told.select(*rows.columns).unionByName(rows.where("replacement is null"))
+    judged = islands.select("e", _chosen(F.col("e.char_start"), F.col("e.char_end")).alias("by"))
+    winner = F.when(F.col("z.by") >= 0, F.element_at("e", F.col("z.by") + 1)["position"])
+    told = judged.select("e", F.explode_outer(F.arrays_zip("e", "by")).alias("z")).select("z.e.*", F.when(F.col("z.by") >= 0, "SUPERSEDED").alias("rejection"), winner.alias("superseded_by"))
+    advice = rows.where("replacement is null").withColumn("superseded_by", F.lit(None).cast("int"))
+    return told.select(*rows.columns, "superseded_by").unionByName(advice)
+
+
+def fuse(suggestions: DataFrame, texts: DataFrame, weights: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranked, rejected, operations): the findings that stand in order of ``position``, the others with the reason, and the edits of each document."""
+    valid = validated(suggestions, texts).withColumn("confidence", confidence(weights))
+    judged = resolved(valid)
+    stand = judged.where("rejection is null")
+    columns = [c for c in valid.columns if c != "rejection"]
+    gone = valid.where("rejection is not null").select(*columns, "rejection", F.lit(None).cast("int").alias("superseded_by"))
+    return stand.drop("rejection", "superseded_by"), gone.unionByName(judged.where("rejection is not null").select(*columns, "rejection", "superseded_by")), merged(stand.where("replacement is not null"))
 
 
 def merged(edits: DataFrame) -> DataFrame:

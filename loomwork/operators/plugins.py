@@ -2,56 +2,79 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import TimeoutError as Late
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomwork.operators.rules import COLUMNS
+from loomwork.shared import cut
 
 Plugin = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
 class Outcome:
-    """Findings of the plugins that could be planned, and the faults of the others by name."""
+    """Findings of the plugins that ended well, in order of their names, and the faults of the others by name."""
 
     findings: DataFrame | None = None
     failures: dict[str, str] = field(default_factory=dict)
 
 
-def dispatch(documents: DataFrame, plugins: dict[str, Plugin]) -> Outcome:
-    """Run plugins in order of their names.
+def fault(error: BaseException) -> str:
+    """A fault's code and text: a code of its own, CONTRACT for a wrong value, EXECUTION_FAILED for all else."""
+    code = getattr(error, "code", None)
+    if not isinstance(code, str):
+        code = "CONTRACT" if isinstance(error, ValueError) else "EXECUTION_FAILED"
+    return f"{code}: {error}"
 
-    A fault at planning, or a result without the schema of findings, is recorded
-    with the plugin's name and does not touch the others.
+
+def _checked(found: DataFrame) -> DataFrame:
+    if list(found.columns) != list(COLUMNS):
+        raise ValueError(f"columns are {found.columns}")
+    return found
+
+
+def dispatch(documents: DataFrame, plugins: dict[str, Plugin], run: bool = True, timeout: float | None = None) -> Outcome:
+    """Run plugins side by side, their results in order of their names.
+
+    A result without the schema of findings is a fault. With ``run`` each result is written as a
+    table, so that a fault while it is computed touches no other plugin; with a
+    timeout in seconds, a plugin that takes longer is cancelled.
     """
+    context = documents.sparkSession.sparkContext
     out = Outcome()
+
+    def work(plugin: Plugin, tag: str) -> DataFrame:
+        context.addJobTag(tag)
+        try:
+            found = _checked(plugin(documents))
+            return cut(found, "findings") if run else found
+        finally:
+            context.removeJobTag(tag)
+
+    waiting: dict[str, tuple[Future, str]] = {}
+    pool = ThreadPoolExecutor(max(1, len(plugins)))
     for name in sorted(plugins):
+        tag = f"plugin-{uuid.uuid4().hex}"
+        waiting[name] = pool.submit(work, plugins[name], tag), tag
+    for name, (job, tag) in waiting.items():
         try:
-            found = plugins[name](documents)
-            if list(found.columns) != list(COLUMNS):
-                raise ValueError(f"columns are {found.columns}")
+            found = job.result(timeout)
             out.findings = found if out.findings is None else out.findings.unionByName(found)
-        except ValueError as e:
-            out.failures[name] = f"CONTRACT: {e}"
+        except Late:
+            context.cancelJobsWithTag(tag)
+            out.failures[name] = f"TIMEOUT: not done within {timeout} s"
         except Exception as e:  # noqa: BLE001
-            out.failures[name] = f"EXECUTION_FAILED: {e}"
+            out.failures[name] = fault(e)
+    pool.shutdown(wait=False)
     return out
 
 
-class Models:
-    """Models by capability: the newest version wins, versions compared as text."""
-
-    def __init__(self):
-        self._all: dict[str, list[tuple[str, str, Callable]]] = {}
-
-    def register(self, capability: str, key: str, version: str, load: Callable) -> None:
-        self._all.setdefault(capability, []).append((version, key, load))
-
-    def resolve(self, capability: str, preferred: str | None = None):
-        found = self._all.get(capability, [])
-        chosen = [x for x in found if x[1] == preferred] or found
-        if not chosen:
-            raise LookupError(f"no model for {capability}")
-        return max(chosen, key=lambda x: x[:2])
+def newest(models: DataFrame) -> DataFrame:
+    """(capability, key, version): of each capability the greatest version, compared as text, then the greatest key."""
+    return models.groupBy("capability").agg(F.max(F.struct("version", "key")).alias("m")).select("capability", "m.key", "m.version")

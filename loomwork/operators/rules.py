@@ -1,27 +1,16 @@
-"""Rules that propose edits: typography, particles, words and word pairs.
+"""Findings: their schema, typography, words with their neighbours, panels.
 
-All yield one schema, so that findings of any rules are one table:
+Findings of all rules are one table:
 (doc_id, source, char_start, char_end, replacement, score, priority, message, error_type).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.functions.script import TIBETAN, final_consonant
-
-# Particle forms by the closing consonant before them.
-GENITIVE = {"ག": "གི", "ང": "གི", "ད": "ཀྱི", "བ": "ཀྱི", "ས": "ཀྱི", "ན": "གྱི", "མ": "གྱི", "ར": "གྱི", "ལ": "གྱི", "འ": "འི", "open": "ཡི"}
-ERGATIVE = {"ག": "གིས", "ང": "གིས", "ད": "ཀྱིས", "བ": "ཀྱིས", "ས": "ཀྱིས", "ན": "གྱིས", "མ": "གྱིས", "ར": "གྱིས", "ལ": "གྱིས", "འ": "འིས", "open": "ཡིས"}
-INTERROGATIVE = {"ག": "གམ", "ང": "ངམ", "ད": "དམ", "ན": "ནམ", "བ": "བམ", "མ": "མམ", "ར": "རམ", "ལ": "ལམ", "ས": "སམ", "open": "འམ"}
-FINAL = {"ག": "གོ", "ང": "ངོ", "ད": "དོ", "ན": "ནོ", "བ": "བོ", "མ": "མོ", "ར": "རོ", "ལ": "ལོ", "ས": "སོ", "open": "འོ"}
-#: Words with one right spelling, and plain verbs with their honorific form.
-EXISTENTIAL = {"འདུགས": "འདུག", "ཡོདས": "ཡོད"}
-HONORIFIC = {"སྡོད": "བཞུགས", "ཤོད": "ཞུས", "བྱེད": "མཛད", "ཟོ": "གསོལ", "འགྲོ": "ཕེབས"}
-HONORED = "ཁྱེད་|ཁོང་|སྤྱི་ཁྱབ|སྐུ་ཞོགས"
-COPULA = {"རེད": "ཡིན", "འདུག": "ཡོད"}
-FIRST_PERSON = ("ང", "ང་ཚོ", "ངས")
+from loomwork.functions.script import TIBETAN
+from loomwork.functions.spans import matches_column
 
 #: Pattern, replacement, score, priority of typographic slips.
 TYPOGRAPHY = (("་{2,}", "་", 0.95, "HIGH"), ("།{3,}", "༎", 0.90, "MEDIUM"), ("\\s+་", "་", 0.85, "MEDIUM"))
@@ -29,19 +18,11 @@ TYPOGRAPHY = (("་{2,}", "་", 0.95, "HIGH"), ("།{3,}", "༎", 0.90, "MEDIUM
 COLUMNS = ("doc_id", "source", "char_start", "char_end", "replacement", "score", "priority", "message", "error_type")
 
 
-def matches(df: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """(…, char_start, char_end, matched) of every match, left to right.
-
-    The text is split at the matches; offsets are sums of what stands before.
-    """
-    found = F.regexp_extract_all(F.col(text_col), F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(F.col(text_col), pattern)
-    rows = df.withColumn("__found", found).withColumn("__between", between)
-    pairs = F.zip_with("__found", F.slice("__between", F.lit(1), F.size("__found")), lambda m, b: F.struct(m.alias("m"), F.char_length(b).alias("b"), F.char_length(m).alias("n")))
-    rows = rows.where(F.col(text_col).rlike(pattern)).select(*df.columns, F.posexplode(pairs).alias("__k", "__p"))
-    before = Window.partitionBy(*[c for c in df.columns if c != text_col]).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("__p.b") + F.col("__p.n")).over(before), F.lit(0)) + F.col("__p.b")
-    return rows.withColumn("char_start", start).select(*[c for c in df.columns if c != text_col], "char_start", (F.col("char_start") + F.col("__p.n")).alias("char_end"), F.col("__p.m").alias("matched"))
+def matches(df: DataFrame, *patterns: str, text_col: str = "text") -> DataFrame:
+    """(…, rule, char_start, char_end, matched) of every match of each pattern, found in the row."""
+    kept = [c for c in df.columns if c != text_col]
+    rows = df.select(*kept, F.explode_outer(matches_column(F.col(text_col), *patterns)).alias("__m")).where("__m is not null")
+    return rows.select(*kept, "__m.*")
 
 
 def suggestion(df: DataFrame, source: str, replacement: Column, score: Column | float, priority: str, message: Column | str, error_type: str) -> DataFrame:
@@ -53,62 +34,24 @@ def suggestion(df: DataFrame, source: str, replacement: Column, score: Column |
 
 
 def typography(df: DataFrame) -> DataFrame:
-    """Doubled syllable marks, three and more shads, space before a mark."""
-    out = None
-    for pattern, replacement, score, priority in TYPOGRAPHY:
-        one = suggestion(matches(df.select("doc_id", "text"), pattern), "typography", F.lit(replacement), score, priority, f"matches {pattern}", "TYPOGRAPHY")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Doubled syllable marks, three and more shads, space before a mark: all patterns in one pass."""
+    found = matches(df.select("doc_id", "text"), *(p for p, *_ in TYPOGRAPHY))
+    pick = lambda k: F.element_at(F.array(*(F.lit(rule[k]) for rule in TYPOGRAPHY)), F.col("rule") + 1)
+    return found.select(
+        "doc_id", F.lit("typography").alias("source"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), pick(1).alias("replacement"),
+        pick(2).alias("score"), pick(3).alias("priority"), F.concat(F.lit("matches "), pick(0)).alias("message"), F.lit("TYPOGRAPHY").alias("error_type"),
+    )
 
 
 def tokens(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, pos, word, char_start, char_end, left, right): syllables with their neighbours."""
+    """(doc_id, pos, word, char_start, char_end, left, right): syllables with their neighbours, found in the row."""
     inside = f"[^{TIBETAN.syllable_marks}{TIBETAN.sentence_marks}\\s]+"
-    found = matches(df.select("doc_id", F.col(text_col).alias("text")), inside)
-    order = Window.partitionBy("doc_id").orderBy("char_start")
-    rows = found.withColumn("pos", F.row_number().over(order) - 1).withColumnRenamed("matched", "word")
-    return rows.withColumn("left", F.lag("word").over(order)).withColumn("right", F.lead("word").over(order))
-
-
-def _table(entries: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for k, v in entries.items() for x in (k, v)))
-
-
-def particle_agreement(words: DataFrame) -> DataFrame:
-    """Particles whose form does not fit the closing consonant before them."""
-    out = None
-    for name, forms in (("genitive", GENITIVE), ("ergative", ERGATIVE), ("interrogative", INTERROGATIVE), ("final", FINAL)):
-        every = sorted(set(forms.values()))
-        wanted = F.coalesce(_table(forms)[final_consonant(F.col("left"))], F.lit(None).cast("string"))
-        wrong = words.where(F.col("word").isin(every) & F.col("left").isNotNull()).withColumn("wanted", wanted).where("wanted is not null and wanted <> word")
-        one = suggestion(wrong, "grammar", F.col("wanted"), 0.9, "HIGH", f"{name} particle", "GRAMMAR")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def repeated_words(words: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """A word twice in a row; it is only pointed at, not removed, where it may be meant."""
-    twice = words.where((F.col("word") == F.col("left")) & ~F.col("word").isin(*allowed) if allowed else F.col("word") == F.col("left"))
-    return suggestion(twice, "grammar", F.lit(None), 0.9, "MEDIUM", F.concat(F.lit("repeated: "), "word"), "GRAMMAR")
-
-
-def spellings(words: DataFrame, entries: dict[str, str], score: float = 0.95, priority: str = "HIGH", message: str = "spelling") -> DataFrame:
-    """Words that a table replaces."""
-    table = _table(entries)
-    return suggestion(words.where(F.map_contains_key(table, F.col("word"))), "grammar", table[F.col("word")], score, priority, message, "GRAMMAR")
-
-
-def in_documents(words: DataFrame, documents: DataFrame, pattern: str, entries: dict[str, str], score: float, message: str) -> DataFrame:
-    """``spellings`` in documents that match a pattern: honorific subjects, first persons."""
-    fitting = documents.where(F.col("text").rlike(pattern)).select("doc_id")
-    return spellings(words.join(fitting, "doc_id", "left_semi"), entries, score, "LOW", message)
-
-
-def word_order(rows: DataFrame) -> DataFrame:
-    """(doc_id, …, relation, pos): objects behind the root."""
-    roots = rows.where("relation = 'root'").select("doc_id", "sent_idx", F.col("pos").alias("root_pos"))
-    late = rows.join(roots, ["doc_id", "sent_idx"]).where("relation = 'arg2' and pos > root_pos and char_length(word) > 1")
-    return suggestion(late, "grammar", F.lit(None), 0.5, "LOW", F.concat(F.lit("object behind verb: "), "word"), "GRAMMAR")
+    rows = df.select("doc_id", matches_column(F.col(text_col), inside).alias("m"))
+    none = F.array(F.lit(None).cast(rows.schema["m"].dataType.elementType))
+    n = F.size("m")
+    zipped = F.arrays_zip(F.col("m").alias("at"), F.concat(none, "m").alias("before"), F.concat(F.slice("m", 2, F.greatest(n, F.lit(0))), none).alias("next"))
+    out = rows.select("doc_id", n.alias("n"), F.posexplode_outer(zipped).alias("pos", "z")).where("pos < n")
+    return out.select("doc_id", "pos", F.col("z.at.matched").alias("word"), "z.at.char_start", "z.at.char_end", F.col("z.before.matched").alias("left"), F.col("z.next.matched").alias("right"))
 
 
 def panel(source: Column, error_type: Column) -> Column:
@@ -120,20 +63,3 @@ def panel(source: Column, error_type: Column) -> Column:
     for key, name in (("spelling", "Spelling"), ("grammar", "Grammar"), ("typography", "Typography"), ("plagiarism", "Plagiarism")):
         out = out.when(source == key, name)
     return out.otherwise("Style")
-
-
-class Registry:
-    """Rules with a score and a switch."""
-
-    def __init__(self, rules: dict[str, float]):
-        self.rules = {k: (v, True) for k, v in rules.items()}
-
-    def set(self, rule: str, score: float | None = None, enabled: bool | None = None) -> None:
-        old_score, old = self.rules[rule]
-        self.rules[rule] = (old_score if score is None else score, old if enabled is None else enabled)
-
-    def enabled(self, rule: str) -> bool:
-        return self.rules.get(rule, (0.0, False))[1]
-
-    def score(self, rule: str) -> float:
-        return self.rules[rule][0]

@@ -1,131 +1,209 @@
-"""Spelling and word choice: verdicts in stages, variants, omitted particles, pair tables.
+"""Spelling: a cascade of stages over the nodes of sentences.
 
-``words`` is the table of ``rules.tokens``; lexicons and n-grams are tables too, so
-every look-up is a join that Catalyst may broadcast or shuffle by size.
+What a word is does not depend on where it stands, so every distinct word is judged
+once, by joins with tables of any size, and the verdicts are joined back to the nodes.
+Only known words are looked at in their context, by distinct triples of neighbours.
+
+Stages: words that are not looked at; normalisation; structure of the syllables; words
+that are known, as such, as a stem, as a compound that a corpus attests; and, for the
+rest, candidates, of which the first is proposed if it is safe.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.script import TIBETAN, tidy
-from loomwork.operators.morphology import violation_column
-from loomwork.operators.rules import suggestion
+from loomwork.functions.script import tidy, unicode_form
+from loomwork.operators import correction, corpus, grammar
+from loomwork.operators.grammar import stripped
+from loomwork.operators.morphology import repaired_column, violation_column
 
-# Endings that a known stem may take; letters taken for one another; vowel signs.
+# Particles and endings that are never flagged, endings that a known stem may take.
+SAFE = (
+    "གི", "ཀྱི", "གྱི", "ཡི", "འི", "གིས", "ཀྱིས", "གྱིས", "ཡིས", "ས", "ལ", "ར", "རུ", "ཏུ", "དུ", "ན", "ནས", "ལས", "ནི", "ཀྱང", "ཡང", "འང", "དང", "མི", "མེད", "ཡིན", "རེད", "ཡོད", "འདུག",
+)
+SUFFIXES = ("་ལཏར", "་མཁན", "་པོ", "་པས", "་མས", "་གིས", "་གི", "་བྱས")
 ENDINGS = "རས"
-CONFUSED = (("ད", "ན"), ("པ", "བ"), ("ཅ", "ཙ"), ("ཆ", "ཚ"), ("ཇ", "ཛ"), ("ཞ", "ཤ"), ("ཟ", "ས"))
-SIGNS = "ིེོུ"
-LEAST, OVER_TOKEN, OVER_NEXT = 5, 20, 10
+SMALL_RELATIONS = ("case", "aux", "mark", "neg")
+#: Confidence from which a candidate is proposed, and that of a finding without one.
+LEAST, UNSURE = 0.75, 0.85
 
 
 def known(words: DataFrame, lexicon: DataFrame, column: str = "word") -> DataFrame:
-    """Add ``known``: the word, or what is left without a final ར or ས, is in the lexicon."""
+    """Add ``known``: the word, or what is left without a final ར or ས, is in the lexicon; the empty word is."""
     stem = F.when(F.col(column).rlike(f"[{ENDINGS}]$"), F.expr(f"substring({column}, 1, char_length({column}) - 1)"))
     one = lexicon.select(F.col("word").alias("__w"), F.lit(True).alias("__a")).distinct()
     two = lexicon.select(F.col("word").alias("__v"), F.lit(True).alias("__b")).distinct()
     out = words.withColumn("__stem", stem).join(one, F.col(column) == F.col("__w"), "left").join(two, F.col("__stem") == F.col("__v"), "left")
-    return out.withColumn("known", F.coalesce("__a", F.lit(False)) | F.coalesce("__b", F.lit(False))).drop("__stem", "__w", "__a", "__v", "__b")
+    return out.withColumn("known", F.coalesce("__a", F.lit(False)) | F.coalesce("__b", F.lit(False)) | (F.col(column) == "")).drop("__stem", "__w", "__a", "__v", "__b")
 
 
 def skipped(word: Column) -> Column:
-    """Words that are not looked at: single characters, digits, other or mixed scripts."""
-    return (F.char_length(word) < 2) | word.rlike("[0-9༠-༳]") | word.rlike(f"[^{TIBETAN.block}]")
+    """Words of two scripts, numerals, and what has no letter of the script."""
+    bare = stripped(word)
+    mixed = word.rlike("[ༀ-࿚]") & word.rlike("[A-Za-z]")
+    return (bare == "") | mixed | bare.rlike("^[༠-༳]+$") | ~bare.rlike("[ཀ-ཬཱ-྅ྐ-ྼ]")
+
+
+def suffix_base(word: Column) -> Column:
+    """What is left of a word before the first listed ending it has; null if it has none."""
+    out = None
+    for s in SUFFIXES:
+        base = F.substring(word, F.lit(1), F.char_length(word) - len(s))
+        out = F.when(word.endswith(s), base) if out is None else out.when(word.endswith(s), base)
+    return out
+
+
+def _held(words: DataFrame, column: Column, table: DataFrame, name: str) -> DataFrame:
+    """Add ``name``: whether the expression is a word of the table (word)."""
+    t = table.select(F.col("word").alias("__listed"), F.lit(True).alias(name)).distinct()
+    return words.join(t, column == F.col("__listed"), "left").drop("__listed").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def verdicts(words: DataFrame, lexicon: DataFrame, bigrams: DataFrame, best: DataFrame, least: float = 0.75) -> DataFrame:
-    """Add ``verdict`` and ``proposal``, in the order of the stages.
+def stem_table(words: DataFrame, suffix_rules: DataFrame, irregular: DataFrame | None = None) -> DataFrame:
+    """(word, stem, confidence, rule, source, rank): irregular form first, every suffix by priority, the word itself last.
 
-    ``best`` is (query, word, confidence): the first candidate of each unknown word.
-    A word attested with its left neighbour counts as part of a compound.
+    ``suffix_rules`` is (suffix, category, priority, confidence), ``irregular`` (form, stem, confidence, rule).
+    A word is joined by its own endings, not with every rule.
     """
-    pairs = bigrams.select(F.col("ngram").alias("__pair"), F.lit(True).alias("__attested"))
-    first = best.select(F.col("query").alias("__q"), F.col("word").alias("__candidate"), F.col("confidence").alias("__sure"))
-    joined = known(words, lexicon).join(pairs, F.concat_ws(" ", "left", "word") == F.col("__pair"), "left").join(first, F.col("word") == F.col("__q"), "left")
-    near = F.abs(F.char_length("word") - F.char_length("__candidate")) <= 2
+    bare = words.select("word", stripped(F.col("word")).alias("w")).where("w <> ''").distinct()
+    ends = bare.select("word", "w", F.explode(F.sequence(F.lit(1), F.char_length("w") - 1)).alias("k")).where("k > 0 and k < char_length(w)")
+    ends = ends.select("word", F.expr("substring(w, char_length(w) - k + 1)").alias("suffix"), F.regexp_replace(F.expr("substring(w, 1, char_length(w) - k)"), "[་ ]+$", "").alias("stem")).where("stem <> ''")
+    rules = suffix_rules.select("suffix", "category", "priority", "confidence")
+    found = ends.join(rules, "suffix").select("word", "stem", F.col("confidence").cast("double").alias("confidence"), F.concat(F.lit("SUFFIX_"), F.upper("category")).alias("rule"), F.lit("suffix").alias("source"), (-F.col("priority")).cast("long").alias("place"))
+    if irregular is not None:
+        forms = irregular.select(F.col("form").alias("w"), "stem", F.coalesce("confidence", F.lit(0.97)).alias("confidence"), F.coalesce("rule", F.lit("PAST_IRREGULAR")).alias("rule"))
+        found = found.unionByName(bare.join(forms, "w").select("word", "stem", "confidence", "rule", F.lit("irregular").alias("source"), F.lit(-(1 << 40)).cast("long").alias("place")))
+    some = found.select("word").distinct().withColumn("__some", F.lit(True))
+    raw = bare.join(some, "word", "left").select("word", F.col("w").alias("stem"), F.when(F.col("__some"), 0.30).otherwise(0.50).alias("confidence"), F.lit("NO_MORPHOLOGY").alias("rule"), F.lit("fallback").alias("source"), F.lit(1 << 40).cast("long").alias("place"))
+    order = Window.partitionBy("word").orderBy("place", "rule", "stem")
+    return found.unionByName(raw).withColumn("rank", F.row_number().over(order)).drop("place")
+
+
+def verdicts(words: DataFrame, lexicon: DataFrame, bigrams: DataFrame, trigrams: DataFrame, suffix_rules: DataFrame, irregular: DataFrame | None = None) -> DataFrame:
+    """(word, normal, verdict, syllable, repair) of every distinct word.
+
+    The verdict is skipped, suffixed, SPELL-NORM-001, SPELL-STRUCT-001, known, compound, stem, or unknown.
+    """
+    safe = [*SAFE, *grammar.EXCEPTIONS]
+    vocabulary = lexicon.select(stripped(F.col("word")).alias("word")).where("word <> ''").distinct()
+    asked = words.select("word").distinct().withColumn("normal", tidy(unicode_form(F.col("word")))).withColumn("bare", stripped(F.col("normal")))
+    base = suffix_base(F.col("word"))
+    rows = _held(asked.withColumn("__base", stripped(base)), F.col("__base"), vocabulary, "__suffixed")
+    rows = rows.withColumn("__suffixed", (F.coalesce(F.col("__base"), F.lit("")) != "") & (F.col("__suffixed") | F.col("__base").isin(*safe)))
+    syllables = F.filter(F.split("normal", "་"), lambda s: s != "")
+    # the first syllable that breaks a rule: syllables are judged once, whatever words they stand in
+    parts = asked.select("word", F.posexplode(syllables).alias("k", "syllable"))
+    broken = parts.select("syllable").distinct().withColumn("error", violation_column("syllable")).where("error is not null").withColumn("repair", repaired_column("syllable"))
+    first = parts.join(broken, "syllable").groupBy("word").agg(F.min(F.struct("k", "syllable", "error", "repair")).alias("__broken"))
+    rows = rows.join(first, "word", "left")
+    rows = known(rows, vocabulary, "bare").withColumnRenamed("known", "__known")
+    pieces = F.filter(F.transform(F.split("normal", "་"), lambda s: stripped(s)), lambda s: s != "")
+    rows = rows.withColumn("__parts", pieces).withColumn("__n", F.size("__parts"))
+    several = rows.where("__n > 1").select("word", "__parts", "__n", F.explode("__parts").alias("__p"))
+    several = _held(several, F.col("__p"), vocabulary, "__in").withColumn("__in", F.col("__in") | F.col("__p").isin(*safe))
+    whole = several.groupBy("word", "__parts", "__n").agg(F.min("__in").alias("__all")).where("__all")
+    pair = F.concat_ws(" ", F.get("__parts", F.lit(0)), F.get("__parts", F.lit(1)))
+    triple = F.concat_ws(" ", *(F.get("__parts", F.lit(k)) for k in range(3)))
+    two = bigrams.where("n > 0").select(F.col("ngram").alias("word"))
+    three = trigrams.where("n > 0").select(F.col("ngram").alias("word"))
+    attested = _held(_held(whole, F.when(F.col("__n") != 3, pair), two, "__b"), F.when(F.col("__n") == 3, triple), three, "__t").where("__b or __t").select("word", F.lit(True).alias("__compound"))
+    rows = rows.join(attested, "word", "left")
+    stems = stem_table(asked.select(F.col("normal").alias("word")), suffix_rules, irregular)
+    stemmed = stems.join(vocabulary.withColumnRenamed("word", "stem"), "stem", "left_semi").select(F.col("word").alias("normal"), F.lit(True).alias("__stem")).distinct()
+    rows = rows.join(stemmed, "normal", "left")
     verdict = (
         F.when(skipped(F.col("word")), "skipped")
-        .when(tidy(F.col("word")) != F.col("word"), "SPELL-NORM-001")
-        .when(F.col("known"), "known")
-        .when(violation_column("word").isNotNull(), "SPELL-STRUCT-001")
-        .when(F.col("__attested"), "compound")
-        .when(F.col("__candidate").isNull(), "SPELL-DICT-002")
-        .when((F.col("__sure") >= least) & near, "SPELL-DICT-001")
-        .otherwise("SPELL-DICT-003")
+        .when(F.col("__suffixed"), "suffixed")
+        .when(F.col("normal") != F.col("word"), "SPELL-NORM-001")
+        .when(F.col("__broken").isNotNull(), "SPELL-STRUCT-001")
+        .when(F.col("__known") | F.col("bare").isin(*safe), "known")
+        .when(F.col("__compound"), "compound")
+        .when(F.col("__stem"), "stem")
+        .otherwise("unknown")
+    )
+    return rows.select("word", "normal", verdict.alias("verdict"), F.col("__broken.syllable").alias("syllable"), F.col("__broken.error").alias("error"), F.col("__broken.repair").alias("repair"))
+
+
+def spelled(flat: DataFrame) -> DataFrame:
+    """Nodes (``grammar.neighbours``) that are looked at, with ``raw``: the text without shads, spaces and the sign ཿ at its ends."""
+    raw = F.regexp_replace("node_text", "^[། ཿ]+|[། ཿ]+$", "")
+    rows = flat.withColumn("raw", raw).where((F.col("raw") != "") & ~F.coalesce(F.col("relation") == "punct", F.lit(False)))
+    small = F.coalesce(F.col("relation").isin(*SMALL_RELATIONS), F.lit(False)) & (F.col("raw").rlike("^[\\x00-\\x7F]*$") | F.regexp_replace("raw", "^[་ ]+|[་ ]+$", "").isin(*SAFE))
+    return rows.where(~small)
+
+
+def findings(nodes: DataFrame, judged: DataFrame, best: DataFrame, source: str = "spelling") -> DataFrame:
+    """Findings of all nodes whose word is not in order.
+
+    ``judged`` is ``verdicts``; ``best`` is (word, candidate, confidence, safe): the first
+    candidate of each unknown word, if it has any.
+    """
+    rows = nodes.select("doc_id", (F.col("sent_start") + F.col("start")).alias("char_start"), (F.col("sent_start") + F.col("end")).alias("char_end"), F.col("raw").alias("word"))
+    wrong = judged.where(F.col("verdict").isin("SPELL-NORM-001", "SPELL-STRUCT-001", "unknown")).join(best, "word", "left")
+    norm, struct = F.col("verdict") == "SPELL-NORM-001", F.col("verdict") == "SPELL-STRUCT-001"
+    none, safe = F.col("candidate").isNull(), F.coalesce("safe", F.lit(False))
+    said = lambda *p: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in p))
+    message = (
+        F.when(norm, said("[SPELL-NORM-001] Normalization: '", F.col("word"), "' -> '", F.col("normal"), "'"))
+        .when(struct, said("[SPELL-STRUCT-001] Structural Error [", F.col("error"), "]: Syllable '", F.col("syllable"), "' violates Tibetan orthography rules"))
+        .when(none, said("[SPELL-DICT-002] Unknown word: '", F.col("normal"), "' — No suggestion available."))
+        .when(safe, said("[SPELL-DICT-001] Correction available: Unknown word '", F.col("normal"), "' — Did you mean '", F.col("candidate"), "'? (confidence: ", F.format_string("%.2f", F.col("confidence").cast("double")), ")"))
+        .otherwise(said("[SPELL-DICT-003] Unknown word: '", F.col("normal"), "' — candidate rejected by safety guardrails, no edit applied."))
+    )
+    told = wrong.select(
+        "word", F.when(norm, F.col("normal")).when(struct, F.col("repair")).when(safe, F.col("candidate")).alias("replacement"),
+        F.when(norm | struct, 0.95).when(safe, F.col("confidence")).otherwise(UNSURE).alias("score"),
+        F.when(norm | struct | (safe & (F.col("confidence") >= 0.80)), "HIGH").otherwise("MEDIUM").alias("priority"), message.alias("message"),
+        F.when(norm, "NORMALIZATION").when(struct, "STRUCTURAL").otherwise("SPELLING").alias("kind"),
+    )
+    return _typed(rows.join(told, "word"), source)
+
+
+def _typed(found: DataFrame, source: str) -> DataFrame:
+    return found.select(
+        "doc_id", F.lit(source).alias("source"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.col("replacement").cast("string").alias("replacement"),
+        F.col("score").cast("double").alias("score"), "priority", "message", F.col("kind").alias("error_type"),
+    )
+
+
+def best_candidates(judged: DataFrame, lexicon: DataFrame, bigrams: DataFrame, frequencies: DataFrame | None = None, least: float = LEAST) -> DataFrame:
+    """(word, candidate, confidence, safe): the first candidate of each unknown word and whether it may be proposed."""
+    asked = judged.where("verdict = 'unknown'").select("word", "normal")
+    found = correction.candidates(asked.select(F.col("normal").alias("word")), lexicon, frequencies, 1)
+    first = asked.join(found.select(F.col("query").alias("normal"), F.col("word").alias("candidate"), "confidence"), "normal")
+    return correction.guarded(first, "normal", "candidate", "confidence", lexicon, bigrams, least).select("word", "candidate", "confidence", "safe")
+
+
+def context_findings(nodes: DataFrame, judged: DataFrame, unigrams: DataFrame, bigrams: DataFrame, trigrams: DataFrame, best: DataFrame, gap: float = 4.5, least: float = LEAST, source: str = "spelling") -> DataFrame:
+    """Known words that their context makes implausible.
+
+    ``nodes`` are one-syllable words with ``left2``, ``left`` and ``right``; ``best`` is
+    (word, candidate, safe). The candidate is proposed if it fits the context so much better
+    that 0.5 + gain / 10 reaches ``least``, and may be made.
+    """
+    fine = judged.where(F.col("verdict").isin("known", "compound", "stem") & ~F.col("word").isin(*SAFE)).select("word")
+    rows = nodes.join(fine, "word", "left_semi")
+    asked = rows.select("left2", "left", "word", "right").distinct()
+    scored = corpus.context_plausibility(asked, unigrams, bigrams, trigrams)
+    wrong = scored.where((F.col("pll") != 0) & (F.col("alone") - F.col("pll") > gap))
+    tried = wrong.join(best, "word", "left")
+    others = tried.where("candidate is not null").select("left2", "left", F.col("candidate").alias("word"), "right").distinct()
+    better = corpus.context_plausibility(others, unigrams, bigrams, trigrams).select(*(F.col(c).alias(f"o_{c}") for c in ("left2", "left", "word", "right")), F.col("pll").alias("other"))
+    same = F.col("left2").eqNullSafe(F.col("o_left2")) & F.col("left").eqNullSafe(F.col("o_left")) & F.col("right").eqNullSafe(F.col("o_right")) & (F.col("candidate") == F.col("o_word"))
+    joined = tried.join(better, same, "left").select("left2", "left", "word", "right", "pll", "candidate", "safe", "other")
+    sure = F.when((F.col("other") != 0) & (F.col("pll") != 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + (F.col("other") - F.col("pll")) / 10))).otherwise(0.0)
+    told = joined.withColumn("sure", F.coalesce(sure, F.lit(0.0))).withColumn("edit", F.coalesce((F.col("sure") >= least) & F.col("safe"), F.lit(False)))
+    t = told.select(*(F.col(c).alias(f"__{c}") for c in ("left2", "left", "word", "right")), "candidate", "sure", "edit")
+    hit = rows.join(t, F.col("word").eqNullSafe(F.col("__word")) & F.col("left").eqNullSafe(F.col("__left")) & F.col("left2").eqNullSafe(F.col("__left2")) & F.col("right").eqNullSafe(F.col("__right")))
+    message = F.when(F.col("edit"), F.concat(F.lit("[SPELL-CTX-001] Known word '"), "word", F.lit("' appears in an implausible context — did you mean '"), "candidate", F.lit("'?"))).otherwise(
+        F.concat(F.lit("[SPELL-CTX-002] Known word '"), "word", F.lit("' appears in an implausible context."))
     )
-    out = joined.withColumn("verdict", verdict)
-    return out.withColumn("proposal", F.when(F.col("verdict") == "SPELL-DICT-001", F.col("__candidate"))).drop("__pair", "__attested", "__q", "__candidate", "__sure")
-
-
-def variants(words: DataFrame, letters: bool = False) -> DataFrame:
-    """(word, variant): one vowel sign, or one confusable letter, replaced by another."""
-    swaps = [(a, b) for a in SIGNS for b in SIGNS if a != b] if not letters else [p for a, b in CONFUSED for p in ((a, b), (b, a))]
-    at = F.sequence(F.lit(1), F.char_length("word"))
-    table = F.create_map(*(x for a in {s[0] for s in swaps} for x in (F.lit(a), F.array(*(F.lit(b) for c, b in swaps if c == a)))))
-    rows = words.select("word").distinct().select("word", F.explode(at).alias("k")).withColumn("others", F.try_element_at(table, F.substring(F.col("word"), F.col("k"), F.lit(1))))
-    rows = rows.where("others is not null").select("word", "k", F.explode("others").alias("c"))
-    return rows.select("word", F.expr("concat(substring(word, 1, k - 1), c, substring(word, k + 1))").alias("variant"))
-
-
-def dominant_variants(words: DataFrame, counts: DataFrame, letters: bool = False) -> DataFrame:
-    """(word, variant, n): the variant that is far more frequent than the word and than the next variant."""
-    freq = counts.select(F.col("ngram").alias("__w"), F.col("n").alias("__n"))
-    found = variants(words, letters).join(freq, F.col("variant") == F.col("__w")).select("word", "variant", F.col("__n").alias("n"))
-    order = Window.partitionBy("word").orderBy(F.desc("n"), "variant")
-    ranked = found.withColumn("next", F.coalesce(F.lead("n").over(order), F.lit(0))).withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    own = ranked.join(freq, F.col("word") == F.col("__w"), "left").withColumn("own", F.coalesce("__n", F.lit(0)))
-    return own.where((F.col("n") >= LEAST) & (F.col("n") >= OVER_TOKEN * F.col("own")) & (F.col("n") >= OVER_NEXT * F.col("next"))).select("word", "variant", "n")
-
-
-def omitted_particles(words: DataFrame, bigrams: DataFrame, trigrams: DataFrame, particles: list[str]) -> DataFrame:
-    """(…, particle): words whose bare pair is unattested, but attested with a particle between them."""
-    b = bigrams.select(F.col("ngram").alias("__g"), F.col("n").alias("__n"))
-    t = trigrams.select(F.col("ngram").alias("__t"))
-    pairs = words.where(F.col("right").isNotNull() & ~F.col("word").isin(*particles) & ~F.col("right").isin(*particles))
-    bare = pairs.join(b, F.concat_ws(" ", "word", "right") == F.col("__g"), "left_anti")
-    tried = bare.withColumn("particle", F.explode(F.array(*map(F.lit, particles))))
-    one = b.where("__n >= 2").select("__g")
-    tried = tried.join(one, F.concat_ws(" ", "word", "particle") == F.col("__g"), "left_semi").join(one, F.concat_ws(" ", "particle", "right") == F.col("__g"), "left_semi")
-    return tried.join(t, F.concat_ws(" ", "word", "particle", "right") == F.col("__t"), "left_semi")
-
-
-def collocation_scores(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """(w1, w2) -> score: MI over five inside 0 to 1, in either order; 0.5 for unknown pairs."""
-    straight = table.select(F.col("w1").alias("a1"), F.col("w2").alias("a2"), F.col("pmi").alias("p"))
-    turned = table.select(F.col("w2").alias("b1"), F.col("w1").alias("b2"), F.col("pmi").alias("q"))
-    out = pairs.join(straight, (F.col("w1") == F.col("a1")) & (F.col("w2") == F.col("a2")), "left").join(turned, (F.col("w1") == F.col("b1")) & (F.col("w2") == F.col("b2")), "left")
-    known_score = F.coalesce("p", "q")
-    score = F.when(known_score.isNull(), 0.5).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), known_score / 5)))
-    return out.select("w1", "w2", score.alias("score"))
-
-
-def compounds(words: DataFrame, table: DataFrame, longest: int = 3) -> DataFrame:
-    """Runs of up to three words that a table (wrong, right) replaces, the longest first at each place."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    rows = words.withColumn("__w0", F.col("word"))
-    for k in range(1, longest):
-        rows = rows.withColumn(f"__w{k}", F.lead("word", k).over(order)).withColumn(f"__e{k}", F.lead("char_end", k).over(order))
-    options = []
-    for n in range(longest, 1, -1):
-        key = F.concat_ws("་", *(f"__w{k}" for k in range(n)))
-        options.append(F.when(F.col(f"__w{n - 1}").isNotNull(), F.struct(key.alias("key"), F.lit(n).alias("n"), F.col(f"__e{n - 1}").alias("end"))))
-    tried = rows.select("doc_id", "pos", "char_start", F.explode(F.array(*options)).alias("o")).where("o is not null").select("doc_id", "pos", "char_start", "o.key", "o.n", F.col("o.end").alias("char_end"))
-    hit = tried.join(table.select(F.col("wrong").alias("key"), F.col("right").alias("fix")), "key")
-    first = Window.partitionBy("doc_id", "pos").orderBy(F.desc("n"))
-    best = hit.withColumn("__r", F.row_number().over(first)).where("__r = 1")
-    return suggestion(best, "grammar", F.col("fix"), 0.9, "HIGH", F.concat(F.lit("compound: "), "key"), "GRAMMAR")
-
-
-def by_neighbours(words: DataFrame, table: list[tuple[str, str | None, str | None, str]]) -> DataFrame:
-    """Replacements (word, beginning of the left word, of the right word, fix); the first that fits."""
-    fits = []
-    for word, left, right, fix in table:
-        cond = F.col("word") == word
-        cond = cond & F.coalesce(F.col("left").startswith(left), F.lit(False)) if left else cond
-        cond = cond & F.coalesce(F.col("right").startswith(right), F.lit(False)) if right else cond
-        fits.append((cond, fix))
-    fix = reduce(lambda out, f: F.when(f[0], f[1]) if out is None else out.when(f[0], f[1]), fits, None)
-    return suggestion(words.withColumn("fix", fix).where("fix is not null"), "grammar", F.col("fix"), 0.85, "MEDIUM", "word in its context", "GRAMMAR")
+    return _typed(
+        hit.select(
+            "doc_id", "char_start", "char_end", F.when(F.col("edit"), F.col("candidate")).alias("replacement"), F.when(F.col("edit"), F.round(F.least(F.lit(1.0), F.col("sure") * 0.8), 3)).otherwise(0.5).alias("score"),
+            F.lit("LOW").alias("priority"), message.alias("message"), F.lit("CONTEXT").alias("kind"),
+        ),
+        source,
+    )

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import script as sc
-from loomwork.operators import correction, corpus, fusion, morphology, rules, snapshot, spelling, syntax, synthetic, tagging
+from loomwork.operators import corpus, fusion, morphology, rules, snapshot, syntax, synthetic, tagging
 from loomwork.plans.catalog import register
-from loomwork.plans.common import LATIN, SCRIPT, SQUEEZED_SQL, documents, script_documents, table
-from loomwork.plans.statistics import COLLOCATIONS_SQL, SYL, _ngram_sql
-from loomwork.plans.textual import DOCS, FINAL_SQL, SENTENCE_SQL, WORDS, words
+from loomwork.plans.common import WHITE_SQL, documents, script_documents, table
+from loomwork.plans.textual import DOCS, SENTENCE_SQL, WORDS, words
+from loomwork.shared import cut
+from loomwork.sources import sinks
 
 
 def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +20,7 @@ def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return script_documents(spark, sf_dir).join(good, "doc_id", "left_semi")
 
 
-def _list_sql(groups: dict[str, str]) -> str:
-    entries = morphology.by_surface(groups)
+def _list_sql(entries: dict[str, tuple[str, ...]]) -> str:
     return "CASE word " + " ".join(f"WHEN '{k}' THEN '{'+'.join(v)}'" for k, v in entries.items()) + " END"
 
 
@@ -37,9 +37,6 @@ def morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("word", F.array_join(one, " ").alias("morphemes"))
 
 
-TYPO_PARTS = [(p.replace("\\s", r"[\t\n\f\r ]"), r, s, q) for p, r, s, q in rules.TYPOGRAPHY]
-
-
 def offsets_sql(source: str, pattern: str) -> str:
     """(doc_id, k, char_start, char_end, matched) of all matches."""
     return f"""(SELECT doc_id, k, (coalesce(sum(length(b) + length(m)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(b))::BIGINT AS char_start,
@@ -47,51 +44,9 @@ def offsets_sql(source: str, pattern: str) -> str:
       FROM (SELECT doc_id, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, unnest(range(0, len(ms))) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS bs FROM {source}) WHERE len(ms) > 0))"""
 
 
-@register(
-    "typography_rules",
-    f"WITH {DOCS}, slips AS (SELECT doc_id, replace(replace(replace(text, '༎', '་'), '།་', '། ་'), '།' || chr(10), '།།།' || chr(10)) AS text FROM docs) "
-    + " UNION ALL ".join(f"SELECT doc_id, char_start, char_end, '{r}' AS replacement, {s}::DOUBLE AS score, '{q}' AS priority FROM {offsets_sql('slips', p)}" for p, r, s, q in TYPO_PARTS),
-)
-def typography_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over texts in which commas, full stops and ends of lines have become slips."""
-    text = F.col("text")
-    for old, new in (("༎", "་"), ("།་", "། ་"), ("།\n", "།།།\n")):
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return rules.typography(script_documents(spark, sf_dir).withColumn("text", text)).select("doc_id", "char_start", "char_end", "replacement", "score", "priority")
-
-
 TOKEN_SQL = f"tok AS (SELECT *, matched AS word, lag(matched) OVER (PARTITION BY doc_id ORDER BY char_start) AS l FROM {offsets_sql('docs', f'[^{sc.TSHEGS}{sc.SHADS}' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'f' + chr(92) + 'r ]+')})"
 
 
-def _agreement_sql() -> str:
-    out = []
-    for forms in (rules.GENITIVE, rules.ERGATIVE, rules.INTERROGATIVE, rules.FINAL):
-        listed = ", ".join(f"'{x}'" for x in sorted(set(forms.values())))
-        wanted = "CASE f " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in forms.items()) + " END"
-        out.append(f"SELECT doc_id, char_start, char_end, {wanted} AS replacement FROM fin WHERE w IN ({listed}) AND {wanted} <> w")
-    return f"WITH {DOCS}, {TOKEN_SQL}, named AS (SELECT doc_id, char_start, char_end, word AS w, l AS word FROM tok WHERE l IS NOT NULL), fin AS (SELECT doc_id, char_start, char_end, w, {FINAL_SQL} AS f FROM named) " + " UNION ALL ".join(out)
-
-
-@register("particle_agreement", _agreement_sql())
-def particle_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.particle_agreement(rules.tokens(script_documents(spark, sf_dir))).select("doc_id", "char_start", "char_end", "replacement")
-
-
-@register("repeated_words", f"WITH {DOCS}, {TOKEN_SQL} SELECT doc_id, char_start, char_end, 'repeated: ' || word AS message FROM tok WHERE word = l")
-def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.repeated_words(rules.tokens(script_documents(spark, sf_dir))).select("doc_id", "char_start", "char_end", "message")
-
-
-@register(
-    "honorific_rule",
-    f"WITH {DOCS}, {TOKEN_SQL} SELECT t.doc_id, char_start, char_end, CASE word WHEN 'འཏ' THEN 'བཞུགས' WHEN 'ཨོ' THEN 'མཛད' END AS replacement FROM tok t JOIN docs USING (doc_id) WHERE regexp_matches(text, 'ན་ཨ|འོ') AND word IN ('འཏ', 'ཨོ')",
-)
-def honorific_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = script_documents(spark, sf_dir)
-    found = rules.in_documents(rules.tokens(docs), docs, "ན་ཨ|འོ", {"འཏ": "བཞུགས", "ཨོ": "མཛད"}, 0.6, "honorific")
-    return found.select("doc_id", "char_start", "char_end", "replacement")
-
-
 @register("structure_violations")
 def structure_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return morphology.validate(words(spark, sf_dir))
@@ -126,76 +81,73 @@ def tag_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.train(_tagged(spark, sf_dir), ["doc_id", "sent_idx"])["transitions"]
 
 
+@register(
+    "tag_classes",
+    f"""WITH {TAGGED_SQL} SELECT tag, CASE WHEN tag LIKE 'case.%' OR tag LIKE 'neg%' THEN 'PARTICLE' WHEN tag LIKE 'v.%' THEN 'VERB' WHEN tag LIKE 'n.%' THEN 'NOUN' END AS class, count(*) AS n FROM tagged GROUP BY 1, 2""",
+)
+def tag_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir).groupBy("tag", tagging.coarse(F.col("tag")).alias("class")).agg(F.count("*").alias("n"))
+
+
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences with words, tags, trees, names and graphs: distinct ones are worked on once."""
-    model = tagging.train(_tagged(spark, sf_dir), ["doc_id", "sent_idx"])
-    model["emissions"] = model["emissions"].where("n >= 3")  # a lexicon of what recurs; the rest is tagged by context
-    entries = _tagged(spark, sf_dir).where("tag = 'n.prop'").groupBy("surface").count().where("count >= 10")
-    gazetteer = entries.select(F.array("surface").alias("syllables"), F.lit("plain").alias("tier"))
-    rows = snapshot.sentence_rows(script_documents(spark, sf_dir)).select("doc_id", "sent_idx", "hash", sc.syllables(F.col("sentence")).alias("words"))
+    """Sentences with words, tags, trees, names, terms and graphs: distinct ones are worked on once.
+
+    The words are tagged once, into a table that training and the lexicons read.
+    """
+    told = cut(_tagged(spark, sf_dir), "tagged")
+    model = tagging.train(told, ["doc_id", "sent_idx"])
+    gazetteer = told.where("tag = 'n.prop'").select(F.array("surface").alias("syllables"), F.lit("plain").alias("tier")).distinct()
+    pairs = corpus.places(told.groupBy("doc_id", "sent_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "surface"))).alias("s")).select("doc_id", F.col("s.surface").alias("syllables")))
+    terms = pairs.where("right is not null").groupBy("word", "right").count().where("count >= 20").select(F.array("word", "right").alias("syllables"), F.lit("glossary").alias("tier"))
+    verbs = told.where("tag = 'v.past'").groupBy(F.col("surface").alias("form")).count().where("count >= 50").select("form", (F.char_length("form") % 2 == 0).alias("is_transitive"))
+    rows = cut(snapshot.sentence_rows(script_documents(spark, sf_dir)).select("doc_id", "sent_idx", "hash", sc.syllables(F.col("sentence")).alias("words")), "sentences")
     once = rows.select("hash", "words").dropDuplicates(["hash"])
-    tagged = tagging.tag_sentences(once, model, "words").withColumn("tree", syntax.dependencies_column("tags"))
-    named = syntax.recognize(tagged, gazetteer, "words", "tags")
-    graphs = syntax.semantics(named, "words", "tags", "tree", "runs").withColumn("intent", syntax.intent(F.col("tags")))
+    kinds = F.transform("words", lambda w: F.get(morphology.morphemes(w), F.lit(0))["categories"])
+    tagged = tagging.tag_sentences(once.withColumn("kinds", kinds), model, "words", categories="kinds").drop("kinds").withColumn("tree", syntax.dependencies_column("tags"))
+    named = syntax.recognize(syntax.recognize(tagged, gazetteer, "words", "tags"), terms, "words", out="terms", least=2)
+    graphs = syntax.semantics(named, "words", "tags", "tree", "runs", verbs).withColumn("intent", syntax.intent(F.col("tags")))
     return rows.select("doc_id", "sent_idx", "hash").join(graphs, "hash")
 
 
 @register("sentence_analysis")
 def sentence_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyzed(spark, sf_dir).select("doc_id", "sent_idx", "words", "tags", "tree", "runs", "graph", "intent")
+    return analyzed(spark, sf_dir).select("doc_id", "sent_idx", "words", "tags", "tree", "runs", "terms", "graph", "intent")
 
 
 @register("roots_of_sentences")
 def roots_of_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = F.filter(F.arrays_zip("words", "tree"), lambda x: x["tree"]["relation"] == "root")
-    return analyzed(spark, sf_dir).select("doc_id", "sent_idx", F.get(root, F.lit(0))["words"].alias("root"), F.col("intent.mood").alias("mood"))
-
-
-LEXICON_SQL = "lexicon AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) >= 3 GROUP BY 1 HAVING count(*) >= 3), asked AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)"
-
-
-def _lexicon(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    split = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
-    known = split(documents(spark, sf_dir)).where("char_length(word) >= 3").groupBy("word").agg(F.count("*").alias("n")).where("n >= 3")
-    return known, split(table(spark, sf_dir, "benchmark")).distinct()
-
-
-@register(
-    "bigram_retrieval",
-    f"""WITH {LEXICON_SQL}, q AS (SELECT word AS query, bigram, count(*) AS times FROM (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word || chr(2), i::INT, 2))) AS bigram FROM asked) GROUP BY 1, 2),
-    h AS (SELECT DISTINCT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word || chr(2), i::INT, 2))) AS bigram FROM lexicon),
-    s AS (SELECT query, word, sum(times)::BIGINT AS shared FROM q JOIN h USING (bigram) WHERE query <> word GROUP BY 1, 2)
-    SELECT query, word, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, word) AS rank FROM s) WHERE rank <= 5""",
-)
-def bigram_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known, asked = _lexicon(spark, sf_dir)
-    return correction.retrieve(asked, known, 5)
-
-
-@register(
-    "same_start_candidates",
-    f"""WITH {LEXICON_SQL} SELECT a.word AS query, l.word, levenshtein(a.word, l.word)::INT AS distance FROM asked a JOIN lexicon l ON substr(a.word, 1, 1) = substr(l.word, 1, 1) AND abs(length(a.word) - length(l.word)) <= 2
-    WHERE a.word <> l.word AND levenshtein(a.word, l.word) <= 2""",
-)
-def same_start_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known, asked = _lexicon(spark, sf_dir)
-    return correction.same_start(asked, known)
+    """Root, its children, predicates, first subject and faults of every tree."""
+    rows = analyzed(spark, sf_dir)
+    at = F.get(syntax.of_relation(F.col("tree"), "root"), F.lit(0))
+    return rows.select(
+        "doc_id", "sent_idx", F.get("words", at).alias("root"), F.size(syntax.children(F.col("tree"), at)).alias("children"), F.size(syntax.of_kind(F.col("graph"), "predicate")).alias("predicates"),
+        F.get(syntax.of_relation(F.col("tree"), "arg1"), F.lit(0)).alias("subject"), syntax.tree_faults(F.col("tree")).alias("faults"), F.col("intent.mood").alias("mood"),
+    )
 
 
-@register("ranked_candidates")
-def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known, asked = _lexicon(spark, sf_dir)
-    return correction.candidates(asked.join(known, "word", "left_anti"), known, known.withColumnRenamed("word", "ngram"))
+@register("analysis_diagnostics")
+def analysis_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = snapshot.analysis_totals(analyzed(spark, sf_dir))
+    found = snapshot.diagnostics_findings(totals, script_documents(spark, sf_dir), ["sentences", "tokens", "entities", "terms", "unresolved_ratio", "semantic_density"])
+    return found.select("doc_id", "char_end", "message")
 
 
+# Trees of tags alone: sentences of up to four tags, by rule and written out.
+TAGS = ("n.count", "v.past", "case.agn", "case.gen", "adj", "neg")
 @register(
-    "unsplit_words",
-    f"""WITH {LEXICON_SQL}, c AS (SELECT word AS query, unnest(range(1, length(word))) AS k FROM asked)
-    SELECT query, substr(query, 1, k::INT) || '་' || substr(query, k::INT + 1) AS word FROM c WHERE substr(query, 1, k::INT) IN (SELECT word FROM lexicon) AND substr(query, k::INT + 1) IN (SELECT word FROM lexicon)""",
+    "sentence_roots",
+    f"""WITH s AS (SELECT doc_id, list_transform(range(0, (doc_id % 5 + 1)::BIGINT), lambda i: ([{", ".join(f"'{x}'" for x in TAGS)}])[((doc_id * 7 + i * i * 5 + i * (doc_id // 6)) % {len(TAGS)} + 1)::INT]) AS t FROM documents),
+    w AS (SELECT doc_id, t, list_transform(t, lambda x: CASE WHEN x = 'v.past' THEN 2 WHEN x IN ('n.count', 'adj') THEN 1 ELSE 0 END) AS k FROM s)
+    SELECT doc_id, len(t) - list_position(list_reverse(k), list_max(k)) AS root, list_count(list_filter(t, lambda x: x = 'neg')) AS negations FROM w""",
 )
-def unsplit_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known, asked = _lexicon(spark, sf_dir)
-    return correction.splits(asked, known)
+def sentence_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last finite verb, else the last nominal, else the last word."""
+    listed = F.array(*map(F.lit, TAGS))
+    number = lambda i: (F.col("doc_id") * 7 + i * i * 5 + i * F.floor(F.col("doc_id") / 6)) % len(TAGS)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 5), lambda i: F.get(listed, number(i).cast("int"))).alias("tags"))
+    treed = rows.withColumn("tree", syntax.dependencies_column("tags"))
+    root = F.get(syntax.of_relation(F.col("tree"), "root"), F.lit(0)).cast("long")
+    return treed.select("doc_id", root.alias("root"), F.size(F.filter("tags", lambda t: t == "neg")).cast("long").alias("negations"))
 
 
 # Findings by arithmetic on the document's number: both engines can make them.
@@ -243,28 +195,76 @@ def fusion_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.conflict_pairs(findings(spark, sf_dir))
 
 
-def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = fusion.validated(findings(spark, sf_dir), documents(spark, sf_dir)).withColumn("confidence", fusion.confidence())
-    return fusion.resolved(valid)
+CLASH_SQL = """CASE WHEN x.s = x.e AND c.char_start = c.char_end THEN x.s = c.char_start WHEN x.s = x.e THEN c.char_start <= x.s AND x.s < c.char_end
+  WHEN c.char_start = c.char_end THEN x.s <= c.char_start AND c.char_start < x.e ELSE x.s < c.char_end AND c.char_start < x.e END"""
+FUSED_SQL = f"""{VALID_SQL}, placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE priority WHEN 'HIGH' THEN 1 ELSE 2 END, least(1.0, greatest(0.0, score)) DESC, char_start, char_end, source, replacement IS NULL, replacement, message) AS position FROM valid WHERE rejection IS NULL),
+walk AS (SELECT DISTINCT doc_id, 0 AS k, []::STRUCT(s BIGINT, e BIGINT, p BIGINT)[] AS taken FROM placed UNION ALL
+  SELECT w.doc_id, w.k + 1, CASE WHEN c.replacement IS NOT NULL AND len(list_filter(w.taken, lambda x: {CLASH_SQL})) = 0 THEN list_append(w.taken, {{'s': c.char_start, 'e': c.char_end, 'p': c.position}}) ELSE w.taken END
+  FROM walk w JOIN placed c ON c.doc_id = w.doc_id AND c.position = w.k + 1),
+last_ AS (SELECT doc_id, arg_max(taken, k) AS taken FROM walk GROUP BY 1),
+judged AS (SELECT c.*, CASE WHEN c.replacement IS NULL OR list_contains(list_transform(taken, lambda x: x.p), c.position) THEN NULL ELSE list_min(list_transform(list_filter(taken, lambda x: {CLASH_SQL}), lambda x: x.p)) END AS superseded_by FROM placed c JOIN last_ USING (doc_id))"""
+
+
+def fused(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return fusion.fuse(findings(spark, sf_dir), documents(spark, sf_dir))
 
 
-@register("fusion_resolved")
+@register("fusion_resolved", f"WITH RECURSIVE {FUSED_SQL} SELECT doc_id, edit_id, position, CASE WHEN superseded_by IS NOT NULL THEN 'SUPERSEDED' END AS rejection, superseded_by::INT AS superseded_by FROM judged")
 def fusion_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused(spark, sf_dir).select("doc_id", "edit_id", "position", "rejection")
+    valid = fusion.validated(findings(spark, sf_dir), documents(spark, sf_dir)).withColumn("confidence", fusion.confidence())
+    return fusion.resolved(valid).select("doc_id", "edit_id", "position", "rejection", "superseded_by")
+
+
+@register("fusion_rejected", f"WITH RECURSIVE {FUSED_SQL} SELECT doc_id, edit_id, rejection FROM valid WHERE rejection IS NOT NULL UNION ALL SELECT doc_id, edit_id, 'SUPERSEDED' FROM judged WHERE superseded_by IS NOT NULL")
+def fusion_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir)[1].select("doc_id", "edit_id", "rejection")
+
+
+MERGED_SQL = f"""{FUSED_SQL}, stand AS (SELECT doc_id, char_start, char_end, replacement, source FROM judged WHERE superseded_by IS NULL AND replacement IS NOT NULL),
+joined AS (SELECT *, CASE WHEN lag(char_end) OVER w = char_start AND char_end > char_start AND lag(char_start) OVER w < lag(char_end) OVER w THEN 0 ELSE 1 END AS fresh FROM stand WINDOW w AS (PARTITION BY doc_id ORDER BY char_start, char_end)),
+runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY char_start, char_end) AS run FROM joined),
+ops AS (SELECT doc_id, run, min(char_start) AS a, max(char_end) AS b, string_agg(replacement, '' ORDER BY char_start, char_end) AS r, list(source ORDER BY char_start, char_end) AS sources FROM runs GROUP BY 1, 2)"""
+
 
+@register("fusion_operations", f"WITH RECURSIVE {MERGED_SQL} SELECT doc_id, a AS char_start, b AS char_end, r AS replacement FROM ops")
+def fusion_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir)[2].select("doc_id", "char_start", "char_end", "replacement")
 
-@register("fusion_patched")
+
+@register(
+    "fusion_patched",
+    f"""WITH RECURSIVE {MERGED_SQL}, nums AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) AS k, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS before FROM ops),
+    pieces AS (SELECT d.doc_id, string_agg(substr(text, (before + 1)::INT, (a - before)::INT) || r, '' ORDER BY k) AS head, max(b) AS until FROM documents d JOIN nums USING (doc_id) GROUP BY 1)
+    SELECT d.doc_id, md5(coalesce(head, '') || substr(text, (coalesce(until, 0) + 1)::INT)) AS digest, length(coalesce(head, '') || substr(text, (coalesce(until, 0) + 1)::INT)) AS n FROM documents d LEFT JOIN pieces USING (doc_id) WHERE text <> ''""",
+)
 def fusion_patched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edits = fused(spark, sf_dir).where("rejection is null and replacement is not null")
-    return fusion.applied(documents(spark, sf_dir), fusion.merged(edits)).select("doc_id", F.md5("text").alias("digest"), F.char_length("text").alias("n"))
+    done = fusion.applied(documents(spark, sf_dir), fused(spark, sf_dir)[2])
+    return done.select("doc_id", F.md5("text").alias("digest"), F.char_length("text").cast("long").alias("n"))
+
+
+@register(
+    "editor_payload",
+    f"""WITH RECURSIVE {FUSED_SQL} SELECT j.doc_id, count(*) AS n, min(j.source || ':' || char_start || ':' || char_end) AS first_id, sum(strlen(substr(text, 1, char_end::INT))) AS bytes, max(length(text)) AS char_count
+    FROM judged j JOIN documents d USING (doc_id) WHERE superseded_by IS NULL GROUP BY 1""",
+)
+def editor_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read back from the JSON of each document."""
+    docs = documents(spark, sf_dir)
+    told = sinks.payload(fused(spark, sf_dir)[0].withColumn("error_type", F.lit("GRAMMAR")), docs)
+    schema = "struct<ok:boolean,char_count:long,suggestions:array<struct<id:string,range:struct<byte_end:long>>>>"
+    rows = told.select("doc_id", F.from_json("payload", schema).alias("p")).where(F.size("p.suggestions") > 0)
+    total = F.aggregate("p.suggestions", F.lit(0).cast("long"), lambda s, x: s + x["range"]["byte_end"])
+    return rows.select("doc_id", F.size("p.suggestions").cast("long").alias("n"), F.array_min("p.suggestions.id").alias("first_id"), total.alias("bytes"), F.col("p.char_count").alias("char_count"))
 
 
 @register(
     "panel_of_finding",
-    f"WITH {FINDINGS_SQL} SELECT edit_id, CASE source WHEN 'spelling' THEN 'Spelling' WHEN 'grammar' THEN 'Grammar' ELSE 'Typography' END AS panel FROM findings",
+    f"""WITH {FINDINGS_SQL} SELECT edit_id, CASE edit_id % 7 WHEN 0 THEN 'Spelling' WHEN 1 THEN 'Grammar' WHEN 2 THEN 'Typography' WHEN 3 THEN 'Plagiarism' ELSE CASE source WHEN 'spelling' THEN 'Spelling' WHEN 'grammar' THEN 'Grammar' ELSE 'Typography' END END AS panel FROM findings""",
 )
 def panel_of_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings(spark, sf_dir).select("edit_id", rules.panel(F.col("source"), F.lit("")).alias("panel"))
+    """By the type's name where it tells, else by the source."""
+    kind = F.element_at(F.array(*map(F.lit, ("Misspelled", "grammar_case", "TYPOS", "plagiarised", "", "context", "other"))), (F.col("edit_id") % 7 + 1).cast("int"))
+    return findings(spark, sf_dir).select("edit_id", rules.panel(F.col("source"), kind).alias("panel"))
 
 
 @register(
@@ -295,101 +295,102 @@ def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.diagnostics(script_documents(spark, sf_dir))
 
 
-@register("synthetic_errors")
-def synthetic_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.inject(snapshot.sentence_rows(script_documents(spark, sf_dir)), "hash", "sentence")
+NUMBER = "('0x' || substr(md5(key || '{}'), 1, 8))::BIGINT"
 
 
-@register(
-    "confusion_pairs",
-    """WITH p AS (SELECT string_split(replace(text, 'th', 'ht'), ' ') AS a, string_split(text, ' ') AS b FROM documents WHERE text IS NOT NULL AND text <> ''),
-    w AS (SELECT unnest(a) AS wrong, unnest(b) AS right_ FROM p WHERE len(a) = len(b)), c AS (SELECT wrong, right_, count(*) AS n FROM w WHERE wrong <> right_ GROUP BY 1, 2 HAVING count(*) >= 2)
-    SELECT wrong, right_ AS "right", n, row_number() OVER (PARTITION BY wrong ORDER BY n DESC, right_) AS rank FROM c""",
-)
-def confusion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = documents(spark, sf_dir).select(F.replace(F.col("text"), F.lit("th"), F.lit("ht")).alias("a"), F.col("text").alias("b"))
-    return synthetic.confusions(pairs, "a", "b")
+def _number(salt: str) -> str:
+    return NUMBER.format(salt)
 
 
-@register("character_error_rate", "SELECT doc_id, length(text) AS n, length(replace(text, 'the', 'te')) AS m FROM documents WHERE text IS NOT NULL AND text <> ''")
-def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shorter = F.replace(F.col("text"), F.lit("the"), F.lit("te"))
-    return documents(spark, sf_dir).select("doc_id", F.char_length("text").cast("long").alias("n"), F.char_length(shorter).cast("long").alias("m"))
+def _pick_sql(options: str, salt: str) -> str:
+    return f"CASE WHEN len({options}) > 0 THEN ({options})[({_number(salt)} % greatest(len({options}), 1) + 1)::INT] END"
 
 
+LISTED_PARTICLES = ", ".join(f"'{p}'" for p in synthetic.PARTICLES)
+LISTED_VOWELS = ", ".join(f"'{v}'" for v in synthetic.VOWELS)
+BETWEEN = f"[^{sc.TSHEGS}{sc.SHADS}\\t\\n\\f\\r ]+"
+SYNTHETIC_SQL = f"""WITH {DOCS}, sn AS (SELECT DISTINCT unnest({SENTENCE_SQL}) AS t FROM docs), k0 AS (SELECT sha256(t) AS id, t, '42|' || sha256(t) || '|' || t AS key FROM sn WHERE length(t) >= 5),
+c1 AS (SELECT id, length(t) AS n, unnest(string_split(t, '')) AS ch, unnest(range(0, length(t))) AS i FROM k0),
+c2 AS (SELECT id, list(i ORDER BY i) FILTER (WHERE contains('་༌', ch) AND i > 0 AND i < n - 1) AS p0, list(i ORDER BY i) FILTER (WHERE contains('{"".join(synthetic.CONFUSED)}', ch)) AS p2, list(i ORDER BY i) FILTER (WHERE contains('{"".join(synthetic.VOWELS)}', ch)) AS p3 FROM c1 GROUP BY 1),
+y1 AS (SELECT id, regexp_extract_all(t, '{BETWEEN}') AS sy, string_split_regex(t, '{BETWEEN}') AS bt FROM k0),
+y2 AS (SELECT id, unnest(sy) AS x, unnest(bt[1:len(sy)]) AS b, unnest(range(0, len(sy))) AS k FROM y1),
+y3 AS (SELECT id, x, k, (sum(length(b) + length(x)) OVER (PARTITION BY id ORDER BY k) - length(x))::BIGINT AS s FROM y2),
+y4 AS (SELECT id, list({{'s': s, 'x': x}} ORDER BY k) AS sp FROM y3 GROUP BY 1),
+k2 AS (SELECT k0.*, p0, p2, p3, sp, list_filter(list_transform([{LISTED_PARTICLES}], lambda p: {{'a': strpos(t, p) - 1, 'p': p}}), lambda x: x.a >= 0)[1] AS hit FROM k0 JOIN c2 USING (id) LEFT JOIN y4 USING (id)),
+k3 AS (SELECT *, {_pick_sql("p0", "a")} AS a0, CASE WHEN len(sp) > 1 THEN ({_number("b")} % greatest(len(sp) - 1, 1) + 1)::INT END AS a1, {_pick_sql("p2", "c")} AS a2, {_pick_sql("p3", "d")} AS a3, {_pick_sql("sp", "e")} AS a4 FROM k2),
+k4 AS (SELECT *, substr(t, (a3 + 1)::INT, 1) AS v, substr(t, (a2 + 1)::INT, 1) AS c FROM k3),
+k5 AS (SELECT *, list_filter([{LISTED_VOWELS}], lambda x: x <> v) AS ov, list_filter([{LISTED_PARTICLES}], lambda x: x <> hit.p) AS op FROM k4),
+k6 AS (SELECT *, {_pick_sql("ov", "g")} AS nv, {_pick_sql("op", "f")} AS np, CASE c WHEN 'ག' THEN 'ང་' WHEN 'ཕ' THEN 'བ' WHEN 'བ' THEN 'ཕ' WHEN 'ཏ' THEN 'ཐ' WHEN 'ཐ' THEN 'ཏ' END AS nc FROM k5),
+k7 AS (SELECT *, [CASE WHEN a0 IS NOT NULL THEN {{'k': 'TSHEG_DROP', 'x': substr(t, 1, a0::INT) || substr(t, (a0 + 2)::INT), 's': a0::BIGINT, 'e': (a0 + 1)::BIGINT}} END,
+  CASE WHEN a1 IS NOT NULL THEN {{'k': 'SYLLABLE_SWAP', 'x': substr(t, 1, sp[a1].s::INT) || sp[a1 + 1].x || sp[a1].x || substr(t, (sp[a1 + 1].s + length(sp[a1 + 1].x) + 1)::INT), 's': sp[a1].s::BIGINT, 'e': (sp[a1].s + length(sp[a1].x) + length(sp[a1 + 1].x))::BIGINT}} END,
+  CASE WHEN a2 IS NOT NULL THEN {{'k': 'CHARACTER_CONFUSION', 'x': substr(t, 1, a2::INT) || nc || substr(t, (a2 + 2)::INT), 's': a2::BIGINT, 'e': (a2 + 1)::BIGINT}} END,
+  CASE WHEN a3 IS NOT NULL THEN {{'k': 'VOWEL_MUTATION', 'x': substr(t, 1, a3::INT) || nv || substr(t, (a3 + 2)::INT), 's': a3::BIGINT, 'e': (a3 + 1)::BIGINT}} END,
+  CASE WHEN a4 IS NOT NULL THEN {{'k': 'WORD_DUPLICATION', 'x': substr(t, 1, (a4.s + length(a4.x))::INT) || a4.x || substr(t, (a4.s + length(a4.x) + 1)::INT), 's': a4.s::BIGINT, 'e': (a4.s + 2 * length(a4.x))::BIGINT}} END,
+  CASE WHEN hit IS NOT NULL THEN {{'k': 'CASE_PARTICLE_SUBSTITUTION', 'x': substr(t, 1, hit.a::INT) || np || substr(t, (hit.a + length(hit.p) + 1)::INT), 's': hit.a::BIGINT, 'e': (hit.a + length(np))::BIGINT}} END,
+  CASE WHEN hit IS NOT NULL THEN {{'k': 'PARTICLE_OMISSION', 'x': substr(t, 1, hit.a::INT) || substr(t, (hit.a + length(hit.p) + 1)::INT), 's': hit.a::BIGINT, 'e': hit.a::BIGINT}} END] AS r, ({_number("order")} % 7)::INT AS b FROM k6),
+k8 AS (SELECT id, list_filter(list_concat(r[b + 1:], r[1:b]), lambda x: x IS NOT NULL)[1] AS h FROM k7)
+SELECT id, md5(h.x) AS corrupted, h.k AS error_type, h.s AS char_start, h.e AS char_end FROM k8 WHERE h IS NOT NULL"""
 
 
-LEX2_SQL = f"{DOCS}, {WORDS}, lex AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[^{sc.TSHEGS}{sc.SHADS}\\t\\n\\f\\r ]+')) AS word FROM docs WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)))"
+@register("synthetic_errors", SYNTHETIC_SQL)
+def synthetic_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = snapshot.sentence_rows(script_documents(spark, sf_dir)).select("hash", "sentence").distinct()
+    made = synthetic.inject(once, "hash", "sentence")
+    return made.select("id", F.md5("corrupted_text").alias("corrupted"), "error_type", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
 
 
-@register(
-    "known_words",
-    f"WITH {LEX2_SQL} SELECT word, word IN (SELECT word FROM lex) OR (regexp_matches(word, '[རས]$') AND substr(word, 1, length(word) - 1) IN (SELECT word FROM lex)) AS known FROM words",
-)
-def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words against the lexicon of the documents labelled good."""
-    lexicon = good_documents(spark, sf_dir).select(F.explode(sc.syllables(F.col("text"))).alias("word")).distinct()
-    return spelling.known(words(spark, sf_dir), lexicon).select("word", "known")
+def _first_of_sql(entries: dict[str, str]) -> str:
+    keys = ", ".join(f"'{k}'" for k in entries)
+    case = "CASE w[p] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in entries.items()) + " END"
+    return f"(SELECT array_to_string(list_concat(w[1:p - 1], [{case}], w[p + 1:]), '་') FROM (SELECT list_min(list_filter(range(1, len(w) + 1), lambda i: list_contains([{keys}], w[i]))) AS p) WHERE p IS NOT NULL)"
+
 
+TRAINING_SQL = f"""WITH told AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda x: ([{", ".join(f"'{x}'" for x in [*synthetic.PARTICLE_MUTATIONS, *synthetic.TENSE_MUTATIONS, "ཁང་པ", "ཡིག", "མི"])}])[((unicode(x) * 7 + unicode(right(x, 1)) * 3 + length(x)) % {len(synthetic.PARTICLE_MUTATIONS) + len(synthetic.TENSE_MUTATIONS) + 3} + 1)::INT]) AS ws FROM documents WHERE text <> ''),
+s AS (SELECT doc_id AS id, string_split(array_to_string(ws[1:9], '་'), '་') AS w, array_to_string(ws[1:9], '་') AS t, '42|' || doc_id || '|' || array_to_string(ws[1:9], '་') AS key FROM told),
+n AS (SELECT *, ({_number("kind")} % 3)::INT AS kind, {_pick_sql("list_filter(range(1, len(w) + 1), lambda i: length(trim(w[i])) >= 2)", "place")} AS at_ FROM s WHERE len(w) >= 3),
+m AS (SELECT *, CASE WHEN {_number("add")} % 2 = 1 AND list_contains(['བ', 'ས', 'འ', 'མ', 'ག'], substr(w[at_], 1, 1)) THEN substr(w[at_], 2) ELSE (['བ', 'ས', 'འ', 'མ', 'ག'])[({_number("letter")} % 5 + 1)::INT] || w[at_] END AS bare FROM n),
+x AS (SELECT id, t, kind, CASE kind WHEN 0 THEN {_first_of_sql(synthetic.PARTICLE_MUTATIONS)} WHEN 1 THEN {_first_of_sql(synthetic.TENSE_MUTATIONS)} ELSE CASE WHEN at_ IS NOT NULL THEN array_to_string(list_concat(w[1:at_ - 1], [bare], w[at_ + 1:]), '་') END END AS wrong FROM m)
+SELECT id, wrong AS incorrect, t AS correct, ['PARTICLE', 'TENSE', 'PREFIX'][kind + 1] AS category FROM x WHERE wrong IS NOT NULL AND wrong <> t"""
 
-#: Two function words of the fixture, as particles.
-PARTICLES = tuple(w.translate(str.maketrans(LATIN, SCRIPT)) for w in ("of", "the"))
-PARTICLE_LIST = ", ".join(f"'{p}'" for p in PARTICLES)
 
+@register("training_pairs", TRAINING_SQL)
+def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first nine words of each document, taken from the words that the mutations are about."""
+    from loomwork.plans.grammar import rule_words
 
-def _counts(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return corpus.ngrams(corpus.with_syllables(script_documents(spark, sf_dir)), n)
+    listed = [*synthetic.PARTICLE_MUTATIONS, *synthetic.TENSE_MUTATIONS, "ཁང་པ", "ཡིག", "མི"]
+    rows = rule_words(documents(spark, sf_dir), listed).select("doc_id", F.array_join(F.slice("words", 1, 9), "་").alias("text"))
+    return synthetic.training_pairs(rows, "doc_id", "text")
 
 
 @register(
-    "vowel_variants",
-    f"""WITH {SYL}, u AS (SELECT * FROM {_ngram_sql(1)}), k AS (SELECT ngram AS word, unnest(range(1, length(ngram) + 1)) AS k FROM u),
-    v AS (SELECT DISTINCT word, substr(word, 1, (k - 1)::INT) || c || substr(word, (k + 1)::INT) AS variant FROM (SELECT word, k, unnest(['ི', 'ེ', 'ོ', 'ུ']) AS c FROM k WHERE substr(word, k::INT, 1) IN ('ི', 'ེ', 'ོ', 'ུ')) WHERE c <> substr(word, k::INT, 1)),
-    f AS (SELECT v.word, variant, u.n FROM v JOIN u ON u.ngram = variant), r AS (SELECT *, coalesce(lead(n) OVER w, 0) AS nx, row_number() OVER w AS rk FROM f WINDOW w AS (PARTITION BY word ORDER BY n DESC, variant))
-    SELECT r.word, r.variant, r.n FROM r JOIN u ON u.ngram = r.word WHERE rk = 1 AND r.n >= 5 AND r.n >= 20 * u.n AND r.n >= 10 * nx""",
+    "confusion_pairs",
+    """WITH p AS (SELECT replace(text, 'th', 'ht') AS c, text AS o FROM documents WHERE text IS NOT NULL AND text <> ''),
+    s AS (SELECT list_filter(list_transform(string_split_regex(trim(c, ' '), '[ \t\n\x0b\f\r]+'), lambda x: trim(x, '་ །')), lambda x: x <> '') AS a, list_filter(list_transform(string_split_regex(trim(o, ' '), '[ \t\n\x0b\f\r]+'), lambda x: trim(x, '་ །')), lambda x: x <> '') AS b FROM p WHERE c <> o),
+    w AS (SELECT unnest(a) AS wrong, unnest(b) AS right_ FROM s WHERE len(a) = len(b)), c AS (SELECT wrong, right_, count(*) AS n FROM w WHERE wrong <> right_ AND length(wrong) > 1 AND length(right_) > 1 GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT wrong, right_ AS "right", n, row_number() OVER (PARTITION BY wrong ORDER BY n DESC, right_) AS rank FROM c""",
 )
-def vowel_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = _counts(spark, sf_dir, 1)
-    return spelling.dominant_variants(u.select(F.col("ngram").alias("word")), u)
+def confusion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = documents(spark, sf_dir).select(F.replace(F.col("text"), F.lit("th"), F.lit("ht")).alias("a"), F.col("text").alias("b"))
+    return synthetic.confusions(pairs, "a", "b")
 
 
 @register(
-    "omitted_particles",
-    f"""WITH {SYL}, half AS (SELECT * FROM syl WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)), b AS (SELECT * FROM {_ngram_sql(2).replace('FROM syl', 'FROM half')}), t AS (SELECT * FROM {_ngram_sql(3).replace('FROM syl', 'FROM half')}),
-    w AS (SELECT doc_id, unnest(s) AS word, unnest(range(0, len(s))) AS pos FROM syl), p AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM w),
-    x AS (SELECT doc_id, pos, word, r, unnest([{PARTICLE_LIST}]) AS particle FROM p WHERE r IS NOT NULL AND word NOT IN ({PARTICLE_LIST}) AND r NOT IN ({PARTICLE_LIST}) AND word || ' ' || r NOT IN (SELECT ngram FROM b))
-    SELECT doc_id, pos, word, particle FROM x WHERE word || ' ' || particle IN (SELECT ngram FROM b WHERE n >= 2) AND particle || ' ' || r IN (SELECT ngram FROM b WHERE n >= 2) AND word || ' ' || particle || ' ' || r IN (SELECT ngram FROM t)""",
+    "typography_rules",
+    f"WITH {DOCS}, slips AS (SELECT doc_id, replace(replace(replace(text, '༎', '་'), '།་', '། ་'), '།' || chr(10), '།།།' || chr(10)) AS text FROM docs) "
+    + " UNION ALL ".join(
+        f"SELECT doc_id, char_start, char_end, '{r}' AS replacement, {s}::DOUBLE AS score, '{q}' AS priority FROM {offsets_sql('slips', p.replace(chr(92) + 's', '[' + WHITE_SQL + ']'))}" for p, r, s, q in rules.TYPOGRAPHY
+    ),
 )
-def omitted_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against the n-grams of those labelled good."""
-    rows = corpus.with_syllables(script_documents(spark, sf_dir)).select("doc_id", F.posexplode("syllables").alias("pos", "word"))
-    rows = rows.withColumn("right", F.lead("word").over(Window.partitionBy("doc_id").orderBy("pos")))
-    half = corpus.with_syllables(good_documents(spark, sf_dir))
-    found = spelling.omitted_particles(rows, corpus.ngrams(half, 2), corpus.ngrams(half, 3), list(PARTICLES))
-    return found.select("doc_id", "pos", "word", "particle")
-
-
-@register("spelling_verdicts")
-def spelling_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = script_documents(spark, sf_dir)
-    u = _counts(spark, sf_dir, 1)
-    lexicon = u.where("n >= 3").select(F.col("ngram").alias("word"))
-    rare = u.where("n < 3").select(F.col("ngram").alias("word"))
-    near = correction.same_start(rare, lexicon, 1).withColumn("confidence", F.lit(0.85))
-    best = near.groupBy("query").agg(F.min(F.struct("distance", "word", "confidence")).alias("b")).select("query", "b.word", "b.confidence")
-    found = spelling.verdicts(rules.tokens(docs), lexicon, _counts(spark, sf_dir, 2).where("n >= 2"), best)
-    return found.select("doc_id", "pos", "word", "verdict", "proposal")
+def typography_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over texts in which commas, full stops and ends of lines have become slips."""
+    text = F.col("text")
+    for old, new in (("༎", "་"), ("།་", "། ་"), ("།\n", "།།།\n")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return rules.typography(script_documents(spark, sf_dir).withColumn("text", text)).select("doc_id", "char_start", "char_end", "replacement", "score", "priority")
 
 
-@register(
-    "collocation_scores",
-    f"""WITH t AS ({COLLOCATIONS_SQL}), w AS (SELECT doc_id, unnest(s) AS w1, unnest(range(0, len(s))) AS pos FROM (SELECT doc_id, list_filter(string_split({SQUEEZED_SQL}, ' '), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL AND text <> '')),
-    p AS (SELECT DISTINCT w1, w2 FROM (SELECT w1, lead(w1) OVER (PARTITION BY doc_id ORDER BY pos) AS w2 FROM w) WHERE w2 IS NOT NULL)
-    SELECT p.w1, p.w2, CASE WHEN coalesce(a.pmi, b.pmi) IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, coalesce(a.pmi, b.pmi) / 5)) END AS score
-    FROM p LEFT JOIN t a ON a.w1 = p.w1 AND a.w2 = p.w2 LEFT JOIN t b ON b.w2 = p.w1 AND b.w1 = p.w2""",
-)
-def collocation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    rows = docs.select("doc_id", F.posexplode(F.filter(F.split(sc.squeeze_space(F.col("text")), " "), lambda w: w != "")).alias("pos", "w1"))
-    pairs = rows.withColumn("w2", F.lead("w1").over(Window.partitionBy("doc_id").orderBy("pos"))).where("w2 is not null").select("w1", "w2").distinct()
-    return spelling.collocation_scores(pairs, corpus.collocations(docs))
+@register("token_neighbours", f"WITH {DOCS}, {TOKEN_SQL} SELECT doc_id, count(*) AS n, sum(char_start) AS starts, count(*) FILTER (WHERE word = l) AS again FROM tok GROUP BY 1")
+def token_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.tokens(script_documents(spark, sf_dir))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("char_start").cast("long")).alias("starts"), F.count_if(F.col("word") == F.col("left")).alias("again"))

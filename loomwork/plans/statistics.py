@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import corpus
+from loomwork.operators import corpus, metrics
 from loomwork.plans.catalog import register
-from loomwork.plans.common import SQUEEZED_SQL, WHITE_SQL, documents, script_documents, table
+from loomwork.plans.common import SQUEEZED_SQL, WHITE_SQL, documents, script_documents, script_text, table
 from loomwork.plans.textual import DOCS, SYLLABLE_SQL
 
 SYL = f"{DOCS.replace('docs AS', 'raw AS')}, docs AS (SELECT doc_id, {SQUEEZED_SQL} AS text FROM raw), syl AS (SELECT doc_id, {SYLLABLE_SQL} AS s FROM docs)"
@@ -44,13 +44,15 @@ def character_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "corpus_statistics",
-    rf"""WITH {SYL}, t AS (SELECT count(*) AS documents, sum(length(text)) AS characters,
+    rf"""WITH {SYL}, t AS (SELECT sum(length(text)) AS characters,
       sum(len(list_filter(list_transform(string_split(text, '།'), lambda x: regexp_replace(x, '^[{WHITE_SQL}]+|[{WHITE_SQL}]+$', '', 'g')), lambda x: length(x) > 5))) AS sentences FROM docs),
     u AS (SELECT sum(len(s)) AS n_syllables FROM syl), d AS (SELECT count(*) AS distinct_syllables FROM {_ngram_sql(1)})
-    SELECT documents, characters, sentences, n_syllables, distinct_syllables, round(distinct_syllables / n_syllables, 6) AS type_token_ratio FROM t, u, d""",
+    SELECT (SELECT count(*) FROM documents) AS documents, characters, sentences, n_syllables, distinct_syllables, round(distinct_syllables / n_syllables, 6) AS type_token_ratio FROM t, u, d""",
 )
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.statistics(script_documents(spark, sf_dir))
+    """Over all rows: those without text count as documents."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", script_text(F.col("text")).alias("text"))
+    return corpus.statistics(rows)
 
 
 @register(
@@ -79,22 +81,68 @@ def bigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("ngram", F.round(log_p, 6).alias("log_p"), F.round(F.least(F.lit(1.0), F.col("n") / F.col("f")), 6).alias("score"))
 
 
+PLACES_SQL = f"""{SYL}, u AS (SELECT * FROM {_ngram_sql(1)}), b AS (SELECT * FROM {_ngram_sql(2)}), g AS (SELECT * FROM {_ngram_sql(3)}), t AS (SELECT sum(n) AS total, count(*) AS kinds, max(n) AS most FROM u),
+    r0 AS (SELECT doc_id, unnest(s) AS word, unnest(range(0, len(s))) AS pos FROM syl),
+    c AS (SELECT *, lag(word) OVER w AS l, lag(word, 2) OVER w AS l2, lead(word) OVER w AS r FROM r0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    j AS (SELECT c.*, total, kinds, most, u.n AS nw, ul.n AS nl, lw.n AS nlw, wr.n AS nwr, ll.n AS nll, llw.n AS nllw FROM c CROSS JOIN t LEFT JOIN u ON u.ngram = word LEFT JOIN u ul ON ul.ngram = l
+      LEFT JOIN b lw ON lw.ngram = l || ' ' || word LEFT JOIN b wr ON wr.ngram = word || ' ' || r LEFT JOIN b ll ON ll.ngram = l2 || ' ' || l LEFT JOIN g llw ON llw.ngram = l2 || ' ' || l || ' ' || word)"""
+
+
 @register(
     "suspicious_words",
-    f"""WITH {SYL}, u AS (SELECT * FROM {_ngram_sql(1)}), b AS (SELECT * FROM {_ngram_sql(2)}), t AS (SELECT sum(n) AS total, count(*) AS kinds FROM u),
-    r AS (SELECT doc_id, unnest(s) AS word, unnest(range(0, len(s))) AS pos FROM syl),
-    c AS (SELECT *, lag(word) OVER w AS l, lead(word) OVER w AS r FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-    j AS (SELECT doc_id, pos, word, ln((coalesce(u.n, 0) + 0.1) / (total + 0.1 * kinds)) AS alone,
-      CASE WHEN l IS NOT NULL THEN ln((coalesce(lw.n, 0) + 0.1) / (coalesce(ul.n, 0) + 0.1 * kinds)) END AS a,
-      CASE WHEN r IS NOT NULL THEN ln((coalesce(wr.n, 0) + 0.1) / (coalesce(u.n, 0) + 0.1 * kinds)) END AS b
-      FROM c CROSS JOIN t LEFT JOIN u ON u.ngram = word LEFT JOIN u ul ON ul.ngram = l LEFT JOIN b lw ON lw.ngram = l || ' ' || word LEFT JOIN b wr ON wr.ngram = word || ' ' || r),
-    p AS (SELECT *, CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE (coalesce(a, 0) + coalesce(b, 0)) / ((a IS NOT NULL)::INT + (b IS NOT NULL)::INT) END AS pll FROM j)
-    SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE alone - pll > 2.5) AS suspicious FROM p GROUP BY 1""",
+    f"""WITH {PLACES_SQL}, p AS (SELECT doc_id, ln((coalesce(nw, 0) + 0.1) / (total + 0.1 * kinds)) AS alone,
+      list_filter([CASE WHEN l IS NOT NULL THEN ln((coalesce(nlw, 0) + 0.1) / (coalesce(nl, 0) + 0.1 * kinds)) END, CASE WHEN r IS NOT NULL THEN ln((coalesce(nwr, 0) + 0.1) / (coalesce(nw, 0) + 0.1 * kinds)) END,
+      CASE WHEN l2 IS NOT NULL THEN ln((coalesce(nllw, 0) + 0.1) / (coalesce(nll, 0) + 0.1 * kinds)) END], lambda x: x IS NOT NULL) AS terms FROM j)
+    SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE len(terms) > 0 AND alone - list_sum(terms) / len(terms) > 2.5) AS suspicious, round(sum(CASE WHEN len(terms) > 0 THEN list_sum(terms) / len(terms) ELSE 0 END), 3) AS pll FROM p GROUP BY 1""",
 )
 def suspicious_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.with_syllables(script_documents(spark, sf_dir)).select("doc_id", F.posexplode("syllables").alias("pos", "word"))
-    scored = corpus.context_scores(rows, _ngrams(spark, sf_dir, 1), _ngrams(spark, sf_dir, 2))
-    return scored.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("alone") - F.col("pll") > 2.5).alias("suspicious"))
+    rows = corpus.places(corpus.with_syllables(script_documents(spark, sf_dir)))
+    grouped = rows.groupBy("doc_id", "left2", "left", "word", "right").agg(F.count("*").alias("times"))
+    scored = corpus.context_plausibility(grouped, _ngrams(spark, sf_dir, 1), _ngrams(spark, sf_dir, 2), _ngrams(spark, sf_dir, 3))
+    wrong = F.when((F.col("pll") != 0) & (F.col("alone") - F.col("pll") > 2.5), F.col("times")).otherwise(0)
+    return scored.groupBy("doc_id").agg(F.sum("times").alias("n"), F.sum(wrong).alias("suspicious"), F.round(F.sum(F.col("pll") * F.col("times")), 3).alias("pll"))
+
+
+@register(
+    "trigram_scores",
+    f"""WITH {SYL}, u AS (SELECT * FROM {_ngram_sql(1)}), b AS (SELECT * FROM {_ngram_sql(2)}), g AS (SELECT * FROM {_ngram_sql(3)}), k AS (SELECT count(*) AS kinds FROM u)
+    SELECT g.ngram, round(ln((g.n + 0.1) / (b.n + 0.1 * kinds)), 6) AS log_p, round(least(1.0, g.n / b.n), 6) AS score FROM g JOIN b ON b.ngram = split_part(g.ngram, ' ', 1) || ' ' || split_part(g.ngram, ' ', 2), k""",
+)
+def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _ngrams(spark, sf_dir, 2).select(F.col("ngram").alias("pair"), F.col("n").alias("f"))
+    kinds = _ngrams(spark, sf_dir, 1).agg(F.count("*").alias("kinds"))
+    joined = _ngrams(spark, sf_dir, 3).join(b, F.substring_index("ngram", " ", 2) == F.col("pair")).join(kinds)
+    log_p = corpus.log_probability(F.col("n"), F.col("f"), F.col("kinds"))
+    return joined.select("ngram", F.round(log_p, 6).alias("log_p"), F.round(corpus.conditional_score(F.col("n"), F.col("f")), 6).alias("score"))
+
+
+@register(
+    "context_bonus",
+    f"""WITH {PLACES_SQL}, s AS (SELECT doc_id, least(1.0, 0.4 * coalesce(ln(nw + 1.0) / ln(most + 1.0), 0) + 0.3 * CASE WHEN nlw > 0 AND nl > 0 THEN least(1.0, nlw / nl) ELSE 0 END + 0.3 * CASE WHEN nwr > 0 AND nw > 0 THEN least(1.0, nwr / nw) ELSE 0 END + 0.4 * CASE WHEN nllw > 0 AND nll > 0 THEN least(1.0, nllw / nll) ELSE 0 END) AS bonus FROM j)
+    SELECT doc_id, round(sum(bonus), 3) AS bonus, round(max(bonus), 6) AS most FROM s GROUP BY 1""",
+)
+def context_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.places(corpus.with_syllables(script_documents(spark, sf_dir)))
+    grouped = rows.groupBy("doc_id", "left2", "left", "word", "right").agg(F.count("*").alias("times"))
+    scored = corpus.context_bonus(grouped, _ngrams(spark, sf_dir, 1), _ngrams(spark, sf_dir, 2), _ngrams(spark, sf_dir, 3))
+    return scored.groupBy("doc_id").agg(F.round(F.sum(F.col("bonus") * F.col("times")), 3).alias("bonus"), F.round(F.max("bonus"), 6).alias("most"))
+
+
+@register(
+    "frequency_lookup",
+    f"""WITH {SYL}, u AS (SELECT * FROM {_ngram_sql(1)}), k AS (SELECT ngram || CASE WHEN length(ngram) % 3 = 0 THEN '་' ELSE '' END AS ngram, n FROM u),
+    a AS (SELECT DISTINCT ngram || CASE WHEN length(ngram) % 2 = 0 THEN '་' ELSE '' END AS word FROM u)
+    SELECT word, coalesce(one.n, two.n, three.n, 0) AS freq FROM a LEFT JOIN k one ON one.ngram = word LEFT JOIN k two ON two.ngram = rtrim(word, '་ །')
+      LEFT JOIN k three ON three.ngram = rtrim(word, '་ །') || '་' AND NOT ends_with(word, '་') AND length(rtrim(word, '་ །')) <= 4""",
+)
+def frequency_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts found by the word, without its mark, or with one; some counts and some words carry marks."""
+    from loomwork.operators.grammar import frequency
+
+    u = _ngrams(spark, sf_dir, 1)
+    marked = lambda c, k: F.when(F.char_length(c) % k == 0, F.concat(c, F.lit("་"))).otherwise(F.col(c))
+    words = u.select(marked("ngram", 2).alias("word")).distinct()
+    return frequency(words, u.select(marked("ngram", 3).alias("ngram"), "n"))
 
 
 COLLOCATIONS_SQL = f"""WITH w AS (SELECT list_filter(string_split({SQUEEZED_SQL}, ' '), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL AND text <> ''),
@@ -126,30 +174,102 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 METRICS_SQL = """WITH j AS (SELECT quality = 0 AS wanted, regexp_matches(text, '[#*$%&|<>]') AS said FROM documents JOIN labels USING (doc_id)),
-c AS (SELECT count(*) FILTER (WHERE wanted AND said) AS tp, count(*) FILTER (WHERE NOT wanted AND said) AS fp, count(*) FILTER (WHERE wanted AND NOT said) AS fn, count(*) FILTER (WHERE NOT wanted AND NOT said) AS tn FROM j)
-SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS prec, round(tp / nullif(tp + fn, 0), 6) AS recall,
-  round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(tn / nullif(tn + fp, 0), 6) AS specificity,
-  round((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6) AS mcc FROM c"""
+c AS (SELECT count(*) FILTER (WHERE wanted AND said) AS tp, count(*) FILTER (WHERE NOT wanted AND said) AS fp, count(*) FILTER (WHERE wanted AND NOT said) AS fn, count(*) FILTER (WHERE NOT wanted AND NOT said) AS tn FROM j),
+r AS (SELECT *, (tp + fp + fn + tn)::DOUBLE AS n FROM c), k AS (SELECT *, (tp + tn) / n AS po, ((tp + fp) / n) * ((tp + fn) / n) + ((fn + tn) / n) * ((fp + tn) / n) AS pe FROM r)
+SELECT tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS prec, round(tp / nullif(tp + fn, 0), 6) AS recall,
+  round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(tn / nullif(tn + fp, 0), 6) AS specificity, round(fp / nullif(fp + tn, 0), 6) AS fpr, round(fn / nullif(fn + tp, 0), 6) AS fnr,
+  round((tp * tn - fp * fn) / nullif(sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6) AS mcc, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FROM k"""
 
 
 @register("detection_metrics", METRICS_SQL)
 def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomwork.operators.metrics import confusion
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return metrics.confusion(joined.select((F.col("quality") == 0).alias("wanted"), F.col("text").rlike("[#*$%&|<>]").alias("said")), "wanted", "said")
 
+
+@register(
+    "detection_by_kind",
+    """SELECT lang AS kind, count(*) AS total, count(*) FILTER (WHERE regexp_matches(text, '[#*$%&|<>]')) AS emitted, count(*) FILTER (WHERE quality = 0) AS gold, count(*) FILTER (WHERE (quality = 0) = regexp_matches(text, '[#*$%&|<>]')) AS exact
+    FROM documents JOIN labels USING (doc_id) GROUP BY 1""",
+)
+def detection_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return confusion(joined.select((F.col("quality") == 0).alias("wanted"), F.col("text").rlike("[#*$%&|<>]").alias("said")), "wanted", "said")
+    rows = joined.select(F.col("lang").alias("kind"), (F.col("quality") == 0).alias("wanted"), F.col("text").rlike("[#*$%&|<>]").alias("said"))
+    return metrics.by_kind(rows, "kind", "wanted", "said")
 
 
 @register(
     "length_summary",
-    """WITH r AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS a, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS b FROM documents)
-    SELECT source, count(*) AS n, round(avg(n_chars), 6) AS mean, quantile_cont(n_chars, 0.5) AS median, round(quantile_cont(n_chars, 0.95), 6) AS p95, round(stddev_samp(n_chars), 6) AS deviation,
-    round(quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25), 6) AS iqr FROM r WHERE a > 1 AND b > 1 GROUP BY 1""",
+    """WITH f AS (SELECT *, count(*) OVER (PARTITION BY source) AS all_, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS a FROM documents),
+    r AS (SELECT source, n_chars AS v, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS i FROM f WHERE all_ < 5 OR (a > 1 AND a < all_))
+    SELECT source, max(n) AS n, min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean, avg(v) FILTER (WHERE i = n // 2 OR (n % 2 = 0 AND i = n // 2 - 1)) AS median, max(v) FILTER (WHERE i = least(floor(n * 0.95), n - 1)) AS p95,
+      max(v) FILTER (WHERE i = least(floor(n * 0.99), n - 1)) AS p99, round(coalesce(stddev_samp(v), 0), 4) AS deviation, max(v) FILTER (WHERE i = 3 * n // 4) - max(v) FILTER (WHERE i = n // 4) AS iqr,
+      round(avg(v) - 1.96 * coalesce(stddev_samp(v), 0) / sqrt(max(n)), 4) AS ci_lower, round(avg(v) + 1.96 * coalesce(stddev_samp(v), 0) / sqrt(max(n)), 4) AS ci_upper FROM r GROUP BY 1""",
 )
 def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomwork.operators.metrics import trimmed_summary
+    return metrics.summary(table(spark, sf_dir, "documents"), "source", "n_chars")
+
+
+# Benchmark passages against themselves with two letters exchanged, a word left out, or as they are.
+PAIRS_SQL = """pairs AS (SELECT item_id, text AS source, text AS ref, CASE item_id % 4 WHEN 0 THEN replace(text, 'th', 'ht') WHEN 1 THEN replace(text, ' of ', ' ') WHEN 2 THEN text ELSE replace(text, 'e', 'ee') END AS said FROM benchmark WHERE text <> ''),
+p AS (SELECT item_id, replace(ref, 'an', 'na') AS orig, ref, said FROM pairs)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").where("text <> ''")
+    swap = lambda a, b: F.replace(F.col("text"), F.lit(a), F.lit(b))
+    k = F.col("item_id") % 4
+    said = F.when(k == 0, swap("th", "ht")).when(k == 1, swap(" of ", " ")).when(k == 2, F.col("text")).otherwise(swap("e", "ee"))
+    return rows.select("item_id", swap("an", "na").alias("orig"), F.col("text").alias("ref"), said.alias("said"))
+
+
+def _grams_sql(name: str, column: str, unit: str, most: int) -> str:
+    """Counts of n-grams of characters, or of tokens, up to ``most``."""
+    return f"{name} AS (SELECT item_id, k, g, count(*) AS c FROM (SELECT item_id, k, unnest(list_transform(range(1, len({unit}) - k + 2), lambda i: array_to_string({unit}[i:i + k - 1], chr(1)))) AS g FROM (SELECT item_id, unnest(range(1, {most + 1})) AS k, {column} AS {unit} FROM q)) GROUP BY 1, 2, 3)"
+
+
+QUALITY_SQL = f"""WITH {PAIRS_SQL},
+q AS (SELECT *, string_split(ref, '') AS rc, string_split(said, '') AS sc, list_filter(regexp_extract_all(ref, '[^ \t\n\r་།]+|[་།]'), lambda x: x <> '') AS rt, list_filter(regexp_extract_all(said, '[^ \t\n\r་།]+|[་།]'), lambda x: x <> '') AS st FROM p),
+w AS (SELECT *, list_distinct(list_concat(rt, st)) AS kinds FROM q),
+e AS (SELECT *, array_to_string(list_transform(rt, lambda x: chr(list_position(kinds, x)::INT)), '') AS rw, array_to_string(list_transform(st, lambda x: chr(list_position(kinds, x)::INT)), '') AS sw,
+  levenshtein(orig, ref) AS t, levenshtein(orig, said) AS d, levenshtein(said, ref) AS r FROM w),
+{_grams_sql("ac", "rc", "u", 6)}, {_grams_sql("bc", "sc", "u", 6)}, {_grams_sql("at_", "rt", "u", 4)}, {_grams_sql("bt", "st", "u", 4)},
+chr1 AS (SELECT item_id, k, sum(c) AS a FROM ac GROUP BY 1, 2), chr2 AS (SELECT item_id, k, sum(c) AS b FROM bc GROUP BY 1, 2), chr3 AS (SELECT item_id, k, sum(least(ac.c, bc.c)) AS h FROM ac JOIN bc USING (item_id, k, g) GROUP BY 1, 2),
+chr_ AS (SELECT item_id, avg(coalesce(h, 0) / b) AS pp, avg(coalesce(h, 0) / a) AS rr FROM chr1 JOIN chr2 USING (item_id, k) LEFT JOIN chr3 USING (item_id, k) GROUP BY 1),
+tok2 AS (SELECT item_id, k, sum(c) AS b FROM bt GROUP BY 1, 2), tok3 AS (SELECT item_id, k, sum(least(at_.c, bt.c)) AS h FROM at_ JOIN bt USING (item_id, k, g) GROUP BY 1, 2), tok1 AS (SELECT DISTINCT item_id, k FROM at_),
+ks AS (SELECT item_id, unnest(range(1, 5)) AS k FROM p),
+tok AS (SELECT item_id, sum(ln(CASE WHEN tok1.k IS NULL OR b IS NULL THEN 0.1 / greatest(1, coalesce(b, 0)) ELSE (coalesce(h, 0) + 0.1) / (b + 0.1) END)) / 4 AS lp FROM ks LEFT JOIN tok1 USING (item_id, k) LEFT JOIN tok2 USING (item_id, k) LEFT JOIN tok3 USING (item_id, k) GROUP BY 1),
+s AS (SELECT item_id, ref = said AS exact, r / length(ref) AS cer, levenshtein(rw, sw) / len(rt) AS wer, CASE WHEN ref = said THEN 1.0 WHEN pp + rr = 0 THEN 0 ELSE 5 * pp * rr / (4 * pp + rr) END AS chrf,
+  CASE WHEN ref = said THEN 1.0 ELSE exp(lp) * CASE WHEN len(st) > len(rt) THEN 1 ELSE exp(1 - len(rt) / greatest(1, len(st))) END END AS bleu,
+  CASE WHEN orig = ref THEN CASE WHEN said = orig THEN 1.0 ELSE 0.0 END WHEN d > 0 THEN least(1.0, greatest(0, t - r) / d) ELSE 0 END AS precision_,
+  CASE WHEN orig = ref THEN 1.0 ELSE least(1.0, greatest(0, t - r) / t) END AS recall_,
+  CASE WHEN ref = said THEN 'EXACT_CORRECTION' WHEN r < t THEN 'PARTIAL_CORRECTION' WHEN trim(said) = trim(orig) THEN 'MISSED_ERROR' WHEN r > t THEN 'FALSE_CORRECTION' ELSE 'OVERCORRECTION' END AS outcome FROM e JOIN chr_ USING (item_id) JOIN tok USING (item_id))
+SELECT item_id, exact, round(cer, 6) AS cer, round(wer, 6) AS wer, round(chrf, 6) AS chrf, round(bleu, 6) AS bleu, round(precision_, 6) AS edit_precision, round(recall_, 6) AS edit_recall, outcome FROM s"""
+
+
+@register("text_quality", QUALITY_SQL)
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates, chrF, BLEU, edits and outcome of corrections."""
+    scored = metrics.correction_scores(_pairs(spark, sf_dir), "orig", "ref", "said")
+    return scored.select("item_id", "exact", *(F.round(F.col(f"scores.{c}"), 6).alias(c) for c in ("cer", "wer", "chrf", "bleu", "edit_precision", "edit_recall")), "outcome")
+
+
+@register("character_error_rate", f"WITH {PAIRS_SQL} SELECT round(avg(levenshtein(said, ref) / length(ref)), 6) AS cer, round(avg((said = ref)::INT), 6) AS exact, count(*) AS n FROM p")
+def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = metrics.correction_scores(_pairs(spark, sf_dir), "orig", "ref", "said")
+    return scored.agg(F.round(F.avg("scores.cer"), 6).alias("cer"), F.round(F.avg(F.col("exact").cast("int")), 6).alias("exact"), F.count("*").alias("n"))
+
+
+@register("rouge_l")
+def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = metrics.correction_scores(_pairs(spark, sf_dir), "orig", "ref", "said")
+    return scored.select("item_id", F.round("scores.rouge_l", 6).alias("rouge_l"))
+
 
-    return trimmed_summary(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id")
+@register("stride_sample", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), s AS (SELECT doc_id, i, greatest(1, n // 6) AS step FROM r) SELECT doc_id FROM s WHERE i % step = 0 AND i // step < 6")
+def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six rows at equal distances: a sampling operator."""
+    return metrics.stride(table(spark, sf_dir, "documents"), "doc_id", 6).select("doc_id")
 
 
 @register(

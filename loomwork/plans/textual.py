@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions import script as sc
+from loomwork.functions import spans
+from loomwork.operators import correction
 from loomwork.plans.catalog import register
 from loomwork.plans.common import SCRIPT_SQL, SQUEEZED_SQL, WHITE_SQL, documents, script_documents, table
 
@@ -127,7 +129,93 @@ def shad_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-@register("document_source", "SELECT doc_id, CASE WHEN source <> '' THEN source END AS collection FROM documents WHERE text IS NOT NULL AND text <> ''")
-def document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with text; an empty collection is none."""
-    return table(spark, sf_dir, "documents").where("text is not null and text <> ''").select("doc_id", F.nullif(F.col("source"), F.lit("")).alias("collection"))
+SPANS_SQL = rf"""sp AS (SELECT doc_id, text, regexp_extract_all(text, '[^{sc.TSHEGS}{sc.SHADS}{WHITE_SQL}]+') AS ms, string_split_regex(text, '[^{sc.TSHEGS}{sc.SHADS}{WHITE_SQL}]+') AS bs FROM docs),
+u AS (SELECT doc_id, text, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, unnest(bs[2:len(ms) + 1]) AS nx, unnest(range(0, len(ms))) AS k FROM sp),
+s AS (SELECT *, (sum(length(b) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - length(m))::BIGINT AS a, (sum(strlen(b) + strlen(m)) OVER (PARTITION BY doc_id ORDER BY k) - strlen(m))::BIGINT AS ba FROM u)"""
+
+
+@register(
+    "syllable_spans",
+    f"WITH {DOCS}, {SPANS_SQL} SELECT doc_id, k AS pos, a AS char_start, a + length(m) AS char_end, ba AS byte_start, ba + strlen(m) AS byte_end, regexp_matches(nx, '^[{sc.TSHEGS}]') AS has_tsheg, m || '་' AS written FROM s",
+)
+def syllable_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = script_documents(spark, sf_dir).select("doc_id", F.posexplode(spans.syllables_column(F.col("text"))).alias("pos", "s"))
+    at = [F.col(f"s.{c}").cast("long").alias(c) for c in ("char_start", "char_end", "byte_start", "byte_end")]
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), *at, F.col("s.has_tsheg"), spans.with_tsheg(F.col("s.text")).alias("written"))
+
+
+def _sentence_spans_sql(breaks: str) -> str:
+    pattern = rf"[^{sc.SHADS}{breaks}]+[{sc.SHADS}]*"
+    return rf"""sp AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS bs FROM docs),
+    u AS (SELECT doc_id, unnest(ms) AS m, unnest(bs[1:len(ms)]) AS b, unnest(range(0, len(ms))) AS k FROM sp),
+    v AS (SELECT *, (sum(length(b) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) - length(m))::BIGINT AS a, regexp_extract(m, '[{sc.SHADS}]*$') AS terminator FROM u),
+    w AS (SELECT *, length(m) - length(regexp_replace(m, '^[{WHITE_SQL}]+', '')) AS lead_, regexp_replace(m[:length(m) - length(terminator)], '[{WHITE_SQL}]+$', '') AS body FROM v),
+    x AS (SELECT doc_id, k, a + lead_ AS char_start, CASE WHEN terminator <> '' THEN a + length(m) ELSE a + length(body) END AS char_end, terminator, trim(regexp_replace(body, '^[{WHITE_SQL}]+', '')) AS content FROM w WHERE regexp_replace(body, '[{WHITE_SQL}]+', '', 'g') <> '')"""
+
+
+def _sentence_rows(spark: SparkSession, sf_dir: str, breaks: bool) -> DataFrame:
+    rows = script_documents(spark, sf_dir).select("doc_id", F.posexplode(spans.sentences_column(F.col("text"), breaks)).alias("idx", "s"))
+    inside = spans.content(F.col("s.text"), F.col("s.terminator"))
+    return rows.select(
+        "doc_id", F.col("idx").cast("long").alias("idx"), F.col("s.char_start").cast("long").alias("char_start"), F.col("s.char_end").cast("long").alias("char_end"), (F.col("s.terminator") != "").alias("terminated"),
+        F.md5(inside).alias("content"), spans.is_script(F.col("s.text")).alias("in_script"),
+    )
+
+
+SENTENCE_COLUMNS = f"""doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS idx, char_start, char_end, terminator <> '' AS terminated, md5(content) AS content"""
+
+
+@register("sentence_spans", f"WITH {DOCS}, {_sentence_spans_sql(BREAKS_SQL)} SELECT {SENTENCE_COLUMNS} FROM x")
+def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentence_rows(spark, sf_dir, True).drop("in_script")
+
+
+@register("sentence_spans_over_lines", f"WITH {DOCS}, {_sentence_spans_sql('')} SELECT {SENTENCE_COLUMNS} FROM x")
+def sentence_spans_over_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line breaks are white space like other."""
+    return _sentence_rows(spark, sf_dir, False).drop("in_script")
+
+
+@register(
+    "sentence_at_place",
+    f"""WITH {DOCS}, {_sentence_spans_sql(BREAKS_SQL)}, y AS (SELECT {SENTENCE_COLUMNS} FROM x)
+    SELECT d.doc_id, min(idx) FILTER (WHERE char_start <= 100 AND 100 < char_end) AS at_100, count(idx) FILTER (WHERE char_start < 200 AND 50 < char_end) AS touched, count(idx) FILTER (WHERE char_start <= 70 AND 70 < char_end) AS held FROM docs d LEFT JOIN y USING (doc_id) GROUP BY 1""",
+)
+def sentence_at_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence that holds a place, those that a range touches, and an empty one."""
+    found = F.transform(spans.sentences_column(F.col("text")), lambda s, i: F.struct(i.cast("long").alias("idx"), s["char_start"].alias("char_start"), s["char_end"].alias("char_end")))
+    rows = script_documents(spark, sf_dir).select("doc_id", found.alias("s"))
+    n = lambda a, b: F.size(spans.overlapping(F.col("s"), F.lit(a), F.lit(b))).cast("long")
+    return rows.select("doc_id", spans.at_char(F.col("s"), F.lit(100))["idx"].alias("at_100"), n(50, 200).alias("touched"), n(70, 70).alias("held"))
+
+
+@register("ranker_syllables", f"WITH {DOCS} SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[་།འཡ \\t\\n]'), lambda x: trim(x)), lambda x: x <> '') AS s FROM docs)")
+def ranker_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = script_documents(spark, sf_dir).select("doc_id", spans.ranker_syllables(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+LETTER_SQL = "[ཀ-ཬཱ-྅ྐ-ྼ]"
+
+
+@register("letter_counts", f"WITH {DOCS}, {WORDS} SELECT word, length(regexp_replace(word, '[^ཀ-ཬཱ-྅ྐ-ྼ]', '', 'g')) AS letters, regexp_matches(word, '{LETTER_SQL}') AS is_word, regexp_matches(word, '^[ཀ-ཬཱ-྅ྐ-ྼ་༌།༎༏]+$') AS only_script FROM words")
+def letter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = words(spark, sf_dir)
+    return rows.select("word", sc.letter_count(F.col("word")).alias("letters"), sc.has_letter(F.col("word")).alias("is_word"), sc.only_script(F.col("word")).alias("only_script"))
+
+
+GRAPHEME_SQL = "regexp_extract_all(word, '.[ཱ-ཾྀ-྄྆-྇ྐ-ྼ༹༵༷]*')"
+
+
+@register("grapheme_counts", f"WITH {DOCS}, {WORDS} SELECT original AS word, len({GRAPHEME_SQL}) AS n, array_to_string({GRAPHEME_SQL}, '|') AS parts FROM (SELECT word AS original, nfc_normalize(word) AS word FROM words) WHERE regexp_matches(original, '^[ཀ-ཬ]')")
+def grapheme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters with their marks, of words that begin with a letter."""
+    rows = words(spark, sf_dir).where(F.col("word").rlike("^[ཀ-ཬ]")).withColumn("g", correction.graphemes_column("word"))
+    return rows.select("word", F.size("g").cast("long").alias("n"), F.array_join("g", "|").alias("parts"))
+
+
+@register("tidy_changes", f"WITH {DOCS}, n AS (SELECT doc_id, text AS original, nfc_normalize(text) AS text FROM docs) SELECT doc_id, {TIDY_SQL} <> original AS changed, CASE WHEN {TIDY_SQL} <> original THEN 1 ELSE 0 END AS n_changes FROM n")
+def tidy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of a normalisation: whether and how the text changed."""
+    rows = script_documents(spark, sf_dir).select("doc_id", sc.tidied(F.col("text")).alias("r"))
+    return rows.select("doc_id", F.col("r.changed"), F.size("r.changes").alias("n_changes"))

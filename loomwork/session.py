@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -34,6 +35,16 @@ def create(master: str = "local[8]", shuffle_partitions: int = 8, memory: str =
     return prepare(spark)
 
 
+def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once for each row.
+
+    The optimizer puts a column's expression where it is used, inside a lambda once per
+    element; it does not look through a generator.
+    """
+    one = F.explode_outer(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias("__held")
+    return df.select(*(c for c in df.columns if c not in columns), one).select("*", "__held.*").drop("__held")
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound the Arrow batches and let Python workers import this package.
 
