@@ -9,10 +9,10 @@ values without a loop.
 A token file is a folder of the shared store: ``docs`` holds Parquet files in
 ascending id order with (id, place, n_tokens, control, data) per document, and
 ``ranks`` the ids by rank. Texts are encoded once, into a compact table; the
-shuffle that puts documents in order carries coded bytes, never texts.
+shuffle that puts documents in order carries that, never texts.
 
 Defined results: a null or empty text has only the end id; null document ids come
-first; rows with equal ids are ordered by their control bytes, then their data bytes; an empty table gives an
+first; rows with equal ids are ordered by the bytes of their tokens; an empty table gives an
 empty file. Place grows with the order; a document's start is the number of ids of
 all documents before it.
 """
@@ -126,8 +126,9 @@ def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         control, control_ends, body, data_ends = code(ranks.value[values], ends)
         return pa.StructArray.from_arrays([pa.array(np.diff(ends), pa.int64()), _binary(control, control_ends), _binary(body, data_ends)], ["n_tokens", "control", "data"])
 
-    ordered = rows.select("id", coded("ids").alias("c")).select("id", "c.*").repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "control", "data")
-    ordered.withColumn("place", F.monotonically_increasing_id()).select("id", "place", "n_tokens", "control", "data").write.option("compression", "zstd").parquet(f"{path}/docs")
+    # coded behind the shuffle: the ranges are found by a pass over its input, which would run it twice
+    ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids").withColumn("place", F.monotonically_increasing_id())
+    ordered.select("id", "place", coded("ids").alias("c")).select("id", "place", "c.*").write.option("compression", "zstd").parquet(f"{path}/docs")
     drop_table(rows)
     return path
 
