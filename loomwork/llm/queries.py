@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm import bpe, chat, media, mixing, pii, ppm, rules, simhash, tokenfile, warc
+from loomwork.session import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -19,7 +20,7 @@ def tokenizer_path() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def sha(text: str) -> F.Column:
