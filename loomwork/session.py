@@ -13,6 +13,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: whatever the length of the texts.
 ARROW_ROWS = 1000
 ARROW_BYTES = 2 << 20
+#: Bytes up to which a table of one file is dealt out before it is worked on.
+SMALL_FILE = 64 << 20
 
 
 def create(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -35,6 +37,15 @@ def create(master: str = "local[8]", shuffle_partitions: int = 8, memory: str =
     return prepare(spark)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. One small file, often a single row group that one task would read, is dealt over all cores."""
+    df = spark.read.parquet(path)
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(file)
+    small = status.isFile() and status.getLen() <= SMALL_FILE
+    return df.repartition(spark.sparkContext.defaultParallelism) if small else df
+
+
 def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are computed once for each row.
 
