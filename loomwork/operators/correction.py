@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from loomwork.functions.script import vowel_before_consonant
 from loomwork.operators.grammar import stripped
 from loomwork.session import prepare
+from loomwork.shared import cut
 
 TSHEG = "་"
 #: Words of a block of queries, and of a part of the lexicon that a task indexes at a time.
@@ -237,13 +238,14 @@ def candidates(queries: DataFrame, lexicon: DataFrame, frequencies: DataFrame |
     With frequencies, words seen ``RARE`` times or less may differ by ``RARE_NEAR`` edits. Queries that
     end in a mark get candidates that do.
     """
-    words = queries.select(F.col("word").alias("raw"), stripped(F.col("word")).alias("word")).where("word <> ''").distinct()
-    held = lexicon.select(stripped(F.col("word")).alias("word")).where("word <> ''").distinct()
+    # tables: each of them is read several times below
+    words = cut(queries.select(F.col("word").alias("raw"), stripped(F.col("word")).alias("word")).where("word <> ''").distinct(), "asked")
+    held = cut(lexicon.select(stripped(F.col("word")).alias("word")).where("word <> ''").distinct(), "lexicon")
     asked = words.select("word").distinct()
     caps = asked.withColumn("cap", F.lit(NEAR))
     if frequencies is not None:
         caps = word_frequency(asked, frequencies).select("word", F.when(F.col("freq") <= RARE, RARE_NEAR).otherwise(NEAR).alias("cap"))
-    near = retrieve(asked, held, retrieved).select("query", "word")
+    near = cut(retrieve(asked, held, retrieved).select("query", "word"), "retrieved")
     measured = near.withColumn("distance", distance_column("query", "word"))
     missed = asked.join(near.select(F.col("query").alias("word")).distinct(), "word", "left_anti")
     every = measured.unionByName(scan(missed, held, RARE_NEAR if frequencies is not None else NEAR))
@@ -310,14 +312,14 @@ def provider_candidates(queries: DataFrame, lexicon: DataFrame, frequencies: Dat
     within ``RARE_NEAR`` edits; canonical spelling; splits whose parts are frequent;
     where still nothing is found, a scan; for words of several parts, combinations.
     """
-    asked = queries.where("word <> ''").select("word").distinct()
-    held = lexicon.where("word <> ''").select("word").distinct()
-    found = _near(asked, held, PROVIDER_TOP, near)
+    asked = cut(queries.where("word <> ''").select("word").distinct(), "asked")
+    held = cut(lexicon.where("word <> ''").select("word").distinct(), "lexicon")
+    found = cut(_near(asked, held, PROVIDER_TOP, near), "near")
     left = asked.join(found.select(F.col("query").alias("word")).distinct(), "word", "left_anti")
     wide = _acceptable(retrieve(left, held, PROVIDER_TOP).select("query", "word")).withColumn("distance", distance_column("query", "word"))
     found = found.unionByName(wide.where((F.col("distance") > 0) & (F.col("distance") <= RARE_NEAR)))
     found = found.unionByName(canonical(asked, held).withColumn("distance", F.lit(1)))
-    found = found.unionByName(frequent_splits(asked, held, frequencies).withColumn("distance", F.lit(1)))
+    found = cut(found.unionByName(frequent_splits(asked, held, frequencies).withColumn("distance", F.lit(1))), "near")
     missed = asked.join(found.select(F.col("query").alias("word")).distinct(), "word", "left_anti")
     found = found.unionByName(_acceptable(scan(missed, held, RARE_NEAR)))
     found = found.unionByName(compound_candidates(asked, held, near))

@@ -18,6 +18,7 @@ from loomwork.functions.script import tidy, unicode_form
 from loomwork.operators import correction, corpus, grammar
 from loomwork.operators.grammar import stripped
 from loomwork.operators.morphology import repaired_column, violation_column
+from loomwork.shared import cut
 
 # Particles and endings that are never flagged, endings that a known stem may take.
 SAFE = (
@@ -170,7 +171,7 @@ def _typed(found: DataFrame, source: str) -> DataFrame:
 
 def best_candidates(judged: DataFrame, lexicon: DataFrame, bigrams: DataFrame, frequencies: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """(word, candidate, confidence, safe): the first candidate of each unknown word and whether it may be proposed."""
-    asked = judged.where("verdict = 'unknown'").select("word", "normal")
+    asked = cut(judged.where("verdict = 'unknown'").select("word", "normal"), "unknown")
     found = correction.candidates(asked.select(F.col("normal").alias("word")), lexicon, frequencies, 1)
     first = asked.join(found.select(F.col("query").alias("normal"), F.col("word").alias("candidate"), "confidence"), "normal")
     return correction.guarded(first, "normal", "candidate", "confidence", lexicon, bigrams, least).select("word", "candidate", "confidence", "safe")

@@ -13,6 +13,7 @@ from loomwork.plans.grammar import NODES_SQL, RULE_WORDS, flat, listed, sentence
 from loomwork.plans.language import good_documents
 from loomwork.plans.statistics import COLLOCATIONS_SQL
 from loomwork.plans.textual import DOCS, WORDS, words
+from loomwork.shared import cut
 
 LEXICON_SQL = "lexicon AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) WHERE length(word) >= 3 GROUP BY 1 HAVING count(*) >= 3), asked AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)"
 SHARED_SQL = """q AS (SELECT word AS query, bigram, count(*) AS times FROM (SELECT word, unnest(list_transform(range(1, length(word) + 1), lambda i: substr(word || chr(2), i::INT, 2))) AS bigram FROM asked) GROUP BY 1, 2),
@@ -207,7 +208,7 @@ def spelling_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the fixture's sentences, with candidates and guards."""
     known, two, three, rules, irregular = _spelling_tables(spark)
     nodes = spelling.spelled(flat(spark, sf_dir))
-    judged = spelling.verdicts(nodes.select(F.col("raw").alias("word")), known, two, three, rules, irregular)
+    judged = cut(spelling.verdicts(nodes.select(F.col("raw").alias("word")), known, two, three, rules, irregular), "verdicts")
     best = spelling.best_candidates(judged, known, two)
     return spelling.findings(nodes, judged, best)
 
