@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm import caches
 from loomwork.session import prepare
 
 #: The normalizer and pattern of pre-tokens that the short way below stands for; files with
@@ -247,7 +248,8 @@ _LOADED: dict[str, WordBpe] = {}
 
 
 def loaded(path: str) -> WordBpe:
-    """One encoder for each file and worker process."""
+    """One encoder for each file and worker process, while it encodes or decodes."""
+    caches.use("bpe", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
     return _LOADED[path]

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm import simhash
+from loomwork.llm import caches, simhash
 from loomwork.llm.components import components
 from loomwork.llm.simhash import LOWER
 from loomwork.session import prepare
@@ -117,6 +117,7 @@ def _hashes_of_piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_batch(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """The hashes of all shingles of each text, repeats included, in their order."""
+    caches.use("neardup")
     out: list[np.ndarray] = []
     held: list[bytes] = []
     size = 0

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.llm import caches
 from loomwork.session import prepare
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -171,6 +172,7 @@ SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer")
 
 @F.arrow_udf(SPANS)
 def _spans(texts: pa.Array) -> pa.Array:
+    caches.use("pii")
     found = [find(t) for t in texts.to_pylist()]
     ends = np.cumsum([0, *map(len, found)])
     flat = [x for spans in found for x in spans]
@@ -185,6 +187,7 @@ def _spans(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.StringType())
 def _masked(texts: pa.Array) -> pa.Array:
+    caches.use("pii")
     return pa.array([masked(t) for t in texts.to_pylist()], pa.string())
 
 

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.llm import caches
 from loomwork.session import prepare
 
 TRAIN_DOCS = 1500
@@ -169,6 +170,7 @@ class Ppm:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, posterior probability, and bits a byte of the shortest code of each text."""
+        caches.use("ppm")
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         bits = np.round(self.code_lengths(texts), 3)

@@ -40,6 +40,14 @@ def test_bpe_on_odd_rows(spark, docs):
     assert plain.first()["decoded"] == "two words "
 
 
+def test_workers_let_go_of_what_others_kept():
+    bpe.loaded(PATH)
+    assert bpe._LOADED
+    neardup.shingle_batch(["a b"])
+    assert not bpe._LOADED
+    assert bpe.loaded(PATH) is bpe.loaded(PATH)
+
+
 def test_fragments_at_forced_boundaries():
     encoder = bpe.loaded(PATH)
     rng = random.Random(1)
