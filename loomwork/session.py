@@ -13,6 +13,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: whatever the length of the texts.
 ARROW_ROWS = 1000
 ARROW_BYTES = 2 << 20
+#: Workers give memory back to the system when a batch is done (allocators' own settings).
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_TRIM_THRESHOLD_": "131072"}
 #: Bytes up to which a table of one file is dealt out before it is worked on.
 SMALL_FILE = 64 << 20
 
@@ -66,6 +68,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    env.update(WORKER_ENV)
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
