@@ -41,7 +41,7 @@ WHITE = "\n\t\x0b\x0c\r\x85\xa0"
 #: through the library's own normalizer and splitter, so that results agree.
 ODD = re.compile("[^\x00-\u024f]").search
 #: Pre-tokens a worker remembers before it starts over: bounds its memory.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 1_500_000
 #: Texts encoded together, and the longest fragment for the array encoder.
 TEXTS_AT_ONCE = 256
 ARRAY_SYMBOLS = 64
@@ -217,7 +217,7 @@ class WordBpe:
         for k in range(0, len(texts), TEXTS_AT_ONCE):
             lists = [self.pre_tokens(t) for t in texts[k : k + TEXTS_AT_ONCE]]
             coded = [list(map(self.words.get, words)) for words in lists]
-            holes = [[i for i, c in enumerate(codes) if c is None] for codes in coded]
+            holes = [[i for i, c in enumerate(codes) if c is None] if None in codes else [] for codes in coded]
             new = {words[i] for words, at in zip(lists, holes, strict=True) for i in at}
             special = {w: np.array([self.special[w[1:]]], dtype="<i4").tobytes() for w in new if w[0] == "\n"}  # no pre-token has a line feed
             if len(self.words) + len(new) > MEMO_WORDS:

@@ -8,7 +8,7 @@ values without a loop.
 
 A token file is a folder of the shared store: ``docs`` holds Parquet files in
 ascending id order with (id, place, n_tokens, control, data) per document, and
-``ranks`` the ids by rank. Texts are encoded once, into a compact table; the
+``ranks`` the ids by rank. Texts are encoded and their ids counted once, into a compact table; the
 shuffle that puts documents in order carries that, never texts.
 
 Defined results: a null or empty text has only the end id; null document ids come
@@ -19,9 +19,11 @@ all documents before it.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,40 +79,43 @@ def uncode(control: np.ndarray, control_ends: np.ndarray, data: np.ndarray, size
     return out
 
 
-def _compact(text: Column, path: str, end_id: int) -> Column:
-    """Ids with the end id as little-endian integers of two bytes, or of four for large vocabularies."""
-
-    @F.arrow_udf(T.BinaryType())
-    def run(texts: pa.Array) -> pa.Array:
-        encoder = bpe.loaded(path)
-        kind = "<u2" if len(encoder.tokens) <= 65536 else "<u4"
-        end = np.array([end_id], dtype=kind).tobytes()
-        return pa.array([np.frombuffer(c, dtype="<i4").astype(kind).tobytes() + end for c in encoder.encode_batch(texts.to_pylist())], pa.binary())
-
-    return run(text)
-
-
-def _counter(kind: str):
-    def run(batches):
-        total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            data, _ = _flat(batch.column(0))
-            n = np.bincount(data.view(kind), minlength=len(total))
-            n[: len(total)] += total
-            total = n
+def _encoded(batches, path: str, end_id: int, kind: str):
+    """(id, ids, counts): ids with the end id as little-endian integers of two bytes, or of four for large
+    vocabularies; and, as a last row without ids, how often the task has written each of them."""
+    encoder = bpe.loaded(path)
+    total = np.zeros(max(len(encoder.tokens), end_id + 1), dtype=np.int64)
+    end = np.array([end_id], dtype=kind).tobytes()
+    names = []
+    for batch in batches:
+        names = batch.schema.names
+        coded = [np.frombuffer(c, dtype="<i4").astype(kind) for c in encoder.encode_batch(batch.column(1).to_pylist())]
+        if coded:
+            total += np.bincount(np.concatenate(coded), minlength=len(total))
+            total[end_id] += len(coded)
+        ids = pa.array([c.tobytes() + end for c in coded], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.nulls(len(coded), pa.binary())], ["id", "ids", "counts"])
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], ["id", "ids", "counts"])
+
+
+def _counted(batches):
+    """(token, n) of the tasks' counts."""
+    for batch in batches:
+        total = sum((np.frombuffer(c, dtype=np.int64) for c in batch.column(0).to_pylist()), np.zeros(1, dtype=np.int64))
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["token", "n"])
 
-    return run
-
 
 def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, path: str | None = None) -> str:
     """Encode every whole text and write the token file; returns its folder."""
     spark = prepare(df.sparkSession)
     path = path or new_path(spark, "tokens")
     kind = "<u2" if len(bpe.loaded(tokenizer).tokens) <= 65536 else "<u4"
-    rows = cut(df.select(F.col(id_col).alias("id"), _compact(F.col(text_col).cast("string"), tokenizer, end_id).alias("ids")), "encoded")
-    counts = rows.select("ids").mapInArrow(_counter(kind), T.StructType().add("token", "long").add("n", "long"))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType().add("id", df.schema[id_col].dataType).add("ids", "binary").add("counts", "binary")
+    encoded = cut(texts.mapInArrow(partial(_encoded, path=tokenizer, end_id=end_id, kind=kind), schema), "encoded", "snappy")
+    rows = encoded.where("ids is not null").select("id", "ids")
+    counts = encoded.where("counts is not null").select("counts").mapInArrow(_counted, T.StructType().add("token", "long").add("n", "long"))
     ranked = counts.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").select("token").collect()  # at most the vocabulary
     by_rank = [r["token"] for r in ranked]
     spark.createDataFrame([(r, t) for r, t in enumerate(by_rank)], T.StructType().add("rank", "long").add("token", "long")).coalesce(1).write.parquet(f"{path}/ranks")
@@ -129,7 +134,7 @@ def write_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     # coded behind the shuffle: the ranges are found by a pass over its input, which would run it twice
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids").withColumn("place", F.monotonically_increasing_id())
     ordered.select("id", "place", coded("ids").alias("c")).select("id", "place", "c.*").write.option("compression", "zstd").parquet(f"{path}/docs")
-    drop_table(rows)
+    drop_table(encoded)
     return path
 
 
