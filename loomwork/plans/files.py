@@ -117,10 +117,10 @@ def longest_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT term, 'user_dictionary' AS source FROM u UNION ALL SELECT DISTINCT array_to_string(s, ' '), 'glossary' FROM e WHERE len(s) >= 2 AND array_to_string(s, ' ') NOT IN (SELECT term FROM u)""",
 )
 def terminology_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A glossary and a user's terms, which go before it; some are added twice and some taken back."""
-    own = _entries(spark, sf_dir).where("doc_id % 5 = 0").select("syllables")
-    gone = _entries(spark, sf_dir).where("doc_id % 5 = 0 and doc_id % 3 = 0").select("syllables")
-    kept = sinks.user_terms(sinks.user_terms(own, own), removed=gone)
+    """A glossary and a user's terms, which go before it; all are added, some taken back, and those of other documents added again."""
+    own = _entries(spark, sf_dir).where("doc_id % 5 = 0")
+    gone, stay = own.where("doc_id % 3 = 0").select("syllables"), own.where("doc_id % 3 <> 0").select("syllables")
+    kept = sinks.user_terms(sinks.user_terms(own, removed=gone), stay)
     return tables.read_terms(spark, _entries_file(spark, sf_dir), kept).select(F.array_join("syllables", " ").alias("term"), "source")
 
 
