@@ -95,8 +95,9 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries_file(spark: SparkSession, sf_dir: str) -> str:
-    rows = _entries(spark, sf_dir)
-    listed = lambda odd: F.array_distinct(F.sort_array(F.collect_list(F.when(F.col("doc_id") % 2 == odd, F.col("syllables")))))
+    """Distinct entries are found before they become one row: ``array_distinct`` compares every array with every other."""
+    rows = _entries(spark, sf_dir).select((F.col("doc_id") % 2).alias("odd"), "syllables").distinct()
+    listed = lambda odd: F.sort_array(F.collect_list(F.when(F.col("odd") == odd, F.col("syllables"))))
     return _json(spark, "entries", rows.agg(listed(0).alias("entries"), listed(1).alias("ambiguous_entries")))
 
 
