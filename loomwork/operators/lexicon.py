@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.script import FINALS
+from loomwork.shared import cut
 
 # Verbs (transitivity, honorific, valency, tense), pairs of words (mutual information, t, frequency).
 VERBS = {
@@ -94,7 +95,7 @@ def malapropisms(sentences: DataFrame, table: DataFrame) -> DataFrame:
     keys = [c for c in sentences.columns if c != "words"]
     ways = [table.select(F.col(x).alias("__a"), F.col(y).alias("__b"), "mi", F.lit(k).alias("__k")) for k, (x, y) in enumerate((("w2", "w1"), ("w1", "w2")))]
     both = ways[0].unionByName(ways[1]).groupBy("__a", "__b").agg(F.min_by("mi", "__k").alias("mi")).where(F.col("mi") / 5 < 0.1)  # the order as they stand goes first
-    partners = both.groupBy("__a").agg(F.collect_set("__b").alias("__partners"))
+    partners = cut(both.groupBy("__a").agg(F.collect_set("__b").alias("__partners")), "partners")  # of known size: words meet a small table where they stand
     bare = F.transform("words", lambda w: without_marks(w))
     rows = sentences.withColumn("__bare", bare).select(*keys, "__bare", F.posexplode("words").alias("i", "word")).withColumn("__w", without_marks(F.col("word")))
     listed = F.lit(False)
