@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.script import final_consonant
 from loomwork.operators.rules import COLUMNS
-from loomwork.session import held
+from loomwork.shared import cut
 
 # Particle forms by the closing consonant before them.
 GENITIVE = {"ག": "གི", "ང": "གི", "ད": "ཀྱི", "བ": "ཀྱི", "ས": "ཀྱི", "ན": "གྱི", "མ": "གྱི", "ར": "གྱི", "ལ": "གྱི", "འ": "འི", "open": "ཡི"}
@@ -121,7 +121,7 @@ def neighbours(sentences: DataFrame) -> DataFrame:
     words = F.transform("nodes", lambda x: stripped(x["text"]))
     roots = F.filter(F.transform("nodes", lambda x, i: F.struct(i.alias("i"), x["text"].alias("text"), x["relation"].alias("relation"))), lambda r: r["relation"] == "root")
     zipped = F.arrays_zip(F.col("nodes").alias("node"), F.concat(none, "nodes").alias("before"), rest(1).alias("next"), rest(2).alias("third"))
-    rows = held(sentences, {"names": words, "roots": roots}).withColumn("__zipped", zipped)
+    rows = sentences.withColumns({"names": words, "roots": roots, "__zipped": zipped})  # once for each sentence, below the generator, and only if asked for
     rows = rows.select("doc_id", "sent_idx", "sent_start", "text", "names", "roots", n.alias("n"), F.posexplode_outer("__zipped").alias("i", "z")).where("i < n")
     word = lambda f: stripped(F.col(f"z.{f}.text"))
     return rows.select(
@@ -288,16 +288,21 @@ def dominant(words: DataFrame, lexicon: DataFrame, counts: DataFrame, table: dic
 
 
 def variant_findings(flat: DataFrame, lexicon: DataFrame, counts: DataFrame, registry: Registry | None = None, source: str = "grammar") -> DataFrame:
-    """Words written with a wrong vowel sign or a confusable letter."""
+    """Words written with a wrong vowel sign or a confusable letter.
+
+    Distinct words and their fixes are tables of their own: the nodes are gone through twice,
+    and meet the fixes without a shuffle as long as those are few.
+    """
     registry = registry or Registry()
     nodes = flat.select("doc_id", "sent_start", "start", "end", "text", "node_text", stripped(F.col("node_text"), True).alias("word")).where(
         (F.col("word") != "") & ~(F.col("text").contains(GREETING) & (F.col("word") == GREETING_WORD))
     )
+    asked = cut(nodes.select("word").distinct(), "asked")
     out = None
     for rule, table, said in (("TIB-VOWEL-001", VOWELS, ("Vowel mutation", "may be a mutated spelling of")), ("TIB-CHAR-001", LETTERS, ("Character confusion", "may be a misspelling of"))):
         if not registry.enabled(rule):
             continue
-        fixes = dominant(nodes, lexicon, counts, table).select("word", "variant")
+        fixes = cut(dominant(asked, lexicon, counts, table).select("word", "variant"), "fixes")
         hit = nodes.join(fixes, "word")
         tail = F.expr("substring(node_text, char_length(word) + 1)")
         message = F.concat(F.lit(f'[{rule}] {said[0]}: "'), "word", F.lit(f'" {said[1]} "'), "variant", F.lit('"'))
@@ -338,14 +343,14 @@ def omitted_particles(flat: DataFrame, lexicon: DataFrame, bigrams: DataFrame, t
     rows = rows.where(open_pair & F.concat("a", "b").rlike("[ཀ-ྼ]") & ~silent("category") & ~silent("left_category"))
     rows = rows.withColumn("last", last).withColumn("particle", F.try_element_at(_table(GENITIVE), final_consonant(F.col("last")))).where(F.col("particle").isin("གི", "ཀྱི", "གྱི"))
     known = lexicon.select(F.col("word").alias("__w")).distinct()
-    pairs = rows.select("a", "b", "last", "particle").distinct()
+    pairs = cut(rows.select("a", "b", "last", "particle").distinct(), "pairs")
     pairs = pairs.join(known, a == F.col("__w"), "left_semi").join(known, b == F.col("__w"), "left_semi")
     two, three = clean_ngrams(bigrams), clean_ngrams(trigrams).select("key")
     often = two.where(F.col("n") >= PAIRS).select("key")
     pairs = pairs.join(two.select("key"), F.concat_ws(" ", "last", "b") == F.col("key"), "left_anti")
     for key, table in ((F.concat_ws(" ", "last", "particle"), often), (F.concat_ws(" ", "particle", "b"), often), (F.concat_ws(" ", "last", "particle", "b"), three)):
         pairs = pairs.join(table, key == F.col("key"), "left_semi")
-    hit = rows.join(pairs.select("a", "b"), ["a", "b"])
+    hit = rows.join(cut(pairs.select("a", "b"), "missing"), ["a", "b"])
     order = Window.partitionBy("doc_id", "sent_idx").orderBy("i")
     island = hit.withColumn("__island", F.col("i") - F.row_number().over(order))  # a run of neighbouring places
     kept = island.withColumn("__k", F.row_number().over(Window.partitionBy("doc_id", "sent_idx", "__island").orderBy("i"))).where("__k % 2 = 1")

@@ -16,6 +16,7 @@ from loomwork.plans.catalog import register
 from loomwork.plans.common import documents
 from loomwork.plans.textual import FINAL_SQL
 from loomwork.session import held
+from loomwork.shared import cut
 
 RULE_WORDS = [
     *dict.fromkeys([
@@ -35,11 +36,16 @@ def rule_words(df: DataFrame, words: list[str]) -> DataFrame:
     return held(df, {"words": F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda t: F.element_at(listed, place(t).cast("int")))})
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, sent_idx, sent_start, text, nodes)."""
+def word_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sent_idx, w): the words of each sentence."""
     rows = rule_words(documents(spark, sf_dir), RULE_WORDS).where(F.size("words") > 0)
     groups = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / WIDTH).cast("int")), lambda g: F.slice("words", g * WIDTH + 1, F.lit(WIDTH)))
-    rows = rows.select("doc_id", F.posexplode_outer(groups).alias("sent_idx", "w"))
+    return rows.select("doc_id", F.posexplode_outer(groups).alias("sent_idx", "w"))
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sent_idx, sent_start, text, nodes)."""
+    rows = word_groups(spark, sf_dir)
     listed = F.array(*map(F.lit, RULE_WORDS))
     category, relation = F.array(*map(F.lit, CATEGORIES)), F.array(*map(F.lit, RELATIONS))
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.char_length(F.array_join(F.slice("w", 1, i), "་")) + 1)
@@ -199,11 +205,12 @@ counts AS (SELECT word AS ngram, (count(*) * CASE WHEN min(k) % 3 = 0 THEN 40 EL
 freqs AS (SELECT ngram AS word, n FROM counts), lexicon AS (SELECT DISTINCT word FROM words)"""
 
 
-def _counts(nodes: DataFrame) -> DataFrame:
+def _counts(groups: DataFrame) -> DataFrame:
     """Counts of the words, those of every third number forty-fold, so that some dominate."""
     number = F.create_map(*(F.lit(x) for p in {w: k for k, w in enumerate(RULE_WORDS)}.items() for x in p))
-    told = nodes.select(grammar.stripped(F.col("node_text"), True).alias("ngram"), number[F.col("node_text")].alias("k"))
-    return told.groupBy("ngram").agg((F.count("*") * F.when(F.min("k") % 3 == 0, 40).otherwise(1)).alias("n"))
+    each = groups.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    told = each.select(grammar.stripped(F.col("word"), True).alias("ngram"), number[F.col("word")].alias("k"), "n")
+    return told.groupBy("ngram").agg((F.sum("n") * F.when(F.min("k") % 3 == 0, 40).otherwise(1)).alias("n"))
 
 
 def _variant_sql(table: dict[str, str], rule: str) -> str:
@@ -218,10 +225,10 @@ def _variant_sql(table: dict[str, str], rule: str) -> str:
 
 
 def _variants(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
-    nodes = flat(spark, sf_dir)
-    lexicon = nodes.select(grammar.stripped(F.col("node_text"), True).alias("word")).distinct()
+    counts = cut(_counts(word_groups(spark, sf_dir)), "counts")
     registry = grammar.Registry({k: k == rule for k in ("TIB-VOWEL-001", "TIB-CHAR-001")})
-    return grammar.variant_findings(nodes, lexicon, _counts(nodes), registry).select("doc_id", "char_start", "char_end", "replacement")
+    found = grammar.variant_findings(flat(spark, sf_dir), counts.select(F.col("ngram").alias("word")), counts, registry)
+    return found.select("doc_id", "char_start", "char_end", "replacement")
 
 
 @register("vowel_variants", _variant_sql(grammar.VOWELS, "TIB-VOWEL-001"))
@@ -258,11 +265,10 @@ def _omission_sql() -> str:
 @register("omitted_particles", _omission_sql())
 def omitted_particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against published n-gram tables: the most frequent n-grams."""
-    rows = sentences(spark, sf_dir)
-    nodes = grammar.neighbours(rows)
-    lexicon = nodes.select(grammar.stripped(F.col("node_text"), True).alias("word")).distinct()
-    told = rows.select(F.col("nodes.text").alias("syllables"))
-    found = grammar.omitted_particles(nodes, lexicon, corpus.most_common(corpus.ngrams(told, 2), 2000), corpus.most_common(corpus.ngrams(told, 3), 20000))
+    told = word_groups(spark, sf_dir).select(F.col("w").alias("syllables"))
+    lexicon = cut(corpus.ngrams(told, 1).select(grammar.stripped(F.col("ngram"), True).alias("word")).distinct(), "lexicon")
+    two, three = (cut(corpus.most_common(corpus.ngrams(told, n), kept), "ngrams") for n, kept in ((2, 2000), (3, 20000)))
+    found = grammar.omitted_particles(flat(spark, sf_dir), lexicon, two, three)
     return found.select("doc_id", "char_start", "char_end", "replacement")
 
 
