@@ -32,7 +32,7 @@ from loomwork.session import prepare
 from loomwork.shared import cut, drop_table, new_path
 
 #: Lengths of the four values of each control byte.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 
 def _flat(arrays: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,19 +46,30 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(body)])
 
 
+def _used(sizes: np.ndarray, control_ends: np.ndarray) -> np.ndarray:
+    """Which of the four lanes of each control byte hold a value: all but the last ones of a document."""
+    out = np.ones(4 * int(control_ends[-1]), dtype=bool)
+    idle = -sizes % 4
+    for k in (1, 2, 3):
+        out[4 * control_ends[1:][idle >= k] - k] = False
+    return out
+
+
 def code(ranks: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Control and data bytes of many documents, and the ends of each in both.
 
     ``ends``: where each document's ranks end, with a leading 0.
     """
-    ranks = ranks.astype("<u4")
-    lengths = 1 + (ranks >= 1 << 8).astype(np.int64) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
-    data_ends = np.concatenate([[0], np.cumsum(lengths)])[ends]
+    wide = 4 if len(ranks) and ranks.max() >= 1 << 16 else 2  # bytes that any rank takes at most
+    lengths = np.ones(len(ranks), dtype=np.uint8)
+    for k in range(1, wide):
+        lengths += ranks >= 1 << 8 * k
+    data = ranks.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide)[np.arange(wide, dtype=np.uint8) < lengths[:, None]]
+    data_ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[ends]
     sizes = np.diff(ends)
     control_ends = np.concatenate([[0], np.cumsum((sizes + 3) // 4)])
     lanes = np.zeros(4 * int(control_ends[-1]), dtype=np.uint8)
-    lanes[np.arange(len(ranks)) + np.repeat(4 * control_ends[:-1] - ends[:-1], sizes)] = lengths - 1
+    lanes[_used(sizes, control_ends)] = lengths - 1
     four = lanes.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     return control, control_ends, data, data_ends
@@ -66,14 +77,11 @@ def code(ranks: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def uncode(control: np.ndarray, control_ends: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The ranks of many documents again."""
-    lengths = LENGTHS[control].ravel()
-    starts = np.cumsum(sizes) - sizes
-    places = np.arange(int(sizes.sum())) + np.repeat(4 * control_ends[:-1] - starts, sizes)
-    lengths = lengths[places]
-    at = np.cumsum(lengths) - lengths
+    lengths = LENGTHS[control].ravel()[_used(sizes, control_ends)]
+    at = np.cumsum(lengths, dtype=np.int64) - lengths
     padded = np.concatenate([data, np.zeros(3, np.uint8)])
     out = padded[at].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(lengths.max(initial=1))):
         more = np.flatnonzero(lengths > k)
         out[more] |= padded[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
