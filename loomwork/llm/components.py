@@ -68,7 +68,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """``links``: (u, v) with u > v. Large: larger neighbours go to the least of all; small: the rest do."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(least.hint("merge"), "u")  # never by way of the driver
     moved = joined.where("v > u") if large else joined
     out = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:

@@ -9,7 +9,8 @@ codeword index of the next one, seen as a word of 23 bits. The binary Golay code
 perfect: each word has one codeword within 3 bits. A fingerprint asks with that
 one and is entered under all codewords within 4 bits (one, or six where the
 nearest is 3 away); a word that differs in one bit is then met for certain.
-Pairs with a common key are verified by their exact distance.
+Pairs with a common key are verified by their exact distance. No side of a join is
+sent to the driver: a fingerprint has up to 18 entries, which the optimizer takes for one.
 
 Only distinct fingerprints take part, so copies never make pairs. Where more than
 ``CROWD`` fingerprints share a key they are not paired: they are linked exactly by
@@ -148,15 +149,15 @@ def near_links(prints: DataFrame, column: str = "fp", crowd: int = CROWD) -> Dat
     if crowded.isEmpty():
         rest = ask
     else:
-        rest = ask.join(crowded, "key", "left_anti")
-        members = entered.join(crowded, "key", "left_semi").select("x").distinct()
+        rest = ask.join(crowded.hint("merge"), "key", "left_anti")
+        members = entered.join(crowded.hint("merge"), "key", "left_semi").select("x").distinct()
         flips = F.array(F.col("x"), *(F.col("x").bitwiseXOR(F.lit((1 << k) - (1 << 64) * (k == 63))) for k in range(64)))
         met = members.select("x", F.explode(flips).alias("middle")).groupBy("middle").agg(F.sort_array(F.collect_list("x")).alias("xs"))
         links = met.where(F.size("xs") > 1).select(F.col("xs")[0].alias("a"), F.explode(F.expr("slice(xs, 2, size(xs) - 1)")).alias("b"))
     verified = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     found = (
         rest.withColumnRenamed("x", "a")
-        .join(entered.withColumnRenamed("x", "b"), (rest["key"] == entered["key"]) & (F.col("a") < F.col("b")) & verified)
+        .join(entered.withColumnRenamed("x", "b").hint("merge"), (rest["key"] == entered["key"]) & (F.col("a") < F.col("b")) & verified)
         .select("a", "b")
     )
     return (found if links is None else found.unionByName(links)).distinct()
@@ -171,7 +172,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     marked = cut(df.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col).cast("string"), words).alias("fingerprint")), "fingerprints")
     least = cut(marked.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct")
     found = components(near_links(least.select(F.col("fingerprint").alias("fp")), crowd=crowd), "a", "b")
-    rooted = least.join(found, least["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = least.join(found.hint("merge"), least["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(ids, "root").select("fingerprint", "component_id"), "components")
-    return marked.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+    named = cut(rooted.join(ids.hint("merge"), "root").select("fingerprint", "component_id"), "components")
+    return marked.join(named.hint("merge"), "fingerprint").select("id", "fingerprint", "component_id")
