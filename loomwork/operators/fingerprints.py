@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from loomwork.functions.script import byte_offset
 from loomwork.session import prepare
+from loomwork.shared import cut
 
 BASE = 131
 K, W = 6, 4
@@ -119,6 +120,37 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, k: int = K, w: int =
     return _mapped(df, id_col, text_col, k, w, form, False).select(id_col, "hash", "pos")
 
 
+def _summed(batches, k: int, w: int, form: str):
+    for batch in batches:
+        rows, told = [], []
+        for row, text in enumerate(batch.column(1).to_pylist()):
+            hashes, at = prints(text, k, w, form)
+            if len(hashes):
+                rows.append(row)
+                told.append((len(hashes), len(np.unique(hashes)), int(hashes.view(np.int64).min()), int(at.sum())))
+        columns = zip(*told, strict=True) if told else [[]] * 4
+        arrays = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(list(c), pa.int64()) for c in columns)]
+        yield pa.RecordBatch.from_arrays(arrays, [batch.schema.names[0], "n_prints", "n_hashes", "least_hash", "positions"])
+
+
+def summaries(df: DataFrame, id_col: str, text_col: str, k: int = K, w: int = W, form: str = FORM) -> DataFrame:
+    """(id, n_prints, n_hashes, least_hash, positions) of every id that has fingerprints, summed up in its row.
+
+    Only ids are shuffled, to find those that stand in several rows: their fingerprints are grouped.
+    """
+    prepare(df.sparkSession)
+    schema = T.StructType().add(id_col, df.schema[id_col].dataType).add("n_prints", "long").add("n_hashes", "long").add("least_hash", "long").add("positions", "long")
+    once = lambda rows: rows.select(id_col, F.col(text_col).cast("string")).mapInArrow(partial(_summed, k=k, w=w, form=form), schema)
+    several = cut(df.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"), "several")
+    if several.isEmpty():
+        return once(df)
+    among = F.col(id_col).eqNullSafe(F.col("__id"))
+    grouped = fingerprints(df.join(several, among, "left_semi"), id_col, text_col, k, w, form).groupBy(id_col).agg(
+        F.count("*").alias("n_prints"), F.count_distinct("hash").alias("n_hashes"), F.min("hash").alias("least_hash"), F.sum("pos").alias("positions")
+    )
+    return once(df.join(several, among, "left_anti")).unionByName(grouped)
+
+
 def index_entries(df: DataFrame, id_col: str, text_col: str, k: int = K, w: int = W, form: str = FORM) -> DataFrame:
     """(id, hash, pos, last, total): each distinct hash of a document once, its first and last place, and the document's number of them."""
     return _mapped(df, id_col, text_col, k, w, form, True)

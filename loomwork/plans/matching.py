@@ -96,9 +96,7 @@ def originality(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {prints_sql('documents', 'doc_id')} SELECT doc_id, count(*) AS n_prints, count(DISTINCT hash) AS n_hashes, min(hash) AS least_hash, sum(pos) AS positions FROM prints GROUP BY 1",
 )
 def fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fp.fingerprints(_documents(spark, sf_dir), "doc_id", "text").groupBy("doc_id").agg(
-        F.count("*").alias("n_prints"), F.count_distinct("hash").alias("n_hashes"), F.min("hash").alias("least_hash"), F.sum("pos").alias("positions")
-    )
+    return fp.summaries(_documents(spark, sf_dir), "doc_id", "text")
 
 
 @register(
