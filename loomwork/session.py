@@ -40,8 +40,11 @@ def create(master: str = "local[8]", shuffle_partitions: int = 8, memory: str =
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table. One small file, often a single row group that one task would read, is dealt over all cores."""
-    df = spark.read.parquet(path)
+    """A Parquet table. One small file, often a single row group that one task would read, is dealt over all cores.
+
+    Whatever reads a table may hand it to Python, so batches are bounded from here on (``prepare``).
+    """
+    df = prepare(spark).read.parquet(path)
     file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     status = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(file)
     small = status.isFile() and status.getLen() <= SMALL_FILE
