@@ -16,17 +16,25 @@ def with_syllables(df: DataFrame, text_col: str = "text", script: Script = TIBET
     return df.withColumn("syllables", syllables(squeeze_space(F.col(text_col)), script))
 
 
-def ngrams(df: DataFrame, n: int) -> DataFrame:
+def ngrams(df: DataFrame, n: int, ends: bool = False) -> DataFrame:
     """Counts of n neighbouring syllables of a document, joined by one space.
 
-    Counts are aggregated before the shuffle.
+    Counts are aggregated before the shuffle. With ``ends``, the shorter ones that close
+    a document are counted, too: then the counts of all beginnings follow (``beginnings``).
     """
+    least = 1 if ends else n
     parts = [F.get("syllables", F.col("__i") + k) for k in range(n)]
-    at = F.sequence(F.lit(0), F.size("syllables") - n)
-    rows = df.select("syllables", F.explode_outer(F.when(F.size("syllables") >= n, at)).alias("__i")).where("__i is not null")
+    at = F.sequence(F.lit(0), F.size("syllables") - least)
+    rows = df.select("syllables", F.explode_outer(F.when(F.size("syllables") >= least, at)).alias("__i")).where("__i is not null")
     return rows.groupBy(F.concat_ws(" ", *parts).alias("ngram")).agg(F.count("*").alias("n"))
 
 
+def beginnings(counts: DataFrame, n: int) -> DataFrame:
+    """Counts of n neighbouring syllables from those of more with ``ends``: every place begins one of these."""
+    whole = F.size(F.split("ngram", " ")) >= n
+    return counts.where(whole).groupBy(F.substring_index("ngram", " ", n).alias("ngram")).agg(F.sum("n").alias("n"))
+
+
 def most_common(counts: DataFrame, k: int = KEPT_NGRAMS, key: str = "ngram") -> DataFrame:
     """The k most frequent; ties go by the key."""
     return counts.orderBy(F.desc("n"), key).limit(k)
