@@ -7,11 +7,17 @@ have the same input.
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions import spans
-from loomwork.operators import corpus, grammar
+from loomwork.operators import corpus, grammar, sentence_rules
 from loomwork.plans.catalog import register
 from loomwork.plans.common import documents
 from loomwork.plans.textual import FINAL_SQL
@@ -43,21 +49,48 @@ def word_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode_outer(groups).alias("sent_idx", "w"))
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, sent_idx, sent_start, text, nodes)."""
-    rows = word_groups(spark, sf_dir)
-    listed = F.array(*map(F.lit, RULE_WORDS))
-    category, relation = F.array(*map(F.lit, CATEGORIES)), F.array(*map(F.lit, RELATIONS))
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.char_length(F.array_join(F.slice("w", 1, i), "་")) + 1)
+def _told(batches, words: list[str], at_once: int = 4096):
+    """Sentences of the documents' words, some thousands in a batch; letters a to z are bytes of their own in UTF-8."""
+    texts, kinds, relations = (pa.array(x, pa.string()) for x in (words, CATEGORIES, RELATIONS))
+    sizes = np.array([len(w) for w in words])
+    for batch in batches:
+        ids, column = batch.column(0), batch.column(1)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        bounds = (offsets - offsets[0]).astype(np.int64)
+        letter = (data >= ord("a")) & (data <= ord("z"))
+        apart = np.zeros(len(data) + 1, bool)  # whether the byte before and this one cannot be of one word
+        apart[1:-1] = ~(letter[:-1] & letter[1:])
+        apart[bounds] = True
+        first, last = np.flatnonzero(letter & apart[:-1]), np.flatnonzero(letter & apart[1:])
+        number = (data[first].astype(np.int64) * 7 + data[last].astype(np.int64) * 3 + last - first + 1) % len(words)
+        doc = np.searchsorted(bounds[1:], first, "right")
+        counts = np.bincount(doc, minlength=len(ids))
+        place = np.arange(len(doc)) - (np.cumsum(counts) - counts)[doc]
+        heads = np.append(np.flatnonzero(place % WIDTH == 0), len(doc))
+        for k in range(0, len(heads) - 1, at_once):
+            cuts = heads[k : k + at_once + 1]
+            part, own = slice(cuts[0], cuts[-1]), cuts[:-1]
+            w, i = number[part], place[part] % WIDTH
+            before = np.cumsum(sizes[w] + 1) - sizes[w] - 1
+            start = before - np.repeat(before[own - cuts[0]], np.diff(cuts))
+            named, lists = texts.take(pa.array(w)), pa.array((cuts - cuts[0]).astype(np.int32))
+            fields = [
+                named, pa.array(start.astype(np.int32)), pa.array((start + sizes[w]).astype(np.int32)),
+                kinds.take(pa.array((w * 3 + i) % len(CATEGORIES))), relations.take(pa.array((w + 2 * i) % len(RELATIONS))),
+            ]
+            nodes = pa.ListArray.from_arrays(lists, pa.StructArray.from_arrays(fields, ["text", "start", "end", "category", "relation"]))
+            text = pc.binary_join_element_wise(pc.binary_join(pa.ListArray.from_arrays(lists, named), "་"), "།", "")
+            sent = place[own] // WIDTH
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc[own])), pa.array(sent.astype(np.int32)), pa.array(sent * 1000), text, nodes], ["doc_id", "sent_idx", "sent_start", "text", "nodes"])
 
-    def node(w, i):
-        k = F.array_position(listed, w).cast("int") - 1
-        return F.struct(
-            w.alias("text"), before(i).alias("start"), (before(i) + F.char_length(w)).alias("end"), F.get(category, (k * 3 + i) % len(CATEGORIES)).alias("category"), F.get(relation, (k + 2 * i) % len(RELATIONS)).alias("relation")
-        )
 
-    text = F.concat(F.array_join("w", "་"), F.lit("།"))
-    return held(rows, {"text": text, "nodes": F.transform("w", node)}).select("doc_id", "sent_idx", (F.col("sent_idx") * 1000).alias("sent_start"), "text", "nodes")
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sent_idx, sent_start, text, nodes)."""
+    rows = documents(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
+    kind = T.ArrayType(T.StructType().add("text", "string").add("start", "integer").add("end", "integer").add("category", "string").add("relation", "string"))
+    schema = T.StructType().add("doc_id", rows.schema["doc_id"].dataType).add("sent_idx", "integer").add("sent_start", "long").add("text", "string").add("nodes", kind)
+    return rows.mapInArrow(partial(_told, words=RULE_WORDS), schema)
 
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +165,7 @@ def _rules_sql() -> str:
 @register("grammar_rules", _rules_sql())
 def grammar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules that need no lexicon, in one pass."""
-    return grammar.findings(flat(spark, sf_dir), demonyms=True).select("doc_id", "char_start", "char_end", "replacement", "score", "priority")
+    return sentence_rules.findings(sentences(spark, sf_dir), demonyms=True).select("doc_id", "char_start", "char_end", "replacement", "score", "priority")
 
 
 @register("particle_agreement", f"WITH {NODES_SQL}, {_particles_sql()} SELECT {SIMPLE}, replacement, message FROM particles")
