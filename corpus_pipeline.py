@@ -20,6 +20,8 @@ ORACLE_SQL = None
 
 #: Bits a byte from which even the best language's code is no shorter than the text itself.
 NO_LANGUAGE = 8.0
+#: Pre-tokens a worker remembers within a task: few, as executors' heaps have grown full in the stages before.
+MEMO_WORDS = 200_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +78,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix; none for null and empty texts. Other columns than these are left out."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), queries.tokenizer_path())
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), queries.tokenizer_path(), memo_words=MEMO_WORDS, forget=True)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

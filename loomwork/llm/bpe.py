@@ -5,7 +5,8 @@ that stand side by side in no token can never be joined: between them is a
 certain cut. The encoder marks these cuts inside every new pre-token, encodes
 the fragments between them independently, many at a time as rows of an array,
 and concatenates their ids. Only the last fragment of a pre-token carries the
-end-of-word suffix. Pre-tokens met before are looked up in a bounded memo.
+end-of-word suffix. Pre-tokens met before are looked up in a bounded memo; when its
+younger half is full, that becomes the older one, and the older one is forgotten.
 
 Defined results: a null or empty text (or one of white space alone) has no ids;
 no ids decode to the empty string; null ids decode to the empty string. An id
@@ -22,6 +23,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,9 @@ WHITE = "\n\t\x0b\x0c\r\x85\xa0"
 #: Characters whose classes depend on the version of Unicode: texts with any go
 #: through the library's own normalizer and splitter, so that results agree.
 ODD = re.compile("[^\x00-\u024f]").search
-#: Pre-tokens a worker remembers before it starts over: bounds its memory.
+#: Pre-tokens a worker remembers, about 200 bytes each, and the longest of them: bounds its memory.
 MEMO_WORDS = 1_500_000
+MEMO_CHARS = 64
 #: Texts encoded together, and the longest fragment for the array encoder.
 TEXTS_AT_ONCE = 256
 ARRAY_SYMBOLS = 64
@@ -64,12 +68,11 @@ class WordBpe:
     """A BPE vocabulary file with end-of-word suffix, split at forced boundaries."""
 
     def __init__(self, path: str):
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec, vocab, merges = self._read(path)
         model = spec["model"]
-        vocab, merges = model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.path = path
         self.suffix = model["end_of_word_suffix"] or ""
         self.alphabet = byte_alphabet()
         byte_of = {c: b for b, c in enumerate(self.alphabet)}
@@ -88,12 +91,11 @@ class WordBpe:
         for content, i in self.special.items():
             self.tokens[i] = self.texts[i] = content.encode("utf-8")
         self.known = np.array([bool(t) for t in self.tokens])
-        self.last = models.BPE(vocab, merges, end_of_word_suffix=self.suffix or None, cache_capacity=0)
-        self.inner = models.BPE(vocab, merges, cache_capacity=0)
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.short_way = split == PATTERN and (spec["normalizer"] or {}).get("normalizers") == NORMALIZERS
         self.splitter = pre_tokenizers.Split(Regex(split), "removed", invert=True)
-        self.normalizer = Tokenizer.from_file(path).normalizer
+        empty = {"type": "BPE", "vocab": {}, "merges": []}
+        self.normalizer = Tokenizer.from_str(json.dumps({"version": "1.0", "normalizer": spec["normalizer"], "model": empty})).normalizer
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         # a pair of ids -> rank of its merge and the id it yields
         pairs = np.array([vocab[x] << 20 | vocab[y] for x, y in merges], dtype=np.int64)
@@ -110,6 +112,30 @@ class WordBpe:
         self.single = single
         self.first_ranks = self._ranks(np.repeat(symbols, size), np.tile(symbols, size))
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def _read(path: str) -> tuple[dict, dict[str, int], list[tuple[str, str]]]:
+        """The file, its vocabulary and its merges."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model = spec["model"]
+        return spec, model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+
+    def _queue(self, suffix: str | None):
+        """The library's own encoder, made from the file when a long fragment is met."""
+        from tokenizers import models
+
+        _, vocab, merges = self._read(self.path)
+        return models.BPE(vocab, merges, end_of_word_suffix=suffix, cache_capacity=0)
+
+    @cached_property
+    def last(self):
+        return self._queue(self.suffix or None)
+
+    @cached_property
+    def inner(self):
+        return self._queue(None)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of ids; FAR where there is none."""
@@ -211,27 +237,34 @@ class WordBpe:
             return [w for k, p in enumerate(parts) for w in (self._plain_words(p) if k % 2 == 0 else ["\n" + p])]
         return self._plain_words(text)
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts, as little-endian 32-bit integers."""
+    def encode_batch(self, texts: list[str | None], memo_words: int = MEMO_WORDS) -> list[bytes]:
+        """Ids of whole texts, as little-endian 32-bit integers; at most ``memo_words`` pre-tokens
+        and those of ``TEXTS_AT_ONCE`` texts are remembered."""
         out = []
         for k in range(0, len(texts), TEXTS_AT_ONCE):
             lists = [self.pre_tokens(t) for t in texts[k : k + TEXTS_AT_ONCE]]
             coded = [list(map(self.words.get, words)) for words in lists]
             holes = [[i for i, c in enumerate(codes) if c is None] if None in codes else [] for codes in coded]
-            new = {words[i] for words, at in zip(lists, holes, strict=True) for i in at}
-            special = {w: np.array([self.special[w[1:]]], dtype="<i4").tobytes() for w in new if w[0] == "\n"}  # no pre-token has a line feed
-            if len(self.words) + len(new) > MEMO_WORDS:
-                self.words.clear()
-            self.words.update(special)
-            missing = [w for w in new if w not in special]
+            new = {w: self.older.get(w) for w in {words[i] for words, at in zip(lists, holes, strict=True) for i in at}}
+            missing = [w for w, c in new.items() if c is None]
+            special = [w for w in missing if w[0] == "\n"]  # no pre-token has a line feed
+            new |= {w: np.array([self.special[w[1:]]], dtype="<i4").tobytes() for w in special}
+            missing = [w for w in missing if w[0] != "\n"]
             if missing:
-                self.words.update(zip(missing, self.encode_words(missing), strict=True))
+                new.update(zip(missing, self.encode_words(missing), strict=True))
             for words, codes, at in zip(lists, coded, holes, strict=True):
                 for i in at:
-                    codes[i] = self.words[words[i]]
+                    codes[i] = new[words[i]]
                 out.append(b"".join(codes))
+            if len(self.words) + len(new) > memo_words // 2:
+                self.older, self.words = (self.words if len(self.words) <= memo_words // 2 else {}), {}
+            self.words.update((w, c) for w, c in new.items() if len(w) <= MEMO_CHARS)
         return out
 
+    def forget(self) -> None:
+        """Give up what is remembered."""
+        self.words, self.older = {}, {}
+
     def decode_tokens(self, ids: np.ndarray) -> str:
         """The tokens, joined by one space, as the library decodes this file."""
         ids = ids[(ids >= 0) & (ids < len(self.tokens))]
@@ -255,15 +288,25 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def encode_column(text: Column, path: str) -> Column:
+def coded(batches: Iterator[pa.Array], path: str, memo_words: int, forget: bool) -> Iterator[pa.Array]:
+    """Ids of the texts of one task."""
+    bpe = loaded(path)
+    try:
+        for texts in batches:
+            found = bpe.encode_batch(texts.to_pylist(), memo_words)
+            ends = np.cumsum([0, *(len(c) // 4 for c in found)])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), dtype="<i4"), pa.int32()))
+    finally:
+        if forget:
+            bpe.forget()
+
+
+def encode_column(text: Column, path: str, memo_words: int = MEMO_WORDS, forget: bool = False) -> Column:
     """Ids of a text column as ``array<int>``."""
 
     @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        bpe = loaded(path)
-        coded = bpe.encode_batch(texts.to_pylist())
-        ends = np.cumsum([0, *(len(c) // 4 for c in coded)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), dtype="<i4"), pa.int32()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return coded(batches, path, memo_words, forget)
 
     return encode(text)
 
@@ -281,10 +324,11 @@ def decode_column(ids: Column, path: str, as_text: bool = False) -> Column:
     return decode(F.coalesce(ids, F.array().cast("array<int>")))
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of ``text_col`` as column ``out``."""
+def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", memo_words: int = MEMO_WORDS, forget: bool = False) -> DataFrame:
+    """Add the ids of ``text_col`` as column ``out``; a worker remembers ``memo_words`` pre-tokens,
+    with ``forget`` only until its task ends: idle workers then hold none."""
     prepare(df.sparkSession)
-    return df.withColumn(out, encode_column(F.col(text_col).cast("string"), path))
+    return df.withColumn(out, encode_column(F.col(text_col).cast("string"), path, memo_words, forget))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded", as_text: bool = False) -> DataFrame:

@@ -33,6 +33,7 @@ import math
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,8 +164,9 @@ def decide(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", te
         base = min(math.floor(ratio + CLOSE), math.floor(cap))
         share = ratio - base if ratio - base > CLOSE else 0.0
         plan.append((r["source"], r["words"], target, base, share, max(1, math.ceil(r["units"] / BLOCK))))
-    schema = T.StructType().add("of", "string").add("source_size", "long").add("target", "double").add("each", "long").add("share", "double").add("blocks", "long")
-    sources = spark.createDataFrame(plan, schema)
+    kinds = {"of": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "each": pa.int64(), "share": pa.float64(), "blocks": pa.int64()}
+    columns = [pa.array([row[k] for row in plan], kind) for k, kind in enumerate(kinds.values())]
+    sources = spark.createDataFrame(pa.table(columns, names=list(kinds)))  # as Arrow it needs no Python worker
     sources = F.broadcast(sources) if len(plan) <= BROADCAST_SOURCES else sources
     extra = F.col("n") * F.col("share")
     sure = F.floor(extra + CLOSE)

@@ -210,7 +210,9 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, train_do
         return Ppm({})
     most = cells / len(found) ** 2
     share = {r["lang"]: max(r["first"], int(min(1.0, train_docs / r["n"], most / max(1, r["bytes"])) * 1_000_000) - 1) for r in found}
-    limits = labelled.sparkSession.createDataFrame(sorted(share.items()), "__lang string, __share long")  # a row per language
+    names = sorted(share)
+    shares = pa.table({"__lang": pa.array(names, pa.string()), "__share": pa.array([share[n] for n in names], pa.int64())})
+    limits = labelled.sparkSession.createDataFrame(shares)  # a row per language; as Arrow it needs no Python worker
     schema = T.StructType().add("lang", "string").add("gram", "long").add("n", "long")
     drawn = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
     chosen = drawn.join(F.broadcast(limits), F.col("lang") == F.col("__lang")).where("draw <= __share").select("lang", "text")

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,22 @@ def test_workers_let_go_of_what_others_kept():
     assert bpe.loaded(PATH) is bpe.loaded(PATH)
 
 
+def test_memo_is_bounded_and_given_up_after_a_task(spark):
+    encoder = bpe.WordBpe(PATH)
+    texts = [f"word{k} {'x' * 80}{k} again common" for k in range(3000)]
+    want = [bpe.WordBpe(PATH).encode_batch([t])[0] for t in texts[:3]]
+    got = encoder.encode_batch(texts, 2000)
+    assert got[:3] == want and got == encoder.encode_batch(texts)
+    encoder.encode_batch(texts, 2000)
+    assert len(encoder.words) <= 1000 + 5 * bpe.TEXTS_AT_ONCE and len(encoder.older) <= 1000
+    assert max(map(len, [*encoder.words, *encoder.older])) <= bpe.MEMO_CHARS
+    arrays = list(bpe.coded(iter([pa.array(texts[:50]), pa.array([None, "common"])]), PATH, 100, True))
+    assert [np.array(a, "<i4").tobytes() for x in arrays for a in x.to_pylist()] == [*got[:50], b"", encoder.encode_batch(["common"])[0]]
+    assert not bpe.loaded(PATH).words and not bpe.loaded(PATH).older
+    told = bpe.encode(spark.createDataFrame([(t,) for t in texts[:50]], "text string"), PATH, memo_words=100, forget=True).collect()
+    assert {r["text"]: np.array(r["ids"], "<i4").tobytes() for r in told} == dict(zip(texts, got[:50], strict=False))
+
+
 def test_fragments_at_forced_boundaries():
     encoder = bpe.loaded(PATH)
     rng = random.Random(1)
