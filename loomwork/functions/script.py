@@ -114,13 +114,18 @@ def ranges(chars: str) -> str:
     return "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in out)
 
 
+def spaced(text: Column, script: Script = TIBETAN) -> Column:
+    """The text with a space for every mark and white space."""
+    between = script.syllable_marks + script.sentence_marks + WHITE_CHARS
+    return F.translate(text, between, " " * len(between))
+
+
 def syllables(text: Column, script: Script = TIBETAN) -> Column:
     """Syllables: what stands between marks and white space.
 
     All of these become one space, at which the text is split: a pattern would test every character against the class.
     """
-    between = script.syllable_marks + script.sentence_marks + WHITE_CHARS
-    return F.array_remove(F.split(F.translate(text, between, " " * len(between)), " "), "")
+    return F.array_remove(F.split(spaced(text, script), " "), "")
 
 
 def sentences(text: Column, script: Script = TIBETAN) -> Column:

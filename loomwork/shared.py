@@ -31,11 +31,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomwork/{uuid.uuid4().hex}/{name}"
 
 
-def cut(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return it read back (same schema)."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Whether the files of a query's shuffles go when it has ended; else they stay until the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str = "table", codec: str = "zstd", tidy: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return it read back (same schema). With ``tidy``, its shuffles' files go at once."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(TIDY, "false")
+    if tidy:
+        spark.conf.set(TIDY, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if tidy:
+            spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:
