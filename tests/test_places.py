@@ -42,7 +42,7 @@ def test_many_blocks_count_together(spark):
     assert totals == {"total": sum(map(len, words.values())), "kinds": len({x for w in words.values() for x in w}), "most": max(v for k, v in n.items() if len(k) == 1)}
 
 
-@pytest.mark.parametrize("name", ["context_bonus", "suspicious_words"])
+@pytest.mark.parametrize("name", ["context_bonus", "suspicious_words", "trigram_scores"])
 def test_no_ngram_is_shuffled_as_text(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().toString()
     moved = [line for line in plan.splitlines() if "Exchange" in line]
