@@ -70,8 +70,11 @@ def keys_of(*words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(rows: DataFrame, key: str = "doc_id", text_col: str = "text", script: Script = TIBETAN, size: int = BLOCK) -> DataFrame:
-    """A table of blocks (block, keys, sizes, words, ids) of the texts; those without a word are left out."""
-    told = rows.select(F.col(key), spaced(F.col(text_col), script).alias("__t"))
+    """A table of blocks (block, keys, sizes, words, ids) of the texts; those without a word are left out.
+
+    Rows that have ``syllables`` already (without spaces in them) are taken as they are.
+    """
+    told = rows.select(F.col(key), F.col("syllables") if "syllables" in rows.columns else spaced(F.col(text_col), script).alias("__t"))
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(rows.schema[key].dataType)), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +94,9 @@ def blocks(rows: DataFrame, key: str = "doc_id", text_col: str = "text", script:
             return pa.RecordBatch.from_arrays(data, ["block", "keys", "sizes", "words", "ids"])
 
         for batch in batches:
-            parts = pc.split_pattern(batch.column(1), " ")
+            parts = batch.column(1) if pa.types.is_list(batch.column(1).type) else pc.split_pattern(batch.column(1), " ")
             flat = parts.flatten()
-            there = pc.not_equal(flat, "")
+            there = pc.fill_null(pc.not_equal(flat, ""), False)
             before = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])
             lengths = pc.fill_null(pc.list_value_length(parts), 0).to_numpy()
             ends = np.cumsum(lengths)
